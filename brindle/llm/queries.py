@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm.shared import prepare, table
 
+#: Fixed values of the contract: the policy of operator 7.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,12 +27,43 @@ def piece_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.byte_bpe import byte_bpe
 
     return byte_bpe(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), piece_pattern())
 
 
+def op5_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.embedding_join import embedding_near_dedup
+
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.url_filter import Rule, repeated_addresses, url_filter
+
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages, [Rule(*r) for r in URL_RULES], repeated_addresses(pages))
+
+
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.token_store import read_documents, write_store
 
@@ -43,7 +77,7 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_byte_bpe, op8_token_store, op10_best_two_fit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op7_url_filter, op8_token_store, op10_best_two_fit)}
 
 
 def prepared(query: Query) -> Query:
