@@ -109,7 +109,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", col
     that no name clashes; an empty table gives an empty result.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    rows = measured(docs.select(*(F.col(c).alias(f"_in_{c}") for c in columns), F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text" if text not in columns else "_none")
+    rows = measured(docs.select(*(F.col(c).alias(f"_in_{c}") for c in columns), F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text")
     rows = written(rows)
     rejected = written(
         host_rates(rows, "_host").where(" or ".join(f"{r}_rate > {max_rate}" for r in RULES)).select(F.col("_host").alias("_bad_host"))

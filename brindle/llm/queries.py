@@ -57,6 +57,12 @@ def op5_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), piece_pattern())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.url_filter import Rule, repeated_addresses, url_filter
 
@@ -71,13 +77,19 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, store, with_ids=False)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op7_url_filter, op8_token_store, op10_best_two_fit)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op6_token_counts, op7_url_filter, op8_token_store, op9_warc, op10_best_two_fit)}
 
 
 def prepared(query: Query) -> Query:
