@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from brindle.llm import sql
 from brindle.llm.shared import prepare, table
 
 #: Fixed values of the contract: the policy of operator 7.
@@ -106,4 +107,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_ngram_join": sql.OP1, "op3_quality_rules": sql.OP3, "op5_grid_order_join": sql.OP5, "op7_url_filter": sql.OP7, "op9_warc": sql.OP9}
