@@ -1 +1 @@
-"""See the modules of this package."""
+"""Queries over the driver's tables, each a thin use of the library's operators."""
