@@ -42,11 +42,11 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n]
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    # Rolling hash: a sum over the window of mixed ids, each times a power for its distance.
-    powers = np.uint64(0xD6E8FEB86659FD93) ** np.arange(WINDOW, dtype=np.uint64)
-    rolled = np.zeros(n - WINDOW + 1, dtype=np.uint64)
-    for k in range(WINDOW):
-        rolled += mixed[WINDOW - 1 - k : n - k] * powers[k]
+    # Rolling hash: a sum over the window of mixed ids, each times a power for its distance; windows double.
+    rolled, width, power = mixed, 1, 0xD6E8FEB86659FD93
+    while width < WINDOW:
+        rolled = rolled[width:] + rolled[:-width] * np.uint64(power)
+        width, power = 2 * width, power * power % (1 << 64)
     found = np.flatnonzero((rolled >> np.uint64(64 - MASK_BITS)) == 0) + WINDOW
     ends, last = [], 0
     for end in [*found.tolist(), n]:

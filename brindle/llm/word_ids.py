@@ -10,7 +10,7 @@ import hashlib
 
 import numpy as np
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 1_000_000
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -37,30 +37,16 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
-        parts = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = {w: plainer(w) for w in set().union(*parts) if w not in known}
-        todo = list({w for w, end in new.values() if w not in known} | {end for _, end in new.values() if end and end not in known})
-        for start in range(0, len(todo), 50_000):
-            self.learn(todo[start : start + 50_000])
-        known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in new.items())
-        return [b"".join([known[w] for w in p]) for p in parts]
-
-
-def plainer(word: bytes) -> tuple[bytes, bytes]:
-    """A word of like ids, and what follows it.
-
-    The vocabulary has lower case only: ASCII words may be lowered, if they spell no special token. A last
-    full stop or comma after an ASCII letter is a piece of its own.
-    """
-    if b"<|" in word:
-        return word, b""
-    low = word.lower() if word.isascii() else word
-    if low[-1:] in b".," and low[-2:-1].isalpha():
-        return low[:-1], low[-1:]
-    return low, b""
+        # The vocabulary has lower case only. Lowering ASCII early means fewer parts to learn, but not
+        # where accents compose or where it could spell a special token.
+        parts = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        new = list(set().union(*parts).difference(self.known))
+        for start in range(0, len(new), 50_000):
+            self.learn(new[start : start + 50_000])
+        of = self.known.__getitem__
+        return [b"".join(map(of, p)) for p in parts]
 
 
 ENCODERS: dict[bytes, WordIds] = {}
