@@ -301,17 +301,18 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "
     met = written(places.join(shared, "prefix"))
     homes = met.groupBy("node").agg(F.min("least").alias("home"))
     sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
-    split = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / block).cast("bigint"))
-    homes = written(homes.join(sizes, "home").select("node", F.xxhash64("home", split).alias("block")))
-    inside = met.join(homes, "node").select("prefix", "node", "block")
-    spans = inside.groupBy("prefix").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("prefix")
+    slices = F.ceil(F.col("n") / block).cast("int")
+    part = F.pmod(F.xxhash64("node"), slices).cast("int")
+    homes = written(homes.join(sizes, "home").select("node", "home", part.alias("part"), slices.alias("parts"), F.xxhash64("home", part).alias("block")))
+    # All parts of one home meet; other homes meet where a prefix has members of several.
+    within = homes.select("node", "home", "part", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("node", "block", F.xxhash64("home", "p").alias("other"))
+    inside = met.join(homes, "node").select("prefix", "node", "home", "block")
+    spans = inside.groupBy("prefix").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a <> b").select("prefix")
     wide = written(inside.join(spans, "prefix"))
-    others = wide.select("prefix", F.col("block").alias("other")).distinct()
-    across = wide.join(others, "prefix").where("block <> other").select("node", "block", "other").distinct()
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    sent = homes.select("node", F.col("block").alias("group"), F.lit(None).cast("int").alias("side")).unionByName(
-        across.select("node", F.xxhash64(low, high).alias("group"), F.when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"))
-    )
+    others = wide.select("prefix", F.col("home").alias("other_home"), F.col("block").alias("other")).distinct()
+    across = wide.join(others, "prefix").where("home <> other_home").select("node", "block", "other").distinct()
+    low, high, same = F.least("block", "other"), F.greatest("block", "other"), F.col("block") == F.col("other")
+    sent = within.unionByName(across).select("node", F.when(same, F.col("block")).otherwise(F.xxhash64(low, high)).alias("group"), F.when(~same, F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
     owners = homes.select("node").join(classes.select("node", "rep", "weight"), "node")
     bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.col(text).alias("text")), "rep").select("node", "weight", "text")
     rows = sent.join(bodies, "node").select("group", "side", "node", "weight", "text")
