@@ -63,10 +63,10 @@ def first_words(text: Column, n: int = 10) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    """B whole, KB to TB with one decimal, in steps of 1024."""
-    out = F.format_string("%.1f TB", n / 1024.0**4)
+    """B whole, KB to TB with one decimal, ties to the even digit, in steps of 1024."""
+    out = F.format_string("%.1f TB", F.bround(n / 1024.0**4, 1))
     for k, unit in ((4, "GB"), (3, "MB"), (2, "KB")):
-        out = F.when(n < 1024.0**k, F.format_string(f"%.1f {unit}", n / 1024.0 ** (k - 1))).otherwise(out)
+        out = F.when(n < 1024.0**k, F.format_string(f"%.1f {unit}", F.bround(n / 1024.0 ** (k - 1), 1))).otherwise(out)
     return F.when(n < 1024, F.format_string("%d B", n.cast("bigint"))).otherwise(out)
 
 
