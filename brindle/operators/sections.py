@@ -53,8 +53,9 @@ def with_spans(sections: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds end byte and end page: up to the next section, or the end of the document. Pages count from 0."""
     order = Window.partitionBy("doc").orderBy("section")
     rows = sections.join(docs.select("doc", "n_bytes", "page_count"), "doc")
-    page_end = F.greatest(F.lead("page_number").over(order) - 1, F.lit(0))
-    return rows.withColumns({"end_byte": F.coalesce(F.lead("byte_index").over(order), F.col("n_bytes")), "page_end": F.coalesce(page_end, F.col("page_count"))}).drop("n_bytes", "page_count")
+    after = F.lead("page_number").over(order)
+    page_end = F.when(after.isNotNull(), F.greatest(after - 1, F.lit(0)))  # greatest() alone would skip the null
+    return rows.withColumns({"end_byte": F.coalesce(F.lead("byte_index").over(order), F.col("n_bytes")), "page_end": F.coalesce(page_end, F.col("page_count") - 1)}).drop("n_bytes", "page_count")
 
 
 def sections_of(markers: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ HEADS = BODY + """, heads AS (SELECT m.doc, byte_index, page_number, font_size F
 LEVELS = HEADS + """, levels AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY font_size DESC) - 1 AS level FROM heads) WHERE level < 4),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY byte_index) - 1 AS section FROM levels)"""
 SECTIONS = LEVELS + """, sections AS (SELECT n.*, (SELECT max(p.section) FROM numbered p WHERE p.doc = n.doc AND p.section < n.section AND p.level < n.level) AS parent FROM numbered n)"""
-SPANS = SECTIONS + """, spans AS (SELECT s.*, coalesce(lead(byte_index) OVER w, n_bytes) AS end_byte, coalesce(greatest(lead(page_number) OVER w - 1, 0), page_count) AS page_end
+SPANS = SECTIONS + """, spans AS (SELECT s.*, coalesce(lead(byte_index) OVER w, n_bytes) AS end_byte, CASE WHEN lead(page_number) OVER w IS NULL THEN page_count - 1 ELSE greatest(lead(page_number) OVER w - 1, 0) END AS page_end
   FROM sections s JOIN paged p ON s.doc = p.doc WINDOW w AS (PARTITION BY s.doc ORDER BY section))"""
 BUDGET = 2048
 #: Sections cut as bytes: hexadecimal digits, two a byte.
