@@ -26,7 +26,8 @@ from brindle.llm.shared import written
 
 #: Bounds of what is learned from: labelled rows, and lexicon entries.
 SAMPLE_ROWS, LEXICON_ENTRIES = 20_000, 2_000
-STEM, LEAST_TOXIC, LEAST_ODDS = 5, 3, 12.0
+#: Letters of a word start, and what an entry must have: toxic texts with it, as a number and as a share of all, and odds.
+STEM, LEAST_TOXIC, LEAST_SHARE, LEAST_ODDS = 5, 3, 0.02, 12.0
 
 #: Second-person words of the corpus' languages.
 SECOND_PERSON = frozenset(
@@ -95,7 +96,11 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str, keep: list[str])
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and word starts whose odds are LEAST_ODDS times higher in toxic rows; at most LEXICON_ENTRIES."""
+    """Words and word starts whose odds are LEAST_ODDS times higher in toxic texts; at most LEXICON_ENTRIES.
+
+    Copies count once, and an entry must be in many toxic texts: else the rare words of a few texts would pass.
+    """
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,9 +113,9 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([pa.array(entries, pa.binary()), pa.array(toxic, pa.int32())], ["entry", "toxic"])
 
     counted = rows.select("text", "toxic").mapInArrow(run, "entry binary, toxic int").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    sizes = rows.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
+    sizes = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("good")).first()
     odds = (F.col("bad") + 0.5) / (sizes["bad"] + 1.0) * (sizes["good"] + 1.0) / (F.col("good") + 0.5)
-    best = counted.where((F.col("bad") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).orderBy((odds * F.log1p("bad")).desc(), "entry").limit(LEXICON_ENTRIES).select("entry").collect()
+    best = counted.where((F.col("bad") >= max(LEAST_TOXIC, LEAST_SHARE * sizes["bad"])) & (odds >= LEAST_ODDS)).orderBy((odds * F.log1p("bad")).desc(), "entry").limit(LEXICON_ENTRIES).select("entry").collect()
     found = [bytes(r["entry"]) for r in best]
     return Lexicon(frozenset(e[1:] for e in found if e[:1] == b"w"), frozenset(e[1:] for e in found if e[:1] == b"s"))
 
