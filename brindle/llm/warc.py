@@ -116,7 +116,8 @@ def write_warc(pages: DataFrame, path: str, id_column: str = "page_id", url: str
                 if out is None:
                     task = TaskContext.get()
                     name = f"pages-{task.partitionId():05d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc.zst"
-                    out = store.open_output_stream(f"{root}/{name}")
+                    # Without this the library packs files of such a name once more, and unpacks them when reading.
+                    out = store.open_output_stream(f"{root}/{name}", compression=None)
                     out.write(opening(held))
                 whole = record(page_id, address, data or b"", bytes.fromhex(digest), owner)
                 if owner is not None:
@@ -159,7 +160,7 @@ def records(stream: io.RawIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_warc(spark: SparkSession, files: DataFrame, payloads: bool = False) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record; with ``payloads`` also payload.
 
-    A payload that does not hash to its record's digest fails the job. A revisit has the digest and length that it declares.
+    ``files`` is (path, n_records). A payload that does not hash to its record's digest, or a file with another number of records, fails the job. A revisit has the digest and length that it declares.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +169,10 @@ def read_warc(spark: SparkSession, files: DataFrame, payloads: bool = False) ->
         count = 6 if payloads else 5
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(count)], names[:count])
         for batch in batches:
-            for path in batch.column(0).to_pylist():
+            for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 store, place = fs.FileSystem.from_uri(path)
-                rows, held = [], 0
-                with store.open_input_stream(place) as stream:
+                rows, held, count_read = [], 0, 0
+                with store.open_input_stream(place, compression=None) as stream:
                     for headers, block in records(stream):
                         declared = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         body, size = None, int(headers["X-Payload-Length"])
@@ -181,14 +182,17 @@ def read_warc(spark: SparkSession, files: DataFrame, payloads: bool = False) ->
                                 raise ValueError(f"{headers['WARC-Record-ID']} is damaged")
                         rows.append((page_of(headers["WARC-Record-ID"]), size, declared, headers["WARC-Type"], page_of(headers.get("WARC-Refers-To")), body))
                         held += len(block) if payloads else 0
+                        count_read += 1
                         if len(rows) >= 10_000 or held > 16 << 20:
                             yield make(rows)
                             rows, held = [], 0
+                if count_read != expected:
+                    raise ValueError(f"{path} is cut short: {count_read} records of {expected}")
                 yield make(rows)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    return files.select("path").repartition(parts).mapInArrow(run, schema)
+    return files.select("path", "n_records").repartition(parts).mapInArrow(run, schema)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
