@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import batches
 from brindle.plans.catalog import query
-from brindle.plans.library_plans import scratch
+from brindle.session import scratch_dir
 from brindle.sources import batch_files, views
 from brindle.sources.views import BATCHES, CACHE, LIB, RESULTS
 
@@ -23,7 +23,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_batch_request", f"WITH {LIB} SELECT library_key AS custom_id, md5(text) AS input_md5, 1 AS n_inputs FROM lib")
 def batch_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request lines, written and parsed again."""
-    path = scratch(spark) + "/requests"
+    path = scratch_dir(spark) + "/requests"
     batch_files.write_requests(views.library(spark, sf_dir), "library_key", "text", path)
     parsed = spark.read.schema("custom_id string, body struct<input: array<string>>").json(path)
     return parsed.select("custom_id", F.md5(F.col("body.input")[0]).alias("input_md5"), F.size("body.input").alias("n_inputs"))
@@ -35,7 +35,7 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.pmod("label", F.lit(2)) == 1
     body = F.struct(F.struct(F.array(F.struct("embedding")).alias("data")).alias("body"))
     line = F.to_json(F.struct(F.col("vec_id").cast("string").alias("custom_id"), F.when(~odd, body).alias("response"), F.when(odd, F.struct(F.concat(F.lit("label "), F.col("label").cast("string")).alias("message"))).alias("error")))
-    path = scratch(spark) + "/results"
+    path = scratch_dir(spark) + "/results"
     views.read(spark, sf_dir, "embeddings").select(F.explode(F.array(line, F.lit('{"custom_id": '))).alias("line")).write.text(path)
     good, bad = batch_files.read_results(spark, path)
     return good.select("id", F.size("embedding").alias("n"), F.lit(None).cast("string").alias("error")).unionByName(bad.select("id", F.lit(None).cast("int").alias("n"), "error"))
@@ -44,7 +44,7 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_pending_batches", f"WITH {BATCHES} SELECT batch AS seq, 'batch-' || CAST(batch AS VARCHAR) AS batch_id, count(*) AS n_items FROM batches GROUP BY batch")
 def pending_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of all batches, one folder each, written and read again."""
-    path = scratch(spark) + "/logs"
+    path = scratch_dir(spark) + "/logs"
     items = views.batches(spark, sf_dir)
     # A line holds one item here: a batch of any size is never one row.
     line = F.to_json(F.struct(F.concat(F.lit("batch-"), F.col("batch").cast("string")).alias("batch_id"), "provider", "model", F.array(F.struct("file_path", "library_key", "title", "hash")).alias("items")))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import health, library
 from brindle.plans.catalog import query
+from brindle.session import scratch_dir
 from brindle.sources import views
 from brindle.sources.store import Store, replay, stage
 from brindle.sources.views import LIB, STORE, VECTORS
@@ -173,17 +172,9 @@ def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.doctor(health_check(spark, sf_dir), indexed=False)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one, or a temporary one where that is unset."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="spark-store-")
-
-
 @query("q_store_stats", f"WITH {STORE} SELECT (SELECT count(*) FROM store) + (SELECT count(*) FROM incoming WHERE library_key NOT IN (SELECT library_key FROM store)) AS n_rows, 2 AS version, 'hashed' AS provider, 'bag-64' AS model")
 def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark, scratch(spark))
+    store = Store(spark, scratch_dir(spark))
     store.commit(views.stored(spark, sf_dir))
     store.insert(views.incoming(spark, sf_dir), "library_key", "doc_id")
     return store.stats()
@@ -192,7 +183,7 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_stage_replay", f"WITH {STORE} SELECT library_key, title FROM store UNION ALL SELECT library_key, title FROM incoming WHERE library_key NOT IN (SELECT library_key FROM store)")
 def stage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A staged batch replayed twice is stored once."""
-    path = scratch(spark)
+    path = scratch_dir(spark)
     store = Store(spark, f"{path}/store")
     store.commit(views.stored(spark, sf_dir))
     stage(views.incoming(spark, sf_dir), f"{path}/staged")
@@ -203,7 +194,7 @@ def stage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_versioned_store", f"WITH {STORE} SELECT library_key, title FROM store WHERE library_key NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)")
 def versioned_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = Store(spark, scratch(spark))
+    store = Store(spark, scratch_dir(spark))
     store.commit(views.stored(spark, sf_dir))
     store.delete(views.read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("library_key")), "library_key")
     return store.read("library_key", "title")

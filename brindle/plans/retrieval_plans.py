@@ -9,7 +9,7 @@ from brindle.functions import vectors as V
 from brindle.operators import chunking, health, models, neighbours, retrieval
 from brindle.plans.catalog import query
 from brindle.plans.chunk_plans import BUDGET, SPANS, chunks, found
-from brindle.plans.library_plans import scratch
+from brindle.session import scratch_dir
 from brindle.sources import views
 from brindle.sources.store import Store
 from brindle.sources.views import LIB, MARKERS, VECTORS
@@ -247,7 +247,7 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_repair_zero", f"WITH {VECTORS}, zero AS (SELECT * FROM vec0 WHERE list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x)) <= 1e-8), {embedding('e', 'zero', 'id', 'text')} SELECT id, false AS repaired, len(list_filter(vector, lambda x: x <> 0)) AS n_set FROM vec0 WHERE id NOT IN (SELECT id FROM zero) UNION ALL SELECT id, true, count(*) FROM e JOIN zero z USING (id) WHERE z.text <> '' GROUP BY id")
 def repair_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zero vectors go; those with a text are embedded again, as a new snapshot."""
-    store = Store(spark, scratch(spark))
+    store = Store(spark, scratch_dir(spark))
     rows = views.vectors_with_zeros(spark, sf_dir)
     store.commit(rows.select("id", "text", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.lit(False).alias("repaired")))
     bad = health.zero_vectors(store.read())
@@ -266,7 +266,7 @@ def doc_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_stream_ingest", "SELECT doc_id, count(*) AS n_chunks FROM (SELECT doc_id, substr(text, pos * 512 + 1, 512) AS c FROM (SELECT *, unnest(range(CAST(ceil(length(text) / 512) AS BIGINT))) AS pos FROM documents)) WHERE regexp_matches(c, '\\S') GROUP BY 1")
 def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the stream, into a store."""
-    path = scratch(spark)
+    path = scratch_dir(spark)
     store = Store(spark, f"{path}/store")
     docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.parquet(f"{path}/source")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import usage
 from brindle.plans.catalog import query
-from brindle.plans.library_plans import scratch
+from brindle.session import scratch_dir
 from brindle.sources import batch_files, views
 from brindle.sources.views import LEDGER, PRICE_SQL
 
@@ -62,7 +62,7 @@ def conversations_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_conversation_scan", f"SELECT conv_id, 'Conversation on ' || strftime(min({DATED}), '%Y-%m-%d %H:%M') AS title, count(*) AS n_messages, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY 1")
 def conversation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations saved as JSON, with a line that is none, and read again."""
-    path = scratch(spark) + "/conversations"
+    path = scratch_dir(spark) + "/conversations"
     date = F.timestamp_add("MINUTE", F.col("conv_id") * 17, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     batch_files.saved(views.read(spark, sf_dir, "conversations"), date).select(F.explode(F.array(F.to_json(F.struct("conv_id", "title", "date", "history")), F.lit('{"conv_id": tr'))).alias("line")).write.text(path)
     rows = batch_files.conversations(spark, path)

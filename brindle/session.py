@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,3 +20,21 @@ def prepare(spark: SparkSession) -> None:
     paths = environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         environment["PYTHONPATH"] = ":".join(p for p in [ROOT, *paths] if p)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name under the folder that the cluster shares, as spark.checkpoint.dir has it.
+
+    Where that is unset, one machine gets a temporary folder; a cluster gets an error, since its machines would not share it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            root = found.get()
+        elif spark.sparkContext.master.startswith("local["):
+            root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
