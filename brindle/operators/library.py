@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,5 +99,34 @@ def extracted(pages: DataFrame, key: str, path: str, html: str) -> DataFrame:
     return rows.select(key, "status", F.when(F.col("status") == "ok", F.col("text")).alias("text"))
 
 
+def extract_with(files: DataFrame, path: str, content: str, extractor: Callable[[bytes], str], ending: str = "pdf") -> DataFrame:
+    """Adds status, text and error by a user's extractor, such as one for PDF. A file's failure is its row's.
+
+    Statuses: ``wrong_type`` for another ending, ``bad_path`` for no path or content, ``error`` for what the extractor raises, else ``ok``.
+    Only files of the right kind are given to it.
+    """
+    kind = F.when(F.col(path).isNull() | F.col(content).isNull(), "bad_path").when(F.lower(F.substring_index(path, ".", -1)) != ending, "wrong_type").otherwise("ok")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            statuses, texts, errors = [], [], []
+            for data in frame[content]:
+                try:
+                    texts.append(extractor(bytes(data)))
+                    statuses.append("ok")
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001  any failure is the row's
+                    texts.append(None)
+                    statuses.append("error")
+                    errors.append(f"{type(error).__name__}: {error}")
+            yield frame.assign(status=statuses, text=texts, error=errors)
+
+    none = F.lit(None).cast("string")
+    rows = files.withColumn("_kind", kind)
+    schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", status string, text string, error string"
+    done = rows.where("_kind = 'ok'").drop("_kind").mapInPandas(run, schema)
+    return done.unionByName(rows.where("_kind <> 'ok'").select(*files.columns, F.col("_kind").alias("status"), none.alias("text"), none.alias("error")))
+
+
 def ingest_report(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"))

@@ -179,3 +179,16 @@ def test_stream_is_like_one_batch(spark, tmp_path):
     stream_ingest(spark, store, source, docs.schema, str(tmp_path / "checkpoint"), 100)
     assert store.read().count() == n == sum(-(-len(r["text"]) // 100) for r in docs.collect())
     assert store.read("chunk_key").distinct().count() == n
+
+
+def test_extractor_errors(spark):
+    files = spark.createDataFrame([(1, "a.PDF", b"good"), (2, "b.pdf", b"bad"), (3, "c.txt", b"x"), (4, None, b"x"), (5, "d.pdf", None)], "id long, path string, content binary")
+
+    def extractor(data):
+        if data == b"bad":
+            raise ValueError("no text")
+        return data.decode().upper()
+
+    found = library.extract_with(files, "path", "content", extractor)
+    assert rows(found, "id", "status", "text", "error") == [(1, "ok", "GOOD", None), (2, "error", None, "ValueError: no text"), (3, "wrong_type", None, None), (4, "bad_path", None, None), (5, "bad_path", None, None)]
+    assert rows(library.ingest_report(found)) == [("bad_path", 2), ("error", 1), ("ok", 1), ("wrong_type", 1)]
