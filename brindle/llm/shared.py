@@ -1,43 +1,13 @@
-"""What several operators of this package need: scratch tables, shipping code, components."""
+"""What several operators of this package need: scratch tables and components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
-
-
-def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package also where the driver was started elsewhere."""
-    environment = spark.sparkContext.environment
-    paths = environment.get("PYTHONPATH", "").split(":")
-    if REPO not in paths:
-        environment["PYTHONPATH"] = ":".join(p for p in [REPO, *paths] if p)
+from brindle.session import prepare, scratch_dir
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder of the cluster.
-
-    Where ``spark.checkpoint.dir`` is unset, as in tests on one machine, a temporary folder of
-    this machine is used and set for the context.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            root = found.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-            spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and root.startswith("/") is False:
-        root = os.path.abspath(root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+__all__ = ["components", "prepare", "scratch_dir", "table", "written"]
 
 
 def written(df: DataFrame) -> DataFrame:

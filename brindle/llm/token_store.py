@@ -2,9 +2,9 @@
 
 Layout under one folder, all written by Spark's Parquet writer, so that any file system of the cluster does:
 
-* a bucketed table of chunks ``(digest, n_ids, payload)``: each distinct chunk once. ``digest`` is the SHA-256 of the
-  chunk's ids as little-endian unsigned 32-bit integers; ``payload`` is the Zstandard frame of the ids in two
-  bytes (or four, where an id needs it: then the frame's content is twice as long);
+* a bucketed table of chunks ``(digest, n_ids, payload)``: each distinct chunk once. ``digest`` is the 256-bit BLAKE2b of
+  the chunk's ids as little-endian unsigned integers of two bytes each (of four, where an id needs them); ``payload`` is the
+  Zstandard frame of the same bytes;
 * ``recipes``: ``(part, row, id, start, n_tokens, digests, root)`` in ascending id order; ``root`` is the Merkle root of
   the digests, in pairs from the left, an odd one going up unchanged;
 * ``manifest``: for each part of the recipes the number of documents and ids and the SHA-256 of its roots in order.
@@ -88,12 +88,12 @@ def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str,
                 for coded in words.encode(texts_of(part.column(1))):
                     ids, last, recipe = np.frombuffer(coded + end, dtype="<u4"), 0, []
                     for at in cuts(ids):
-                        data = ids[last:at].tobytes()
-                        digest = hashlib.sha256(data).digest()
+                        some = ids[last:at]
+                        data = (some.astype("<u2") if some.max() < 65536 else some).tobytes()
+                        digest = hashlib.blake2b(data, digest_size=32).digest()
                         recipe.append(digest)
                         if digest not in seen:
-                            some = ids[last:at]
-                            seen[digest] = (at - last, pressed.compress((some.astype("<u2") if some.max() < 65536 else some).tobytes()))
+                            seen[digest] = (at - last, pressed.compress(data))
                         last = at
                     sizes.append(len(ids))
                     recipes.append(recipe)
@@ -125,7 +125,7 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1, id_column: st
     spark = docs.sparkSession
     path, name = scratch_dir(spark), f"token_chunks_{uuid.uuid4().hex}"
     # Texts are encoded once, into a staging table that goes when the store is complete.
-    encode_chunks(docs, vocabulary, end_id, id_column, text).write.option("compression", "zstd").parquet(f"{path}/staging")
+    encode_chunks(docs, vocabulary, end_id, id_column, text).write.option("compression", "none").parquet(f"{path}/staging")
     staged = spark.read.parquet(f"{path}/staging")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = staged.where("not is_recipe").select(F.col("digests")[0].alias("digest"), F.col("n").alias("n_ids"), "payload")
@@ -172,35 +172,39 @@ def read_documents(spark: SparkSession, store: Store, with_ids: bool = True) ->
         raise ValueError(f"{bad} parts of the recipes differ from the manifest")
     # Documents of equal ids have equal roots and are put together once.
     uses = recipes.groupBy("root").agg(F.first("digests").alias("digests")).select("root", F.posexplode("digests").alias("at", "digest"))
-    parts = uses.join(chunks, "digest", "left").select("root", "at", "digest", "payload")
-    docs = parts.groupBy("root").agg(F.collect_list(F.struct("at", "digest", "payload")).alias("parts"))
+    parts = uses.join(chunks, "digest", "left").select("root", "at", "digest", "n_ids", "payload")
+    docs = parts.groupBy("root").agg(F.collect_list(F.struct("at", "digest", "n_ids", "payload")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         checked: dict[bytes, bytes] = {}
+
+        def ids_of(digest: bytes, n: int | None, payload: bytes | None) -> bytes:
+            if payload is None:
+                raise ValueError(f"chunk {digest.hex()} is missing")
+            raw = open_.decompress(payload)
+            if hashlib.blake2b(raw, digest_size=32).digest() != digest:
+                raise ValueError(f"chunk {digest.hex()} is damaged")
+            return np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes() if len(raw) == 2 * n else raw
+
         for batch in batches:
             rows, sizes, sums, roots, held = batch.column(0), [], [], [], []
-            for parts in batch.column(1):
-                parts = sorted(parts.as_py(), key=lambda p: p["at"])
+            lists = batch.column(1)
+            edges = lists.offsets.to_numpy().tolist()
+            at, digests, counts, payloads = (lists.values.field(k).to_pylist() for k in range(4))
+            for a, b in zip(edges, edges[1:], strict=False):
+                order = sorted(range(a, b), key=at.__getitem__)
                 data = []
-                for p in parts:
-                    if p["digest"] not in checked:
-                        if p["payload"] is None:
-                            raise ValueError(f"chunk {p['digest'].hex()} is missing")
-                        raw = open_.decompress(p["payload"])
-                        wide = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
-                        if hashlib.sha256(wide).digest() != p["digest"]:
-                            wide = raw
-                            if hashlib.sha256(wide).digest() != p["digest"]:
-                                raise ValueError(f"chunk {p['digest'].hex()} is damaged")
+                for i in order:
+                    if digests[i] not in checked:
                         if len(checked) > 5000:
                             checked.clear()
-                        checked[p["digest"]] = wide
-                    data.append(checked[p["digest"]])
+                        checked[digests[i]] = ids_of(digests[i], counts[i], payloads[i])
+                    data.append(checked[digests[i]])
                 whole = b"".join(data)
                 sizes.append(len(whole) // 4)
                 sums.append(zlib.crc32(whole))
-                roots.append(merkle([p["digest"] for p in parts]))
+                roots.append(merkle([digests[i] for i in order]))
                 held.append(whole)
             columns = [rows, pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(roots, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns + ([pa.array(held, pa.binary())] if with_ids else []), ["root", "n_read", "ids_crc32", "read_root"] + ["ids"] * with_ids)

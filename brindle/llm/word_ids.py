@@ -10,7 +10,8 @@ import hashlib
 
 import numpy as np
 
-CACHE_ENTRIES = 1_000_000
+#: Parts that a worker keeps in each of its two generations.
+CACHE_ENTRIES = 500_000
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -23,7 +24,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        # The library's own cache of pieces does not help: no part is given to it twice.
+        self.tokenizer.model._resize_cache(0)
+        # Parts met lately, and those before them; what is met again moves up.
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
         """The library encodes many words at once, one a line; offsets tell whose each id is."""
@@ -39,14 +44,44 @@ class WordIds:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
         # The vocabulary has lower case only. Lowering ASCII early means fewer parts to learn, but not
         # where accents compose or where it could spell a special token.
-        parts = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        parts = [lowered(t).split() for t in texts]
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = list(set().union(*parts).difference(self.known))
-        for start in range(0, len(new), 50_000):
-            self.learn(new[start : start + 50_000])
-        of = self.known.__getitem__
-        return [b"".join(map(of, p)) for p in parts]
+            self.known, self.older = {}, self.known
+        get = self.known.get
+        found = [list(map(get, p)) for p in parts]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
+        self.add({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
+        for p, f, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = get(p[i])
+        return [b"".join(f) for f in found]
+
+    def add(self, words: set[bytes]) -> None:
+        """Learns words: as another one with its last full stop or comma, which after an ASCII letter is a piece of its own, or as such."""
+        known, older = self.known, self.older
+        made, todo = [], set()
+        for word in words:
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+                continue
+            low = lowered(word)
+            base, end = (low[:-1], low[-1:]) if low[-1] in b".," and 97 <= (low[-2:-1] or b"\0")[0] <= 122 else (low, b"")
+            made.append((word, base, end))
+            for w in (base, end):
+                if w and w not in known:
+                    if w in older:
+                        known[w] = older[w]
+                    else:
+                        todo.add(w)
+        todo = list(todo)
+        for start in range(0, len(todo), 50_000):
+            self.learn(todo[start : start + 50_000])
+        for word, base, end in made:
+            known[word] = known[base] + known[end] if end else known[base]
+
+
+def lowered(text: bytes) -> bytes:
+    return text.lower() if text.isascii() and b"<|" not in text else text
 
 
 ENCODERS: dict[bytes, WordIds] = {}
