@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from brindle.llm.byte_bpe import texts_of
-from brindle.llm.shared import scratch_dir
+from brindle.llm.shared import scratch_dir, written
 from brindle.llm.word_ids import encoder, read_vocabulary
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
+#: Uses of a chunk in a slice, and how many chunks of more uses are broadcast (digests only).
+HOT_USES, BROADCAST_HOT = 1000, 10_000
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -171,8 +173,16 @@ def read_documents(spark: SparkSession, store: Store, with_ids: bool = True) ->
     if bad:
         raise ValueError(f"{bad} parts of the recipes differ from the manifest")
     # Documents of equal ids have equal roots and are put together once.
-    uses = recipes.groupBy("root").agg(F.first("digests").alias("digests")).select("root", F.posexplode("digests").alias("at", "digest"))
-    parts = uses.join(chunks, "digest", "left").select("root", "at", "digest", "n_ids", "payload")
+    uses = written(recipes.groupBy("root").agg(F.first("digests").alias("digests")).select("root", F.posexplode("digests").alias("at", "digest")))
+    # A chunk that many documents use is met in slices, so that no task has all its uses.
+    hot = written(uses.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > HOT_USES).select("digest", F.ceil(F.col("n") / HOT_USES).alias("slices")))
+    few = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
+    marked = uses.join(few, "digest", "left")
+    wanted = ["root", "at", "digest", "n_ids", "payload"]
+    cold = marked.where("slices is null").join(chunks, "digest", "left").select(*wanted)
+    copies = chunks.join(few, "digest").select("digest", "n_ids", "payload", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
+    warm = marked.where("slices is not null").withColumn("slice", F.pmod(F.xxhash64("root"), "slices")).join(copies, ["digest", "slice"], "left").select(*wanted)
+    parts = cold.unionByName(warm)
     docs = parts.groupBy("root").agg(F.collect_list(F.struct("at", "digest", "n_ids", "payload")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

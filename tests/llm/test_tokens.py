@@ -88,6 +88,16 @@ def test_op8_on_the_tables(spark, sf_dir):
     check_store([(r["doc_id"], r["text"] or "") for r in docs], queries.queries()["op8_token_store"](spark, sf_dir).collect())
 
 
+def test_op8_hot_chunks(spark, odd_docs, odd_rows, monkeypatch):
+    monkeypatch.setattr(token_store, "HOT_USES", 1)
+    shared = spark.createDataFrame([(1000 + i, "word " * 3000 + f"own {i}") for i in range(12)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["text"]) for r in shared.collect()]
+    store = token_store.write_store(shared, VOCABULARY)
+    check_store(rows, token_store.read_documents(spark, store).collect())
+    monkeypatch.setattr(token_store, "BROADCAST_HOT", 0)
+    check_store(rows, token_store.read_documents(spark, store).collect())
+
+
 def test_op8_notices_damage(spark, odd_docs):
     store = token_store.write_store(odd_docs, VOCABULARY)
     other = spark.table(store.chunks).selectExpr("digest", "n_ids", "first(payload) over () as payload")
