@@ -7,13 +7,23 @@ parts between ASCII white space, in order. Each Python worker keeps the ids of t
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Parts that a worker keeps in each of its two generations.
 CACHE_ENTRIES = 500_000
 
 
+#: A word of a-z and of the lower-case letters from U+00DF to U+00FF, in UTF-8, and what may follow: composed, and lower but for ASCII.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,]?)")
+#: Fixed by byte-level vocabularies: bytes that print stand for themselves, the others for the letters from U+0100 on.
+PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
+
+
 def read_vocabulary(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -21,63 +31,81 @@ def read_vocabulary(path: str) -> bytes:
 
 class WordIds:
     def __init__(self, vocabulary: bytes) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         # The library's own cache of pieces does not help: no part is given to it twice.
         self.tokenizer.model._resize_cache(0)
         # Parts met lately, and those before them; what is met again moves up.
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
-    def learn(self, words: list[bytes]) -> None:
-        """The library encodes many words at once, one a line; offsets tell whose each id is."""
-        text = [w.decode() for w in words]
-        starts = np.cumsum([0, *(len(w) + 1 for w in text)])
-        coded = self.tokenizer.encode("\n".join(text), add_special_tokens=False)
-        ids = np.array(coded.ids, dtype="<u4").tobytes()
-        at = np.fromiter((a for a, _ in coded.offsets), dtype=np.int64, count=len(ids) // 4)
-        ends = (np.searchsorted(at, starts) * 4).tolist()
-        self.known.update((w, ids[a:b]) for w, a, b in zip(words, ends, ends[1:], strict=False))
+    def run(self, encoder, words: list[bytes], text: list[str]) -> None:
+        for first in range(0, len(words), 50_000):
+            some = text[first : first + 50_000]
+            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
+            coded = encoder.encode("\n".join(some), add_special_tokens=False)
+            ids = np.array(coded.ids, dtype="<u4").tobytes()
+            at = np.fromiter((a for a, _ in coded.offsets), dtype=np.int64, count=len(ids) // 4)
+            ends = (np.searchsorted(at, starts) * 4).tolist()
+            self.known.update((w, ids[a:b]) for w, a, b in zip(words[first : first + 50_000], ends, ends[1:], strict=False))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
+        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added.
+
+        Arrow cuts the texts and numbers their distinct parts, so that each is looked up once for all texts given.
+        """
+        if not texts:
+            return []
         # The vocabulary has lower case only. Lowering ASCII early means fewer parts to learn, but not
         # where accents compose or where it could spell a special token.
-        parts = [lowered(t).split() for t in texts]
+        parts = pc.ascii_split_whitespace(pa.array([lowered(t) for t in texts], pa.binary()).cast(pa.string()))
+        numbered = parts.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary()).to_pylist()
         if len(self.known) > CACHE_ENTRIES:
             self.known, self.older = {}, self.known
-        get = self.known.get
-        found = [list(map(get, p)) for p in parts]
-        gaps = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-        self.add({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
-        for p, f, g in zip(parts, found, gaps, strict=True):
-            for i in g:
-                f[i] = get(p[i])
-        return [b"".join(f) for f in found]
-
-    def add(self, words: set[bytes]) -> None:
-        """Learns words: as another one with its last full stop or comma, which after an ASCII letter is a piece of its own, or as such."""
+        self.known[b""] = b""
+        found = list(map(self.known.get, words))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        self.add([words[i] for i in gaps])
+        for i in gaps:
+            found[i] = self.known[words[i]]
+        pool = np.frombuffer(b"".join(found), dtype="<u4")
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        # Each part's ids are copied from where they stand in the pool.
+        number = numbered.indices.to_numpy()
+        size, start = sizes[number], (np.cumsum(sizes) - sizes)[number]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cuts = (ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * 4).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def add(self, words: list[bytes]) -> None:
+        """Learns words. A last full stop or comma after a letter is a piece of its own.
+
+        Words of Latin letters are one piece as they stand, lowered: only the library's model is needed for them.
+        """
         known, older = self.known, self.older
-        made, todo = [], set()
+        made, plain, other = [], set(), []
         for word in words:
             if (ids := older.get(word)) is not None:
                 known[word] = ids
-                continue
-            low = lowered(word)
-            base, end = (low[:-1], low[-1:]) if low[-1] in b".," and 97 <= (low[-2:-1] or b"\0")[0] <= 122 else (low, b"")
-            made.append((word, base, end))
-            for w in (base, end):
-                if w and w not in known:
-                    if w in older:
-                        known[w] = older[w]
-                    else:
-                        todo.add(w)
-        todo = list(todo)
-        for start in range(0, len(todo), 50_000):
-            self.learn(todo[start : start + 50_000])
-        for word, base, end in made:
-            known[word] = known[base] + known[end] if end else known[base]
+            elif found := PLAIN.fullmatch(word):
+                base = found[1].lower()
+                made.append((word, base, found[2]))
+                if base not in known:
+                    plain.add(base)
+            else:
+                other.append(word)
+        again = [w for w in plain if w in older]
+        known.update((w, older[w]) for w in again)
+        new = list(plain.difference(again))
+        self.run(self.model, new, [w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_LETTERS) for w in new])
+        other += [e for e in (b".", b",") if e not in known]
+        self.run(self.tokenizer, other, [w.decode() for w in other])
+        known.update((word, known[base] + known[end] if end else known[base]) for word, base, end in made)
 
 
 def lowered(text: bytes) -> bytes:
