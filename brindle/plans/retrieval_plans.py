@@ -112,9 +112,10 @@ def search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search_tokens(asked(spark, sf_dir), known_hits(spark, sf_dir))
 
 
-def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the three best documents of each query, with their similarity."""
-    pairs = hits(spark, sf_dir).where("rank <= 3").select("query", "doc_id")
+def passages(spark: SparkSession, sf_dir: str, best: int | None = None) -> DataFrame:
+    """Chunks of each query's hits, with their similarity; of its ``best`` documents only, where that is given."""
+    found = hits(spark, sf_dir)
+    pairs = (found if best is None else found.where(F.col("rank") <= best)).select("query", "doc_id")
     cut = chunking.fixed(views.read(spark, sf_dir, "documents"), "doc_id", "text", retrieval.CHUNK).select("doc_id", "chunk_id", "content")
     return retrieval.scored_passages(pairs, asked(spark, sf_dir), cut)
 
@@ -124,18 +125,38 @@ KEPT = """, marked AS (SELECT *, max(score >= {least}) OVER (PARTITION BY query,
 kept AS (SELECT query, doc_id, chunk_id, score, CASE WHEN hit THEN row_number() OVER (PARTITION BY query, doc_id ORDER BY chunk_id) ELSE rk END AS position FROM marked WHERE score >= {least} OR (NOT hit AND rk <= 8)) SELECT * FROM kept"""
 
 
+#: What the SQL of the three queries without ``_all`` states; those with it take every hit.
+BEST = 3
+ALL_PASSAGES = SEARCH + ", passages AS (SELECT h.query, h.doc_id, cut.chunk_id, round(coalesce(c.score, 0), 6) AS score FROM hits h JOIN cut ON cut.doc_id = h.doc_id LEFT JOIN cosines c ON c.query = h.query AND c.doc_id = h.doc_id AND c.chunk_id = cut.chunk_id)"
+
+
 @query("q_doc_passages", PASSAGES + KEPT.format(least=0.7))
 def doc_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.threshold_or_top(passages(spark, sf_dir, BEST), ["query", "doc_id"], "chunk_id")
+
+
+@query("q_doc_passages_all", ALL_PASSAGES + KEPT.format(least=0.7))
+def doc_passages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.threshold_or_top(passages(spark, sf_dir), ["query", "doc_id"], "chunk_id")
 
 
 @query("q_threshold_or_topk", PASSAGES + KEPT.format(least=0.85))
 def threshold_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.threshold_or_top(passages(spark, sf_dir, BEST), ["query", "doc_id"], "chunk_id", least=0.85)
+
+
+@query("q_threshold_or_topk_all", ALL_PASSAGES + KEPT.format(least=0.85))
+def threshold_or_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.threshold_or_top(passages(spark, sf_dir), ["query", "doc_id"], "chunk_id", least=0.85)
 
 
 @query("q_score_threshold", PASSAGES + " SELECT query, doc_id, chunk_id, score FROM passages WHERE score >= 0.7")
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(spark, sf_dir, BEST).where(F.col("score") >= retrieval.LEAST_SCORE).orderBy("query", "doc_id", "chunk_id")
+
+
+@query("q_score_threshold_all", ALL_PASSAGES + " SELECT query, doc_id, chunk_id, score FROM passages WHERE score >= 0.7")
+def score_threshold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(spark, sf_dir).where(F.col("score") >= retrieval.LEAST_SCORE).orderBy("query", "doc_id", "chunk_id")
 
 

@@ -41,3 +41,16 @@ def test_all_lists_are_exact(spark, sf_dir):
     exact = neighbours.nearest(plans.some_vectors(spark, sf_dir), plans.vectors(spark, sf_dir), 10)
     key = lambda rows: {(r["query"], r["rank"], r["id"]) for r in rows.collect()}
     assert key(whole) == key(exact)
+
+
+def test_passages_of_every_hit(spark, sf_dir):
+    """Each document that a query hits is looked at, and a passage that is near enough stays whatever its document's rank."""
+    from brindle.plans import retrieval_plans as plans
+
+    pairs = {(r["query"], r["doc_id"]) for r in plans.hits(spark, sf_dir).collect()}
+    rows = plans.passages(spark, sf_dir).collect()
+    assert {(r["query"], r["doc_id"]) for r in rows} == pairs
+    near = {(r["query"], r["doc_id"], r["chunk_id"]) for r in rows if r["score"] >= 0.7}
+    assert {(r["query"], r["doc_id"], r["chunk_id"]) for r in catalog.QUERIES["q_score_threshold_all"](spark, sf_dir).collect()} == near
+    for name in ("q_doc_passages_all", "q_threshold_or_topk_all"):
+        assert {(r["query"], r["doc_id"]) for r in catalog.QUERIES[name](spark, sf_dir).collect()} == pairs
