@@ -159,19 +159,19 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def signed(docs: DataFrame, id_column: str, text: str, depths: list[int]) -> DataFrame:
-    """(id, node, size, prefixes) of each document: its shingle set's name, its size and its place in each tree."""
+    """(id, mark, node, size, prefixes) of each document: its text's hash, its shingle set's name, its size and its place in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                sets = shingle_sets(texts_of(part.column(1)))
+                sets = shingle_sets(texts_of(part.column(2)))
                 prefixes = signatures(sets, depths).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * len(depths), pa.int32()), pa.array(prefixes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "node", "size", "prefixes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "mark", "node", "size", "prefixes"])
 
     kind = docs.select(id_column).dtypes[0][1]
-    return docs.select(id_column, text).mapInArrow(run, f"id {kind}, node binary, size bigint, prefixes array<bigint>")
+    return docs.select(id_column, F.xxhash64(text).alias("mark"), text).mapInArrow(run, f"id {kind}, mark bigint, node binary, size bigint, prefixes array<bigint>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -240,9 +240,6 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
             held.setdefault((side or 0, node), (weight, text, side))
         keys = list(held)
         sets = shingle_sets([held[k][1] for k in keys])
-        # A row whose text is another than the class's (an id given twice) is not the class's.
-        good = [i for i, k in enumerate(keys) if set_key(sets[i]) == k[1]]
-        keys, sets = [keys[i] for i in good], [sets[i] for i in good]
         weights = np.array([held[k][0] for k in keys], dtype=np.int64)
         if any(held[k][2] is None for k in keys):
             if len(keys) < 2:
@@ -285,17 +282,17 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.sortWithinPartitions("group").mapInArrow(run, "node binary, root binary, links bigint")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links) of every document.
+def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, block: int = BLOCK, with_groups: bool = False) -> DataFrame:
+    """(id, class_id, n_links) of every document; ``with_groups`` adds mark, its text's hash, and group, which names the linked rows.
 
     ``n_links`` is the number of other documents whose sets of five-word shingles have a Jaccard similarity of at least
     ``threshold``; ``class_id`` is the least id reached over such links, its own without any. Texts without a word, null ones too, link with
     nothing. A row with a null id links with nothing and has a null class. Repeated rows count as documents of their own, so that each
-    has the others as links. Other columns are not read; an empty table gives no row.
+    has the others as links. An id may stand on rows of different texts: each row has its own text's links and group. Other columns are not read; an empty table gives no row.
     """
     depths = forest_depths(threshold, trees, DEPTH, recall)
     sign = written(signed(docs.where(F.col(id_column).isNotNull()), id_column, text, depths))
-    classes = written(sign.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("prefixes").alias("prefixes")))
+    classes = written(sign.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("rep"), F.count("*").alias("weight"), F.first("prefixes").alias("prefixes")).select("node", F.col("rep.id").alias("rep"), F.col("rep.mark").alias("mark"), "weight", "prefixes"))
     places = classes.select("node", F.explode("prefixes").alias("prefix"))
     shared = places.groupBy("prefix").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("prefix", "least")
     met = written(places.join(shared, "prefix"))
@@ -313,8 +310,9 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "
     across = wide.join(others, "prefix").where("home <> other_home").select("node", "block", "other").distinct()
     low, high, same = F.least("block", "other"), F.greatest("block", "other"), F.col("block") == F.col("other")
     sent = within.unionByName(across).select("node", F.when(same, F.col("block")).otherwise(F.xxhash64(low, high)).alias("group"), F.when(~same, F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
-    owners = homes.select("node").join(classes.select("node", "rep", "weight"), "node")
-    bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.col(text).alias("text")), "rep").select("node", "weight", "text")
+    owners = homes.select("node").join(classes.select("node", "rep", "mark", "weight"), "node")
+    # The mark picks the class's own text where its id stands on other texts too.
+    bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")), ["rep", "mark"]).select("node", "weight", "text")
     rows = sent.join(bodies, "node").select("group", "side", "node", "weight", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(verify(rows.repartition(parts, "group"), threshold))
@@ -323,9 +321,11 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "
     named = groups.join(classes.select("node", "rep"), "node")
     least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
     of_node = classes.select("node", "rep", "weight").join(counts, "node", "left").join(groups, "node", "left").join(least, "component", "left")
-    of_node = of_node.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    of_node = of_node.select("node", F.coalesce("component", "node").alias("group"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # Rows without a shingle set are not joined: many of them would meet on null.
-    out = sign.where("node is not null").select("id", "node").join(of_node, "node").select(F.col("id").alias(id_column), "class_id", "n_links")
-    alone = sign.where("node is null").select(F.col("id").alias(id_column), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    nameless = docs.where(F.col(id_column).isNull()).select(id_column, F.col(id_column).alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    return out.unionByName(alone).unionByName(nameless)
+    more = ["mark", "group"] if with_groups else []
+    none, no_group = F.lit(0).cast("bigint").alias("n_links"), F.lit(None).cast("binary").alias("group")
+    out = sign.where("node is not null").select("id", "mark", "node").join(of_node, "node").select(F.col("id").alias(id_column), "class_id", "n_links", *more)
+    alone = sign.where("node is null").select(F.col("id").alias(id_column), F.col("id").alias("class_id"), none, "mark", no_group)
+    nameless = docs.where(F.col(id_column).isNull()).select(id_column, F.col(id_column).alias("class_id"), none, F.xxhash64(text).alias("mark"), no_group)
+    return out.unionByName(alone.select(*out.columns)).unionByName(nameless.select(*out.columns))

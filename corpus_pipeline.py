@@ -28,11 +28,16 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays, once; rows without an id are in no group."""
+    """The document with the least id of each group stays, once; rows without an id, or a word, are in no group.
+
+    A document is an id with a text, so that of an id with several texts those stay that are no copies.
+    """
     prepare(spark)
-    gone = ngram_jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
+    found = ngram_jaccard_join(docs, with_groups=True)
+    least = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", F.col("mark").alias("_mark"))).alias("m")).select("m.doc_id", "m._mark")
+    stay = least.unionByName(found.where("group is null and doc_id is not null").select("doc_id", F.col("mark").alias("_mark")))
+    named = docs.where("doc_id is not null").withColumn("_mark", F.xxhash64("text")).join(stay, ["doc_id", "_mark"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("doc_id"))
     once = named.withColumn("_n", again).where("_n = 1").select(*docs.columns)
     return once.unionByName(docs.where("doc_id is null"))
 

@@ -211,5 +211,17 @@ def test_stages_bear_odd_rows(spark, odd_docs, sf_dir):
     assert Counter(r["doc_id"] for r in once)[3] == 1 and None in {r["doc_id"] for r in once}
 
 
+def test_one_of_group_keeps_other_texts_of_an_id(spark):
+    """A copy under an id does not take that id's other text with it, and one row of each group stays."""
+    rng = random.Random(11)
+    a, b, c = (words(rng, 100) for _ in range(3))
+    near = lambda w: " ".join([*w[:50], "new", *w[51:]])
+    rows = [(1, " ".join(a)), (5, near(a)), (5, " ".join(b)), (7, " ".join(c)), (7, near(c)), (8, ""), (8, "two words"), (8, "two words"), (None, near(c))]
+    kept = corpus_pipeline.keep_one_of_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    found = [(r["doc_id"], r["text"]) for r in kept]
+    assert sum(r[0] == 7 for r in found) == 1
+    assert sorted((r for r in found if r[0] != 7), key=str) == sorted([rows[0], rows[2], rows[5], rows[6], rows[8]], key=str)
+
+
 def test_sql_names():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and sql.OP1

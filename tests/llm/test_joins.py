@@ -79,6 +79,21 @@ def test_op1_odd_rows(spark, odd_docs):
     assert ngram_join.ngram_jaccard_join(odd_docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_op1_texts_under_one_id(spark, turned):
+    """Each row of an id has the links of its own text, whatever the order of the rows."""
+    rng = random.Random(9)
+    base, other = words(rng, 100), words(rng, 100)
+    near = lambda w, k: " ".join([*w[:k], f"new{k}", *w[k + 1 :]])
+    rows = [(1, " ".join(base)), (1, " ".join(other)), (1, "alone here"), (2, near(base, 40)), (2, near(other, 30)), (3, near(base, 50)), (4, near(other, 60)), (4, near(other, 60)), (5, None), (5, "single words")]
+    docs = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string").coalesce(1)
+    links = brute(rows)
+    named = components_of(links)
+    least = {root: min(rows[i][0] for i in named if named[i] == root) for root in named.values()}
+    want = sorted((rows[i][0], least[named[i]], len(links[i])) for i in named)
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()) == want
+
+
 def test_depths_reach_the_recall():
     depths = ngram_join.forest_depths(0.8, 32, 12, 0.9995)
     missed = np.prod([1 - 0.8**k for k in depths])
