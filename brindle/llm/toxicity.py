@@ -28,6 +28,8 @@ from brindle.llm.shared import written
 SAMPLE_ROWS, LEXICON_ENTRIES = 20_000, 2_000
 #: Letters of a word start, and what an entry must have: toxic texts with it, as a number and as a share of all, and odds.
 STEM, LEAST_TOXIC, LEAST_SHARE, LEAST_ODDS = 5, 3, 0.02, 12.0
+#: What serves instead of the share: toxic texts, and by how many standard errors of their logarithm the odds must be higher.
+SURE_TOXIC, ERRORS = 5, 1.645
 
 #: Second-person words of the corpus' languages.
 SECOND_PERSON = frozenset(
@@ -98,7 +100,8 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str, keep: list[str])
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Words and word starts whose odds are LEAST_ODDS times higher in toxic texts; at most LEXICON_ENTRIES.
 
-    Copies count once, and an entry must be in many toxic texts: else the rare words of a few texts would pass.
+    Copies count once, and an entry must be in many toxic texts, or have odds whose lower bound suffices: else the rare words of
+    a few texts would pass. What the bound asks for does not grow with the sample.
     """
     rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
@@ -115,7 +118,9 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     counted = rows.select("text", "toxic").mapInArrow(run, "entry binary, toxic int").groupBy("entry").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     sizes = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("good")).first()
     odds = (F.col("bad") + 0.5) / (sizes["bad"] + 1.0) * (sizes["good"] + 1.0) / (F.col("good") + 0.5)
-    best = counted.where((F.col("bad") >= max(LEAST_TOXIC, LEAST_SHARE * sizes["bad"])) & (odds >= LEAST_ODDS)).orderBy((odds * F.log1p("bad")).desc(), "entry").limit(LEXICON_ENTRIES).select("entry").collect()
+    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    sure = (F.col("bad") >= SURE_TOXIC) & (odds * F.exp(-ERRORS * error) >= LEAST_ODDS)
+    best = counted.where(((F.col("bad") >= max(LEAST_TOXIC, LEAST_SHARE * sizes["bad"])) | sure) & (odds >= LEAST_ODDS)).orderBy((odds * F.log1p("bad")).desc(), "entry").limit(LEXICON_ENTRIES).select("entry").collect()
     found = [bytes(r["entry"]) for r in best]
     return Lexicon(frozenset(e[1:] for e in found if e[:1] == b"w"), frozenset(e[1:] for e in found if e[:1] == b"s"))
 

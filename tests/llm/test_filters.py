@@ -83,6 +83,21 @@ def test_op2(spark):
     assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in held) >= 0.97 * len(held)
 
 
+def test_op2_learns_rare_but_sure_words(spark):
+    """A word of ten toxic texts and no clean one is learned, however many toxic texts there are; words that chance put there are not."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(6000):
+        w, bad = words(rng, 30), i % 10 == 0
+        if bad:
+            w[3] = "raregrim" if i < 100 else "vilefool"
+        if i in (1, 2, 3, 200, 210, 220, 230):
+            w[5] = "seldom"
+        rows.append((" ".join(w), int(bad)))
+    found = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert found.words == {b"vilefool", b"raregrim"}
+
+
 def test_op2_does_not_learn_held_out_labels(spark):
     docs, labels = labelled(spark)
     turned = labels.withColumn("toxic", F.when(toxicity.fold("doc_id") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
