@@ -64,9 +64,10 @@ def conversation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations saved as JSON, with a line that is none, and read again."""
     path = scratch_dir(spark) + "/conversations"
     date = F.timestamp_add("MINUTE", F.col("conv_id") * 17, F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    batch_files.saved(views.read(spark, sf_dir, "conversations"), date).select(F.explode(F.array(F.to_json(F.struct("conv_id", "title", "date", "history")), F.lit('{"conv_id": tr'))).alias("line")).write.text(path)
+    batch_files.saved(views.read(spark, sf_dir, "conversations"), date).select(F.explode(F.array(F.to_json(F.struct("conv_id", "part", "title", "date", "history")), F.lit('{"conv_id": tr'))).alias("line")).write.text(path)
     rows = batch_files.conversations(spark, path)
-    return rows.select("conv_id", "title", F.size("history").cast("bigint").alias("n_messages"), F.aggregate("history", F.lit(0).cast("bigint"), lambda a, m: a + F.char_length(m["text"])).alias("n_chars"))
+    runs = rows.select("conv_id", "title", F.size("history").cast("bigint").alias("n"), F.aggregate("history", F.lit(0).cast("bigint"), lambda a, m: a + F.char_length(m["text"])).alias("chars"))
+    return runs.groupBy("conv_id", "title").agg(F.sum("n").alias("n_messages"), F.sum("chars").alias("n_chars"))
 
 
 @query("q_format_number", "SELECT o_orderkey, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) AS price FROM orders")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 ITEMS = "array<struct<file_path: string, library_key: string, title: string, text: string, hash: string>>"
 LOG = f"batch_id string, file_id string, provider string, model string, created_at timestamp, items {ITEMS}"
+#: Turns of a conversation in one saved line.
+RUN = 1000
 RESULT = "custom_id string, response struct<body: struct<data: array<struct<embedding: array<float>>>>>, error struct<message: string>, _bad string"
 
 
@@ -41,15 +43,15 @@ def pending(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, path: str) -> DataFrame:
-    """Saved conversations, one JSON a file or line; what cannot be read is left out, usage counts as 0 where absent."""
-    schema = "conv_id bigint, title string, date timestamp, history array<struct<turn: bigint, role: string, text: string>>, usage struct<input: bigint, output: bigint>, _bad string"
+    """Saved conversations, each of one or several lines of JSON, one for a run of its turns; what cannot be read is left out, usage counts as 0 where absent."""
+    schema = "conv_id bigint, part bigint, title string, date timestamp, history array<struct<turn: bigint, role: string, text: string>>, usage struct<input: bigint, output: bigint>, _bad string"
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_bad").json(path)
     usage = F.struct(F.coalesce("usage.input", F.lit(0)).alias("input"), F.coalesce("usage.output", F.lit(0)).alias("output"))
     return rows.where("_bad is null and conv_id is not null").drop("_bad").withColumn("usage", usage)
 
 
 def saved(messages: DataFrame, date) -> DataFrame:
-    """One row a conversation, ready to write as JSON, titled by its date."""
+    """One row for each run of RUN turns of a conversation, ready to write as JSON, titled by its date."""
     history = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = messages.groupBy("conv_id").agg(history.alias("history")).withColumn("date", date)
+    rows = messages.groupBy("conv_id", F.floor(F.col("turn") / RUN).alias("part")).agg(history.alias("history")).withColumn("date", date)
     return rows.withColumn("title", F.concat(F.lit("Conversation on "), F.date_format("date", "yyyy-MM-dd HH:mm")))

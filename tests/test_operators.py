@@ -107,6 +107,15 @@ def test_batch_logs(spark, tmp_path):
     assert [(r["seq"], r["batch_id"]) for r in batch_files.pending(spark, str(tmp_path)).collect()] == [(10, "ten"), (2, "two")]
 
 
+def test_long_conversations_are_saved_in_runs(spark, tmp_path):
+    messages = spark.range(2500).selectExpr("7L as conv_id", "id as turn", "'user' as role", "'hi' as text")
+    saved = batch_files.saved(messages, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    saved.write.json(f"{tmp_path}/conversations")
+    found = batch_files.conversations(spark, f"{tmp_path}/conversations").collect()
+    assert sorted((r["part"], len(r["history"])) for r in found) == [(0, 1000), (1, 1000), (2, 500)]
+    assert sorted(m["turn"] for r in found for m in r["history"]) == list(range(2500))
+
+
 def test_text_functions(spark):
     cases = {"Compare @symbols.pdf with @subtables.pdf": ["symbols.pdf", "subtables.pdf"], '@"two words.pdf" x': ["two words.pdf"], "me@mail.com": [], "@ @": [], '@"open': []}
     for text, want in cases.items():
