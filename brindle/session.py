@@ -37,4 +37,17 @@ def scratch_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(root)
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{folder(spark, root)}/{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession, root: str) -> str:
+    """Everything that an application writes for its own use is in one folder, which may be deleted when it ends."""
+    return f"{root.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes the application's scratch tables: for when no result that reads them is needed any more."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
+    if root:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder(spark, root))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
