@@ -13,15 +13,24 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from brindle.llm.batches import Cache, gathered, ids_of_texts, pooled, slices, texts_of
+
 #: White space that can follow a space, in UTF-8: what \s has in Unicode.
 SPACES = rb"[\x09-\x0D\x20]|\xC2[\x85\xA0]|\xE1\x9A\x80|\xE2\x80[\x80-\x8A\xA8\xA9\xAF]|\xE2\x81\x9F|\xE3\x80\x80"
-CACHE_ENTRIES = 800_000
+#: Bytes of pieces and of chunks, with their ids, that a worker keeps.
+PIECE_BYTES, CHUNK_BYTES = 48 << 20, 16 << 20
+#: A plain chunk: letters with a space before them or none, which are one piece, and ASCII punctuation, which is another. An apostrophe may begin a piece such as 's.
+PLAIN = r"^(?P<word> ?\p{L}+)(?P<after>[!-&(-/:-@\[-`{-~]*)$"
+#: Stands where a text is cut; a text that has it is not cut.
+MARK = b"\x1e"
 FREE, MAX_CELLS, LONG = np.int64(2**62), 1 << 19, 256
 
 
@@ -40,7 +49,6 @@ class ByteBpe:
     def __init__(self, ranks: bytes, pattern: str) -> None:
         pairs = [line.split() for line in ranks.splitlines() if line.strip()]
         self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.token = {rank: token for token, rank in self.rank.items()}
         self.byte_ids = np.array([self.rank[bytes([b])] for b in range(256)], dtype=np.int64)
         self.pattern = regex.compile(pattern.replace("\\s", "\\p{White_Space}").replace("\\S", "\\P{White_Space}"))
         # All splits of a token into two tokens: merging them gives the token's id as its rank.
@@ -52,14 +60,28 @@ class ByteBpe:
                     merges[left << 32 | right] = rank
         self.pair_keys = np.array(sorted(merges), dtype=np.int64)
         self.pair_ranks = np.array([merges[k] for k in sorted(merges)], dtype=np.int64)
-        self.pair_ranks_of: dict[int, int] = {}
         slots = 1 << int(len(merges) * 4).bit_length()
         self.slot_keys, self.slot_ranks, self.slot_bits = self._hash_table(slots)
-        # Chunks with a space before them, chunks without, and pieces: to ids as bytes.
-        self.spaced: dict[bytes, bytes] = {}
-        self.bare: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.decoder = np.array([self.token.get(i, b"") for i in range(max(self.token) + 1)], dtype=object)
+        # Pieces, and chunks that are not plain, each with the space or line feed before it.
+        self.pieces, self.chunks = Cache(PIECE_BYTES), Cache(CHUNK_BYTES)
+        self.decoder = np.full(max(self.rank.values()) + 1, b"", dtype=object)
+        for token, rank in self.rank.items():
+            self.decoder[rank] = token
+        self.cuts = self._cuts_hold()
+
+    def _cuts_hold(self) -> bool:
+        """Whether the pattern's pieces of short probes are those of their chunks, and of plain chunks the two parts, as for patterns of words with a space before them.
+
+        Texts are cut only for such a pattern.
+        """
+        find, plain = self.pattern.findall, regex.compile(PLAIN)
+        probes = ["".join(p) for n in range(1, 5) for p in product("a1.'! \n\u00a0\u00e9", repeat=n)]
+        for text in probes:
+            if cuts_safely(text.encode()):
+                chunks = cut(text.encode()).decode().split(MARK.decode())
+                if find(text) != [x for c in chunks for x in find(c)] or any(find(c) != [x for x in m.groups() if x] for c in chunks if (m := plain.match(c))):
+                    return False
+        return True
 
     def _hash_table(self, slots: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Open addressing over the pair keys, filled and probed by whole arrays."""
@@ -161,8 +183,7 @@ class ByteBpe:
             levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
         free, place = int(FREE), (1 << shift) - 1
         tree = [free, *(x for level in reversed(levels) for x in level.tolist())]
-        rank_of = dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True)) if not self.pair_ranks_of else self.pair_ranks_of
-        self.pair_ranks_of = rank_of
+        token, rank_of = self.decoder, self.rank.get
         held, right, left = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
 
         def put(at: int, value: int) -> None:
@@ -178,7 +199,7 @@ class ByteBpe:
 
         def pair(at: int) -> None:
             after = right[at]
-            rank = rank_of.get(held[at] << 32 | held[after]) if after < n else None
+            rank = rank_of(token[held[at]] + token[held[after]]) if after < n else None
             put(at, free if rank is None else rank << shift | at)
 
         while tree[1] < free:
@@ -203,57 +224,47 @@ class ByteBpe:
             node, width = node >> 1, width >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as bytes; those that are no token are merged all at once."""
+        ids = [None if (rank := self.rank.get(p)) is None else rank.to_bytes(4, "little") for p in pieces]
+        rest = [i for i, v in enumerate(ids) if v is None and pieces[i]]
+        for i, found in zip(rest, self.merge([pieces[i] for i in rest]), strict=True):
+            ids[i] = found.astype("<u4").tobytes()
+        return [v or b"" for v in ids]
+
     def learn(self, chunks: list[bytes]) -> list[bytes]:
-        """The ids of each chunk, as bytes; pieces that were not met before are merged all at once."""
-        find = self.pattern.findall
-        found = [find(c.decode()) for c in chunks]
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        known = self.pieces
-        new = [p for p in {p for f in found for p in f} if p not in known]
-        coded = [p.encode() for p in new]
-        rest = []
-        for p, c in zip(new, coded, strict=True):
-            if (rank := self.rank.get(c)) is None:
-                rest.append((p, c))
-            else:
-                known[p] = rank.to_bytes(4, "little")
-        for (p, _), ids in zip(rest, self.merge([c for _, c in rest]), strict=True):
-            known[p] = ids.astype("<u4").tobytes()
-        return [known[f[0]] if len(f) == 1 else b"".join([known[p] for p in f]) for f in found]
+        """The ids of each chunk, cut by the pattern."""
+        found = [self.pattern.findall(c.decode()) for c in chunks]
+        names = list({p for f in found for p in f})
+        held = dict(zip(names, self.pieces.ids_of([p.encode() for p in names], self.merged), strict=True))
+        return [held[f[0]] if len(f) == 1 else b"".join([held[p] for p in f]) for f in found]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
 
         A piece never spans the place before a space, or on either side of a line feed, that a
-        non-space follows. Texts where each space and line feed is of that kind are cut there and
-        their parts looked up; the others are taken whole.
+        non-space follows. Texts where each space and line feed is of that kind are cut there. Arrow numbers their
+        distinct chunks, cuts plain ones into two pieces and numbers those, so that each is looked up once; other texts are taken whole.
         """
-        split = [[line.split(b" ") for line in t.split(b"\n")] if cuts_safely(t) else None for t in texts]
-        spaced, bare = set(), set()
-        for lines in split:
-            for parts in lines or ():
-                bare.add(parts[0])
-                spaced.update(parts[1:])
-        for cache, chunks, before in ((self.spaced, spaced, b" "), (self.bare, bare, b"")):
-            new = [c for c in chunks if c not in cache]
-            cache.update(zip(new, self.learn([before + c for c in new]), strict=True))
-        whole = iter(self.learn([t for t, lines in zip(texts, split, strict=True) if lines is None]))
-        feed, of = self.rank[b"\n"].to_bytes(4, "little"), self.spaced.__getitem__
-        out = []
-        for lines in split:
-            if lines is None:
-                out.append(next(whole))
-                continue
-            got: list[bytes] = []
-            for parts in lines:
-                got += (feed, self.bare[parts[0]])
-                got.extend(map(of, parts[1:]))
-            out.append(b"".join(got[1:]))
-        for cache in (self.spaced, self.bare):
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-        return out
+        safe = [self.cuts and MARK not in t and cuts_safely(t) for t in texts]
+        marked = pa.array([cut(t) for t, ok in zip(texts, safe, strict=True) if ok], pa.binary()).cast(pa.string())
+        parts = pc.split_pattern(marked, pattern=MARK.decode())
+        numbered = parts.flatten().dictionary_encode()
+        chunks = numbered.dictionary
+        fields = pc.extract_regex(chunks, pattern=PLAIN)
+        plain = fields.is_valid()
+        held, other = fields.filter(plain), chunks.filter(pc.invert(plain))
+        pieces = pa.concat_arrays([held.field("word"), held.field("after")]).dictionary_encode()
+        ids = [*self.pieces.ids_of(pieces.dictionary.cast(pa.binary()).to_pylist(), self.merged), *self.chunks.ids_of(other.cast(pa.binary()).to_pylist(), self.learn)]
+        # Two pieces of each plain chunk, one of each other.
+        found = np.full((len(chunks), 2), len(ids), dtype=np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        found[mask] = pieces.indices.to_numpy().reshape(2, len(held)).T
+        found[~mask, 0] = np.arange(len(pieces.dictionary), len(ids))
+        pool, size = gathered(*pooled([*ids, b""]), found.ravel())
+        own = iter(ids_of_texts(*gathered(pool, size.reshape(-1, 2).sum(axis=1), numbered.indices.to_numpy()), parts.offsets.to_numpy()))
+        whole = iter(self.learn([t for t, ok in zip(texts, safe, strict=True) if not ok]))
+        return [next(own) if ok else next(whole) for ok in safe]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(self.decoder[np.frombuffer(ids, dtype="<u4")].tolist())
@@ -266,6 +277,10 @@ AS_SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 WIDE_SPACES = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
 
+def cut(text: bytes) -> bytes:
+    return text.replace(b"\n", MARK + b"\n").replace(b" ", MARK + b" ")
+
+
 def cuts_safely(text: bytes) -> bool:
     even = text.translate(AS_SPACE)
     if b"  " in even or even.endswith(b" "):
@@ -284,11 +299,6 @@ def encoder(ranks: bytes, pattern: str) -> ByteBpe:
     return ENCODERS[key]
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null as empty."""
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_column: str = "doc_id", ids: bool = False) -> DataFrame:
     """Encodes and decodes every text.
 
@@ -301,8 +311,7 @@ def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(shared.value, pattern)
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for part in slices(batch, 1):
                 coded = bpe.encode(texts_of(part.column(1)))
                 decoded = [bpe.decode(x) for x in coded]
                 columns = [

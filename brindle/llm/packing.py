@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.byte_bpe import texts_of
+from brindle.llm.batches import slices, texts_of
 from brindle.llm.shared import written
 from brindle.llm.word_ids import encoder, read_vocabulary
 
@@ -29,8 +29,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, length: int, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(shared.value)
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
+            for part in slices(batch, 1):
                 rows, pieces, starts, sizes, sums, held = [], [], [], [], [], []
                 for row, coded in enumerate(words.encode(texts_of(part.column(1)))):
                     data = coded + end

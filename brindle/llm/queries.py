@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from brindle.llm import sql
-from brindle.llm.shared import prepare, table
+from brindle.llm.shared import prepare, table, written
 
 #: Fixed values of the contract: the policy of operator 7.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -72,10 +72,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from brindle.llm.token_store import read_documents, write_store
+    from brindle.llm.token_store import read_documents, remove, write_store
 
     store = write_store(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
-    return read_documents(spark, store, with_ids=False)
+    found = written(read_documents(spark, store, with_ids=False))
+    remove(spark, store)
+    return found
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

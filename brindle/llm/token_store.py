@@ -5,9 +5,10 @@ Layout under one folder, all written by Spark's Parquet writer, so that any file
 * a bucketed table of chunks ``(digest, n_ids, payload)``: each distinct chunk once. ``digest`` is the 256-bit BLAKE2b of
   the chunk's ids as little-endian unsigned integers of two bytes each (of four, where an id needs them); ``payload`` is the
   Zstandard frame of the same bytes;
-* ``recipes``: ``(part, row, id, start, n_tokens, digests, root)`` in ascending id order; ``root`` is the Merkle root of
+* ``recipes``: ``(part, at, row, id, start, n_tokens, digests, root)`` in ascending id order; ``root`` is the Merkle root of
   the digests, in pairs from the left, an odd one going up unchanged;
-* ``manifest``: for each part of the recipes the number of documents and ids and the SHA-256 of its roots in order.
+* ``manifest``: a tree over the recipes of each part: for each run of RUN roots in order their SHA-256, for each run of these again, with numbers of
+  documents and ids, up to one row a part.
 
 Chunks end where a rolling hash of the last 16 ids has MASK_BITS low bits 0, or after MOST ids, so that equal runs
 in different documents give equal chunks after the next cut.
@@ -28,20 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from brindle.llm.byte_bpe import texts_of
+from brindle.llm.batches import slices, texts_of
 from brindle.llm.shared import scratch_dir, written
 from brindle.llm.word_ids import encoder, read_vocabulary
 
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
+#: Digests that a task remembers, and rows that one row of the manifest stands for.
+GIVEN, RUN = 200_000, 4096
 #: Uses of a chunk in a slice, and how many chunks of more uses are broadcast (digests only).
 HOT_USES, BROADCAST_HOT = 1000, 10_000
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a document's ids; the last is its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """Where the chunks of each document end, for documents that end at these places of ``ids``; the last is its own end."""
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     # Rolling hash: a sum over the window of mixed ids, each times a power for its distance; windows double.
@@ -50,16 +50,26 @@ def cuts(ids: np.ndarray) -> list[int]:
         rolled = rolled[width:] + rolled[:-width] * np.uint64(power)
         width, power = 2 * width, power * power % (1 << 64)
     found = np.flatnonzero((rolled >> np.uint64(64 - MASK_BITS)) == 0) + WINDOW
-    ends, last = [], 0
-    for end in [*found.tolist(), n]:
-        while end - last > MOST:
-            last += MOST
-            ends.append(last)
-        if end - last >= LEAST or end == n:
-            if end > last:
-                ends.append(end)
-            last = end
-    return ends
+    # A window that begins in the document before, or ends where its document does, says nothing.
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    owner = np.searchsorted(ends, found, side="right")
+    owner[owner == len(ends)] -= 1
+    found = found[(found - WINDOW >= starts[owner]) & (found < ends[owner])] if len(ends) else found
+    edges = np.searchsorted(found, ends)
+    hits, out, at = found.tolist(), [], 0
+    for start, end, until in zip(starts.tolist(), ends.tolist(), edges.tolist(), strict=True):
+        own, last = [], start
+        for place in [*hits[at:until], end]:
+            while place - last > MOST:
+                last += MOST
+                own.append(last)
+            if place - last >= LEAST or place == end:
+                if place > last:
+                    own.append(place)
+                last = place
+        out.append(own)
+        at = until
+    return out
 
 
 def merkle(digests: list[bytes]) -> bytes:
@@ -77,38 +87,51 @@ class Store:
 
 
 def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str, text: str) -> DataFrame:
-    """Rows of two kinds: a document's recipe, or a chunk that its batch has not yet given."""
+    """Rows of two kinds: a document's recipe, or a chunk that its task has not yet given, or not lately."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pressed = encoder(shared.value), zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
+        # Digests that this task has given; another task's may be lost with it, so that none are kept longer.
+        given: set[bytes] = set()
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                part = batch.slice(first, 2000)
-                sizes, recipes, roots, seen = [], [], [], {}
-                for coded in words.encode(texts_of(part.column(1))):
-                    ids, last, recipe = np.frombuffer(coded + end, dtype="<u4"), 0, []
-                    for at in cuts(ids):
-                        some = ids[last:at]
-                        data = (some.astype("<u2") if some.max() < 65536 else some).tobytes()
+            for part in slices(batch, 1):
+                coded = [ids + end for ids in words.encode(texts_of(part.column(1)))]
+                sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
+                ids = np.frombuffer(b"".join(coded), dtype="<u4")
+                narrow = ids.astype("<u2") if int(ids.max()) < 65536 else None
+                held = ids.tobytes() if narrow is None else narrow.tobytes()
+                last, recipes, roots, counts, digests, payloads = 0, [], [], [], [], []
+                for ends in cuts(ids, np.cumsum(sizes)):
+                    recipe = []
+                    for at in ends:
+                        if narrow is not None:
+                            data = held[2 * last : 2 * at]
+                        else:
+                            some = ids[last:at]
+                            data = (some.astype("<u2") if some.max() < 65536 else some).tobytes()
                         digest = hashlib.blake2b(data, digest_size=32).digest()
                         recipe.append(digest)
-                        if digest not in seen:
-                            seen[digest] = (at - last, pressed.compress(data))
+                        if digest not in given:
+                            given.add(digest)
+                            counts.append(at - last)
+                            digests.append([digest])
+                            payloads.append(pressed.compress(data))
                         last = at
-                    sizes.append(len(ids))
                     recipes.append(recipe)
                     roots.append(merkle(recipe))
-                none = [None] * len(seen)
+                if len(given) > GIVEN:
+                    given.clear()
+                n, new = len(recipes), len(digests)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([part.column(0), pa.nulls(len(seen), part.column(0).type)]),
-                        pa.array([True] * len(sizes) + [False] * len(seen), pa.bool_()),
-                        pa.array(sizes + [n for n, _ in seen.values()], pa.int64()),
-                        pa.array(recipes + [[d] for d in seen], pa.list_(pa.binary())),
-                        pa.array(roots + none, pa.binary()),
-                        pa.array([None] * len(sizes) + [p for _, p in seen.values()], pa.binary()),
+                        pa.concat_arrays([part.column(0), pa.nulls(new, part.column(0).type)]),
+                        pa.array(np.arange(n + new) < n),
+                        pa.concat_arrays([pa.array(sizes), pa.array(counts, pa.int64())]),
+                        pa.array(recipes + digests, pa.list_(pa.binary())),
+                        pa.array(roots + [None] * new, pa.binary()),
+                        pa.array([None] * n + payloads, pa.binary()),
                     ],
                     [id_column, "is_recipe", "n", "digests", "root", "payload"],
                 )
@@ -122,6 +145,29 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def remove(spark: SparkSession, store: Store) -> None:
+    """Deletes a store's chunks and files."""
+    spark.sql(f"DROP TABLE IF EXISTS {store.chunks}")
+    delete(spark, store.path)
+
+
+def manifest(recipes: DataFrame) -> DataFrame:
+    """(level, part, at, n_documents, n_ids, root): a tree of hashes over each part's recipes in order.
+
+    A row of level 0 stands for RUN recipes, one of the next level for RUN such rows, up to one row a part, so that no group is longer.
+    """
+    rows = recipes.select("part", "at", F.hex("root").alias("root"), F.lit(1).cast("bigint").alias("n_documents"), F.col("n_tokens").alias("n_ids"))
+    longest, level, out = (recipes.agg(F.max("at")).first()[0] or 0) + 1, 0, None
+    while out is None or longest > 1:
+        roots = F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: x["root"])
+        groups = rows.groupBy("part", F.floor(F.col("at") / RUN).alias("up"))
+        rows = groups.agg(F.sum("n_documents").alias("n_documents"), F.sum("n_ids").alias("n_ids"), F.sha2(F.array_join(roots, ""), 256).alias("root")).withColumnRenamed("up", "at")
+        mine = rows.select(F.lit(level).alias("level"), "part", "at", "n_documents", "n_ids", "root")
+        out = mine if out is None else out.unionByName(mine)
+        longest, level = -(-longest // RUN), level + 1
+    return out
+
+
 def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1, id_column: str = "doc_id", text: str = "text") -> Store:
     """Encodes every text, appends the end id and stores the ids; null texts are empty ones."""
     spark = docs.sparkSession
@@ -146,11 +192,9 @@ def write_store(docs: DataFrame, vocabulary: str, end_id: int = 1, id_column: st
     sums = unplaced.groupBy("part").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_ids"))
     # One row a part: the only window over a whole table.
     bases = sums.withColumn("base", F.sum("n_ids").over(Window.orderBy("part")) - F.col("n_ids"))
-    placed = unplaced.join(F.broadcast(bases.select("part", "base")), "part").withColumn("start", F.col("base") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
-    placed.select("part", "row", id_column, "start", "n_tokens", "digests", "root").write.parquet(f"{path}/recipes")
-    recipes = spark.read.parquet(f"{path}/recipes")
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "row", F.hex("root").alias("root")))), lambda x: x["root"])
-    recipes.groupBy("part").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("n_ids"), F.sha2(F.array_join(roots, ""), 256).alias("root")).write.parquet(f"{path}/manifest")
+    placed = unplaced.join(F.broadcast(bases.select("part", "base")), "part").withColumns({"at": F.row_number().over(order).cast("bigint") - 1, "start": F.col("base") + F.sum("n_tokens").over(order) - F.col("n_tokens")})
+    placed.select("part", "at", "row", id_column, "start", "n_tokens", "digests", "root").write.parquet(f"{path}/recipes")
+    manifest(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     for used in ("staging", "unplaced"):
         delete(spark, f"{path}/{used}")
     return Store(path, name, id_column)
@@ -164,14 +208,10 @@ def read_documents(spark: SparkSession, store: Store, with_ids: bool = True) ->
     """
     id_column = store.id_column
     recipes, chunks = spark.read.parquet(f"{store.path}/recipes"), spark.table(store.chunks)
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "row", F.hex("root").alias("root")))), lambda x: x["root"])
-    bad = (
-        recipes.groupBy("part").agg(F.sha2(F.array_join(roots, ""), 256).alias("found"))
-        .join(spark.read.parquet(f"{store.path}/manifest"), "part", "full_outer")
-        .where("not (found <=> root)").count()
-    )
+    kept = spark.read.parquet(f"{store.path}/manifest").withColumnRenamed("root", "kept_root")
+    bad = manifest(recipes).join(kept, ["level", "part", "at"], "full_outer").where("not (root <=> kept_root)").count()
     if bad:
-        raise ValueError(f"{bad} parts of the recipes differ from the manifest")
+        raise ValueError(f"{bad} rows of the recipes' tree differ from the manifest")
     # Documents of equal ids have equal roots and are put together once.
     uses = written(recipes.groupBy("root").agg(F.first("digests").alias("digests")).select("root", F.posexplode("digests").alias("at", "digest")))
     # A chunk that many documents use is met in slices, so that no task has all its uses.

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.byte_bpe import texts_of
+from brindle.llm.batches import slices, texts_of
 from brindle.llm.shared import written
 
 #: Bounds of what is learned from: labelled rows, and lexicon entries.
@@ -87,8 +87,7 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str, keep: list[str])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for part in slices(batch, batch.num_columns - 1):
                 found = [features(t, held) for t in texts_of(part.column(part.num_columns - 1))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.list_(pa.float64()))], [*keep, "_features"])
 

@@ -1,27 +1,29 @@
 """Token ids of whole texts by a tokenizers-library vocabulary that drops white space.
 
 White space never enters a token of such a vocabulary, so that a text's ids are those of its
-parts between ASCII white space, in order. Each Python worker keeps the ids of the parts it has met.
+parts between ASCII white space, in order. Each Python worker keeps the ids of parts it has met.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts that a worker keeps in each of its two generations.
-CACHE_ENTRIES = 500_000
+from brindle.llm.batches import Cache, gathered, ids_of_texts, pooled
 
-
-#: A word of a-z and of the lower-case letters from U+00DF to U+00FF, in UTF-8, and what may follow: composed, and lower but for ASCII.
-PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,]?)")
+#: Bytes of parts with their ids that a worker keeps.
+CACHE_BYTES = 64 << 20
+#: A word of Latin letters up to U+00FF, and ASCII punctuation before and after it: three pieces, each of which is one for the library too.
+#: Left out: apostrophes, which begin pieces such as 's, and what special tokens have around them.
+PUNCTUATION = r'[!-&(-/:;=-@\[-`{}~]*'
+PLAIN = "^(?P<before>" + PUNCTUATION + ")(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<after>" + PUNCTUATION + ")$"
 #: Fixed by byte-level vocabularies: bytes that print stand for themselves, the others for the letters from U+0100 on.
 PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
+LETTERS = {c: "".join(BYTE_LETTERS.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -36,26 +38,47 @@ class WordIds:
         self.tokenizer = Tokenizer.from_str(vocabulary.decode())
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        # The library's own cache of pieces does not help: no part is given to it twice.
+        # The library's own cache of pieces does not help: few parts are given to it twice.
         self.tokenizer.model._resize_cache(0)
-        # Parts met lately, and those before them; what is met again moves up.
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def run(self, encoder, words: list[bytes], text: list[str]) -> None:
+        # Whether an id ends a piece, where the vocabulary marks that.
+        held, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(max(held.values()) + 1, dtype=bool)
+        if suffix:
+            self.ends[[i for token, i in held.items() if token.endswith(suffix)]] = True
+        self.known = Cache(CACHE_BYTES)
+
+    def run(self, words: list[str]) -> list[bytes]:
+        """Ids of words by the whole tokenizer: all its steps, words parted by their places."""
+        out: list[bytes] = []
         for first in range(0, len(words), 50_000):
-            some = text[first : first + 50_000]
+            some = words[first : first + 50_000]
             starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            coded = encoder.encode("\n".join(some), add_special_tokens=False)
+            coded = self.tokenizer.encode("\n".join(some), add_special_tokens=False)
             ids = np.array(coded.ids, dtype="<u4").tobytes()
             at = np.fromiter((a for a, _ in coded.offsets), dtype=np.int64, count=len(ids) // 4)
-            ends = (np.searchsorted(at, starts) * 4).tolist()
-            self.known.update((w, ids[a:b]) for w, a, b in zip(words[first : first + 50_000], ends, ends[1:], strict=False))
+            cut = (np.searchsorted(at, starts) * 4).tolist()
+            out += [ids[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
+    def run_plain(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of single pieces, lowered: the library's model is all they need, and its marks of an end part them."""
+        out: list[bytes] = []
+        for first in range(0, len(pieces), 50_000):
+            some = pieces[first : first + 50_000]
+            text = b"\n".join(some).decode()
+            ids = np.array(self.model.encode_batch_fast([text if text.isascii() else text.translate(LETTERS)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(some) or (len(cut) and cut[-1] != len(ids)):
+                out += self.run([p.decode() for p in some])
+                continue
+            held, at = ids.tobytes(), [0, *(cut * 4).tolist()]
+            out += [held[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added.
 
-        Arrow cuts the texts and numbers their distinct parts, so that each is looked up once for all texts given.
+        Arrow cuts the texts and numbers their distinct parts, cuts these into pieces and numbers those, so that each piece is looked up once for all texts given.
         """
         if not texts:
             return []
@@ -63,49 +86,20 @@ class WordIds:
         # where accents compose or where it could spell a special token.
         parts = pc.ascii_split_whitespace(pa.array([lowered(t) for t in texts], pa.binary()).cast(pa.string()))
         numbered = parts.flatten().dictionary_encode()
-        words = numbered.dictionary.cast(pa.binary()).to_pylist()
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        self.known[b""] = b""
-        found = list(map(self.known.get, words))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        self.add([words[i] for i in gaps])
-        for i in gaps:
-            found[i] = self.known[words[i]]
-        pool = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        # Each part's ids are copied from where they stand in the pool.
-        number = numbered.indices.to_numpy()
-        size, start = sizes[number], (np.cumsum(sizes) - sizes)[number]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        ids = pool[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])].tobytes()
-        cuts = (ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()] * 4).tolist()
-        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def add(self, words: list[bytes]) -> None:
-        """Learns words. A last full stop or comma after a letter is a piece of its own.
-
-        Words of Latin letters are one piece as they stand, lowered: only the library's model is needed for them.
-        """
-        known, older = self.known, self.older
-        made, plain, other = [], set(), []
-        for word in words:
-            if (ids := older.get(word)) is not None:
-                known[word] = ids
-            elif found := PLAIN.fullmatch(word):
-                base = found[1].lower()
-                made.append((word, base, found[2]))
-                if base not in known:
-                    plain.add(base)
-            else:
-                other.append(word)
-        again = [w for w in plain if w in older]
-        known.update((w, older[w]) for w in again)
-        new = list(plain.difference(again))
-        self.run(self.model, new, [w.decode() if w.isascii() else w.decode("latin-1").translate(BYTE_LETTERS) for w in new])
-        other += [e for e in (b".", b",") if e not in known]
-        self.run(self.tokenizer, other, [w.decode() for w in other])
-        known.update((word, known[base] + known[end] if end else known[base]) for word, base, end in made)
+        words = numbered.dictionary
+        fields = pc.extract_regex(words, pattern=PLAIN)
+        plain = fields.is_valid()
+        held, other = fields.filter(plain), words.filter(pc.invert(plain))
+        n = len(held)
+        pieces = pa.concat_arrays([held.field("before"), pc.utf8_lower(held.field("word")), held.field("after")]).dictionary_encode()
+        ids = [*self.known.ids_of(pieces.dictionary.cast(pa.binary()).to_pylist(), self.run_plain), *self.known.ids_of(other.cast(pa.binary()).to_pylist(), lambda new: self.run([w.decode() for w in new]))]
+        # Three pieces of each plain word, one of each other.
+        found = np.full((len(words), 3), len(ids), dtype=np.int64)
+        mask = plain.to_numpy(zero_copy_only=False)
+        found[mask] = pieces.indices.to_numpy().reshape(3, n).T
+        found[~mask, 0] = np.arange(len(pieces.dictionary), len(ids))
+        whole, size = gathered(*pooled([*ids, b""]), found.ravel())
+        return ids_of_texts(*gathered(whole, size.reshape(-1, 3).sum(axis=1), numbered.indices.to_numpy()), parts.offsets.to_numpy())
 
 
 def lowered(text: bytes) -> bytes:

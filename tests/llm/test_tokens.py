@@ -9,13 +9,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from brindle.llm import byte_bpe, packing, queries, token_counts, token_store, word_ids
+from brindle.llm import batches, byte_bpe, packing, queries, token_counts, token_store, word_ids
 
 RANKS, VOCABULARY = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
@@ -46,8 +48,8 @@ def test_long_pieces(piece):
 
 
 def test_caches_may_be_emptied(monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 3)
-    monkeypatch.setattr(word_ids, "CACHE_ENTRIES", 3)
+    for held in (BPE.pieces, BPE.chunks, WORDS.known):
+        monkeypatch.setattr(held, "budget", 600)
     for text in ("one two three four five", "six seven eight nine", "one six ten"):
         assert BPE.encode([text.encode()])[0] == u32(KNOWN.encode_ordinary(text))
         assert WORDS.encode([text.encode()])[0] == u32(library_ids(text))
@@ -110,14 +112,17 @@ def test_chunks_meet_again_after_an_insertion():
     rng = np.random.default_rng(3)
     ids = rng.integers(0, 40_000, 20_000).astype("<u4")
 
+    def cuts(x):
+        return token_store.cuts(x, np.array([len(x)]))[0]
+
     def parts(x):
-        ends = token_store.cuts(x)
+        ends = cuts(x)
         return {x[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)}
 
-    assert token_store.cuts(ids)[-1] == len(ids)
+    assert cuts(ids)[-1] == len(ids)
     changed = np.concatenate([ids[:7000], [7], ids[7000:]]).astype("<u4")
     assert len(parts(ids) & parts(changed)) >= len(parts(ids)) - 4
-    assert max(np.diff([0, *token_store.cuts(np.zeros(30_000, "<u4"))])) <= token_store.MOST
+    assert max(np.diff([0, *cuts(np.zeros(30_000, "<u4"))])) <= token_store.MOST
 
 
 def check_packing(rows, found, capacity):
@@ -174,8 +179,20 @@ def test_attribution(rule):
     low, high = np.array([0, 3, 5, 5]), np.array([3, 5, 5, 10])
     got = token_counts.attributed(starts, ends, low, high, rule).tolist()
     assert got == ([2, 0, 0, 2] if rule == "most" else [2, 1, 0, 1])
-    with pytest.raises(ValueError):
-        token_counts.attributed(starts, ends, np.array([0, 1]), np.array([3, 4]), rule)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.tuples(st.integers(-2, 20), st.integers(-2, 24)), max_size=6), st.sampled_from(token_counts.RULES))
+def test_attribution_to_any_sections(sizes, sections, rule):
+    ends = np.cumsum(sizes).astype(np.int64)
+    starts = ends - np.array(sizes, dtype=np.int64)
+    want = [0] * len(sections)
+    for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+        claims = [(min(b, y) - max(a, x) if rule == "most" else int(a <= x < b)) if a < b else 0 for a, b in sections]
+        if claims and max(claims) > 0:
+            want[claims.index(max(claims))] += 1
+    low, high = (np.array([s[k] for s in sections], dtype=np.int64) for k in (0, 1))
+    assert token_counts.attributed(starts, ends, low, high, rule).tolist() == want
 
 
 def plain_counts(text: str):
@@ -214,3 +231,79 @@ def test_op6_given_sections(spark):
     got = token_counts.token_counts(docs, RANKS, P.PATTERN, sections="s").collect()
     assert [(r["doc_id"], r["section"], r["start"], r["end"]) for r in got] == [(1, 0, 0, 4), (1, 1, 4, 8)]
     assert sum(r["n_tokens"] for r in got) <= got[0]["n_document"]
+
+
+def test_op6_odd_sections(spark):
+    """Null, half-null, reversed, overlapping and far-out sections, in texts of one and of more bytes a character."""
+    kind = "doc_id long, text string, s array<struct<start: bigint, end: bigint>>"
+    odd = [(0, 4), None, (None, 3), (2, None), (5, 1), (-7, 2), (3, 900), (600, 900), (0, 4)]
+    docs = spark.createDataFrame([(1, "Über die Stadt", odd), (2, "Over the towns", odd), (3, None, odd)], kind)
+    for rule in token_counts.RULES:
+        rows = token_counts.token_counts(docs, RANKS, P.PATTERN, sections="s", rule=rule).collect()
+        assert len(rows) == 3 * len(odd)
+        for r in rows:
+            want = odd[r["section"]] or (None, None)
+            assert (r["start"], r["end"]) == ((None, None) if None in want else want)
+            if None in want or r["section"] in (4, 7, 8) or r["doc_id"] == 3:
+                assert r["n_tokens"] == 0
+        for doc in (1, 2):
+            own = [r for r in rows if r["doc_id"] == doc]
+            assert sum(r["n_tokens"] for r in own) == own[0]["n_document"]
+
+
+def long_text(words: int) -> str:
+    rng = np.random.default_rng(11)
+    return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 10))) for _ in range(words))
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte and more, beside short ones."""
+    texts = [long_text(250_000), "short", "x" * 1_200_000, "a b\n" * 300_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [KNOWN.encode_ordinary(t) for t in texts]
+    found = {r["doc_id"]: r for r in byte_bpe.byte_bpe(docs, RANKS, P.PATTERN).collect()}
+    assert [found[i]["ids_sha256"] for i in range(4)] == [hashlib.sha256(u32(x)).hexdigest() for x in ids]
+    counts = token_counts.token_counts(docs, RANKS, P.PATTERN).groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum("n_tokens").alias("n")).collect()
+    assert {r["doc_id"]: (r["lines"], r["n"]) for r in counts} == {i: (t.count("\n") + (not t.endswith("\n")), len(x)) for i, (t, x) in enumerate(zip(texts, ids, strict=True))}
+    check_packing(list(enumerate(texts)), packing.pack_documents(docs, VOCABULARY).collect(), 2048)
+    check_store(list(enumerate(texts)), token_store.read_documents(spark, token_store.write_store(docs, VOCABULARY)).collect())
+
+
+def test_slices_are_bounded():
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "t": ["a" * 10, None, "b" * 10, "c" * 50, "", "d", None]})
+    parts = list(batches.slices(batch, 1, rows=3, most=20))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(7))
+    assert [p.num_rows for p in parts] == [3, 1, 3]
+    assert not list(batches.slices(batch.slice(0, 0), 1))
+
+
+def test_cache_is_bounded_and_keeps_what_is_used():
+    held = batches.Cache(40_000)
+    for n in range(3000):
+        held.ids_of([b"used", b"%d" % n], lambda new: [b"v" + k for k in new])
+        assert len(held) * batches.ENTRY_BYTES < 41_000
+    assert held.find([b"used"]) == [b"vused"]
+    assert held.ids_of([b"x" * 300, b""], lambda new: [b"y" for _ in new]) == [b"y", b""]
+    assert held.find([b"x" * 300]) == [None]
+
+
+def test_manifest_groups_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "RUN", 3)
+    rows = spark.createDataFrame([(p, i, bytes([p, i]), 1) for p in range(2) for i in range(20 * (p + 1))], "part int, at long, root binary, n_tokens long")
+    tree = [r.asDict() for r in token_store.manifest(rows).collect()]
+    assert max(r["n_documents"] for r in tree if r["level"] == 0) == 3
+    top = max(r["level"] for r in tree)
+    assert sorted((r["part"], r["n_documents"]) for r in tree if r["level"] == top) == [(0, 20), (1, 40)]
+
+
+def test_store_can_be_removed(spark, odd_docs):
+    store = token_store.write_store(odd_docs, VOCABULARY)
+    token_store.remove(spark, store)
+    assert not spark.catalog.tableExists(store.chunks)
+
+
+def test_a_pattern_that_spans_spaces_is_not_cut():
+    bpe = byte_bpe.ByteBpe(byte_bpe.read_ranks(RANKS), r"[^,]+|,")
+    other = tiktoken.Encoding("spans", pat_str=r"[^,]+|,", mergeable_ranks=ranks, special_tokens={})
+    assert BPE.cuts and not bpe.cuts
+    assert bpe.encode([b"one two, three four"])[0] == u32(other.encode_ordinary("one two, three four"))
