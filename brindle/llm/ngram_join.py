@@ -2,11 +2,13 @@
 
 1. Every text is hashed to its set of five-word shingles. Documents of equal sets form a class; the rest works
    on one representative of each.
-2. A forest of TREES tries holds MinHash signatures. A tree's prefix of k hashes is met by a pair of similarity s with
-   probability s^k, so that prefixes are cut, one tree after the other, until a pair just at the threshold meets in some tree
-   with the target recall. Representatives that share a prefix of a tree stand next to each other in that sorted trie.
+2. A forest of tries holds MinHash signatures: a tree's path is a sequence of MinHashes, and a representative stands in the node of each prefix
+   of its path. Prefixes are shortened by what they match. The shortest are looked at first: where all nodes that a text shares at this length have few
+   members, the prefix stays that short, and all members of these nodes are candidates. A text in a crowded node keeps a longer prefix, in more trees, and so
+   on to the longest, whose nodes count whatever their size. Each length has as many trees as a pair just at the threshold needs to meet with the target
+   recall, and a pair both of whose texts go on meets again at the next length; the misses of all lengths together stay within the target.
 3. Each representative takes a home block: the least member it meets anywhere, split by hash when many share it. For
-   each tree prefix that spans several blocks, a member is sent to each other block there; a text so travels once per block
+   each node that spans several blocks, a member is sent to each other block there; a text so travels once per block
    that holds candidates of it, not once per pair or per tree.
 4. In each block, or pair of blocks, all similarities are counted exactly, by a sparse product of shingle incidences. Only counts of
    links and a spanning forest of them leave the task. Components of these give the groups.
@@ -22,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.batches import slices, texts_of
 from brindle.llm.shared import components, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 32, 12, 0.9995
-#: Representatives in a block, about: at most two blocks of texts meet in one group of rows.
-BLOCK = 256
-#: Bytes of text hashed at once, and members of a shingle that are multiplied as a dense matrix from.
-HASHED_BYTES, DENSE = 4_000_000, 24
+#: Lengths of prefixes, members of a node that make it crowded for all but the longest, and recall of a pair at the threshold.
+DEPTHS, CROWD, RECALL = (2, 4, 6), 8, 0.9995
+#: Representatives in a block, and shingles of them, about: at most two blocks of texts meet in one group of rows.
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+#: Bytes of text hashed at once; members of a shingle, and their share of a block, that are multiplied as a dense matrix from; pairs counted at once.
+HASHED_BYTES, DENSE, DENSE_SHARE, PAIRS = 4_000_000, 24, 0.125, 1_000_000
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WHITE = np.zeros(256, dtype=bool)
@@ -109,21 +113,21 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def forest_depths(threshold: float, trees: int, depth: int, recall: float) -> list[int]:
-    """Depth of each tree's prefix: from ``depth`` cut back, tree by tree, until the recall at the threshold suffices."""
-    depths = [depth] * trees
-    at = 0
-    while 1 - math.prod(1 - threshold**k for k in depths) < recall and min(depths) + max(depths) > 2:
-        depths[at % trees] -= 1
-        at += 1
-    return depths
+def forest(threshold: float, recall: float, depths: tuple[int, ...] = DEPTHS) -> list[tuple[int, int]]:
+    """(depth, trees) of each length of prefix: trees enough that a pair at the threshold fails to meet in all with its share of 1 - recall."""
+    miss = (1 - recall) / len(depths)
+    return [(k, max(1, math.ceil(math.log(miss) / math.log1p(-min(threshold**k, 1 - 1e-12))))) for k in depths]
+
 
+def signatures(sets: list[np.ndarray], levels: list[tuple[int, int]]) -> list[np.ndarray]:
+    """For each length of prefix, the node of each set in each tree; empty sets get what is to be left out.
 
-def signatures(sets: list[np.ndarray], depths: list[int]) -> np.ndarray:
-    """Hashed prefix of each tree for each set; empty sets get 0s, to be left out."""
-    n, hashes = len(sets), sum(depths)
-    factors = mix(np.arange(1, hashes + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-    least = np.zeros((n, hashes), dtype=np.uint64)
+    A node is the hash of the path to it, so that nodes of longer prefixes lie below those of shorter ones.
+    """
+    n, trees, deepest = len(sets), max(t for _, t in levels), max(k for k, _ in levels)
+    # Trees that only deep prefixes need are walked to their depth; all walk from the root.
+    factors = mix(np.arange(1, trees * deepest + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    least = np.zeros((n, trees * deepest), dtype=np.uint64)
     some = np.array([i for i, s in enumerate(sets) if len(s)], dtype=np.int64)
     at = 0
     while at < len(some):
@@ -134,17 +138,15 @@ def signatures(sets: list[np.ndarray], depths: list[int]) -> np.ndarray:
         rows = some[at:stop]
         flat = np.concatenate([sets[i] for i in rows])
         bounds = np.concatenate(([0], np.cumsum([len(sets[i]) for i in rows])[:-1]))
-        for k in range(hashes):
+        for k in range(trees * deepest):
             least[rows, k] = np.minimum.reduceat(flat * factors[k], bounds)
         at = stop
-    least = mix(least)
-    out, column = np.zeros((n, len(depths)), dtype=np.uint64), 0
-    for tree, depth in enumerate(depths):
-        prefix = np.full(n, np.uint64(tree + 1))
-        for k in range(column, column + depth):
-            prefix = mix(prefix * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
-        out[:, tree], column = prefix, column + depth
-    return out
+    least = mix(least).reshape(n, trees, deepest)
+    node, out = np.tile(np.arange(1, trees + 1, dtype=np.uint64), (n, 1)), {}
+    for k in range(deepest):
+        node = mix(node * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
+        out[k + 1] = node
+    return [out[k][:, :t] for k, t in levels]
 
 
 def set_key(hashes: np.ndarray) -> bytes | None:
@@ -154,24 +156,40 @@ def set_key(hashes: np.ndarray) -> bytes | None:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-
-
-def signed(docs: DataFrame, id_column: str, text: str, depths: list[int]) -> DataFrame:
-    """(id, mark, node, size, prefixes) of each document: its text's hash, its shingle set's name, its size and its place in each tree."""
+def signed(docs: DataFrame, id_column: str, text: str, levels: list[tuple[int, int]]) -> DataFrame:
+    """(id, mark, node, size, level_0, level_1, ..) of each document: its text's hash, its shingle set's name and size, and its nodes in the trees, by length of prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for part in slices(batch, 2):
                 sets = shingle_sets(texts_of(part.column(2)))
-                prefixes = signatures(sets, depths).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * len(depths), pa.int32()), pa.array(prefixes.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists], ["id", "mark", "node", "size", "prefixes"])
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * x.shape[1], pa.int32()), pa.array(x.astype(np.int64).ravel())) for x in signatures(sets, levels)]
+                columns = [part.column(0), part.column(1), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "node", "size", *names])
 
+    names = [f"level_{i}" for i in range(len(levels))]
     kind = docs.select(id_column).dtypes[0][1]
-    return docs.select(id_column, F.xxhash64(text).alias("mark"), text).mapInArrow(run, f"id {kind}, mark bigint, node binary, size bigint, prefixes array<bigint>")
+    schema = f"id {kind}, mark bigint, node binary, size bigint, " + ", ".join(f"{n} array<bigint>" for n in names)
+    return docs.select(id_column, F.xxhash64(text).alias("mark"), text).mapInArrow(run, schema)
+
+
+def candidates(classes: DataFrame, levels: int, crowd: int = CROWD) -> DataFrame:
+    """(prefix, node, least) of the nodes of the tries whose members are candidates; ``least`` is the least member.
+
+    Level by level, from the shortest prefixes: nodes with few members are taken, and those of a crowded one go on to longer prefixes. Counts
+    are partial before they are shuffled, so that a crowded node is no task of its own.
+    """
+    met, left = None, classes
+    for i in range(levels):
+        places = left.select("node", F.explode(f"level_{i}").alias("prefix"))
+        sizes = places.groupBy("prefix").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1")
+        here = written(places.join(sizes, "prefix"))
+        if i + 1 < levels:
+            left = left.join(here.where(F.col("n") > crowd).select("node").distinct(), "node", "left_semi")
+            here = here.where(F.col("n") <= crowd)
+        here = here.select("prefix", "node", "least")
+        met = here if met is None else met.unionByName(here)
+    return met
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -180,29 +198,38 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     Shingles that many members share are multiplied as dense columns, the others add up pair by pair of members.
     """
     sets = left + (right or [])
-    n = len(sets)
+    n, split = len(sets), len(left) if right is not None else 0
     flat = np.concatenate(sets) if n else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     edge = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.empty(0, np.int64)
     size = np.diff(np.append(edge, len(flat)))
-    counts = np.zeros((n, n), dtype=np.float32)
-    dense = np.flatnonzero(size >= DENSE)
+    # Rows are members of the left side, columns those of the right one, or the left again.
+    counts = np.zeros((split or n, n - split), dtype=np.float32)
+    most = max(DENSE, int(n * DENSE_SHARE))
+    dense = np.flatnonzero(size >= most)
     for a in range(0, len(dense), 1024):
         some = dense[a : a + 1024]
         grid = np.zeros((n, len(some)), dtype=np.float32)
         where = np.concatenate([np.arange(edge[i], edge[i] + size[i]) for i in some])
         grid[owner[where], np.repeat(np.arange(len(some)), size[some])] = 1
-        counts += grid @ grid.T
-    for m in range(2, DENSE):
+        counts += grid[: split or n] @ grid[split:].T
+    for m in np.unique(size[(size > 1) & (size < most)]).tolist():
         some = edge[size == m]
-        if len(some):
-            members = owner[some[:, None] + np.arange(m)]
-            i, j = np.triu_indices(m, 1)
-            np.add.at(counts, (members[:, i].ravel(), members[:, j].ravel()), 1)
-            np.add.at(counts, (members[:, j].ravel(), members[:, i].ravel()), 1)
-    return counts[: len(left), len(left) :] if right is not None else counts
+        i, j = np.triu_indices(m, 1)
+        step = max(1, PAIRS // len(i))
+        for a in range(0, len(some), step):
+            members = owner[some[a : a + step, None] + np.arange(m)]
+            # Members ascend within a shingle: the first of a pair is on the left where sides differ.
+            x, y = members[:, i].ravel(), members[:, j].ravel()
+            if split:
+                across = (x < split) & (y >= split)
+                x, y = x[across], y[across] - split
+            np.add.at(counts, (x, y), 1)
+            if not split:
+                np.add.at(counts, (y, x), 1)
+    return counts
 
 
 def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -282,25 +309,16 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.sortWithinPartitions("group").mapInArrow(run, "node binary, root binary, links bigint")
 
 
-def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, block: int = BLOCK, with_groups: bool = False) -> DataFrame:
-    """(id, class_id, n_links) of every document; ``with_groups`` adds mark, its text's hash, and group, which names the linked rows.
+def meetings(met: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, group, side): where each candidate's text is sent, so that it meets its candidates: a block, or a pair of blocks of which it is in one.
 
-    ``n_links`` is the number of other documents whose sets of five-word shingles have a Jaccard similarity of at least
-    ``threshold``; ``class_id`` is the least id reached over such links, its own without any. Texts without a word, null ones too, link with
-    nothing. A row with a null id links with nothing and has a null class. Repeated rows count as documents of their own, so that each
-    has the others as links. An id may stand on rows of different texts: each row has its own text's links and group. Other columns are not read; an empty table gives no row.
+    A home of n members has n / ``block`` blocks, or more for long texts, and each member goes to all of these.
     """
-    depths = forest_depths(threshold, trees, DEPTH, recall)
-    sign = written(signed(docs.where(F.col(id_column).isNotNull()), id_column, text, depths))
-    classes = written(sign.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("rep"), F.count("*").alias("weight"), F.first("prefixes").alias("prefixes")).select("node", F.col("rep.id").alias("rep"), F.col("rep.mark").alias("mark"), "weight", "prefixes"))
-    places = classes.select("node", F.explode("prefixes").alias("prefix"))
-    shared = places.groupBy("prefix").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("prefix", "least")
-    met = written(places.join(shared, "prefix"))
-    homes = met.groupBy("node").agg(F.min("least").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count("*").alias("n"))
-    slices = F.ceil(F.col("n") / block).cast("int")
-    part = F.pmod(F.xxhash64("node"), slices).cast("int")
-    homes = written(homes.join(sizes, "home").select("node", "home", part.alias("part"), slices.alias("parts"), F.xxhash64("home", part).alias("block")))
+    homes = met.groupBy("node").agg(F.min("least").alias("home")).join(classes.select("node", "size"), "node")
+    sizes = homes.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+    cuts = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    part = F.pmod(F.xxhash64("node"), cuts).cast("int")
+    homes = written(homes.join(sizes, "home").select("node", "home", part.alias("part"), cuts.alias("parts"), F.xxhash64("home", part).alias("block")))
     # All parts of one home meet; other homes meet where a prefix has members of several.
     within = homes.select("node", "home", "part", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("node", "block", F.xxhash64("home", "p").alias("other"))
     inside = met.join(homes, "node").select("prefix", "node", "home", "block")
@@ -309,8 +327,25 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "
     others = wide.select("prefix", F.col("home").alias("other_home"), F.col("block").alias("other")).distinct()
     across = wide.join(others, "prefix").where("home <> other_home").select("node", "block", "other").distinct()
     low, high, same = F.least("block", "other"), F.greatest("block", "other"), F.col("block") == F.col("other")
-    sent = within.unionByName(across).select("node", F.when(same, F.col("block")).otherwise(F.xxhash64(low, high)).alias("group"), F.when(~same, F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
-    owners = homes.select("node").join(classes.select("node", "rep", "mark", "weight"), "node")
+    return within.unionByName(across).select("node", F.when(same, F.col("block")).otherwise(F.xxhash64(low, high)).alias("group"), F.when(~same, F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK, with_groups: bool = False) -> DataFrame:
+    """(id, class_id, n_links) of every document; ``with_groups`` adds mark, its text's hash, and group, which names the linked rows.
+
+    ``n_links`` is the number of other documents whose sets of five-word shingles have a Jaccard similarity of at least
+    ``threshold``; ``class_id`` is the least id reached over such links, its own without any. Texts without a word, null ones too, link with
+    nothing. A row with a null id links with nothing and has a null class. Repeated rows count as documents of their own, so that each
+    has the others as links. An id may stand on rows of different texts: each row has its own text's links and group. Other columns are not read; an empty table gives no row.
+    """
+    levels = forest(threshold, recall)
+    names = [f"level_{i}" for i in range(len(levels))]
+    sign = written(signed(docs.where(F.col(id_column).isNotNull()), id_column, text, levels))
+    grouped = sign.where("node is not null").groupBy("node").agg(F.min(F.struct("id", "mark")).alias("rep"), F.count("*").alias("weight"), F.first("size").alias("size"), *(F.first(n).alias(n) for n in names))
+    classes = written(grouped.select("node", F.col("rep.id").alias("rep"), F.col("rep.mark").alias("mark"), "weight", "size", *names))
+    met = candidates(classes, len(levels), crowd)
+    sent = meetings(met, classes, block)
+    owners = met.select("node").distinct().join(classes.select("node", "rep", "mark", "weight"), "node")
     # The mark picks the class's own text where its id stands on other texts too.
     bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")), ["rep", "mark"]).select("node", "weight", "text")
     rows = sent.join(bodies, "node").select("group", "side", "node", "weight", "text")

@@ -58,11 +58,11 @@ def copies(seed: int) -> list[tuple]:
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("block", [8, 64])
-def test_op1(spark, block):
+@pytest.mark.parametrize(("block", "crowd"), [(8, 8), (64, 2), (2048, 1000)])
+def test_op1(spark, block, crowd):
     rows = copies(5)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, class_id long").repartition(7)
-    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs, block=block).collect()}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs, block=block, crowd=crowd).collect()}
     links = brute(rows)
     named = components_of(links)
     assert got == {i: (named[i], len(links[i])) for i, _ in rows}
@@ -94,10 +94,49 @@ def test_op1_texts_under_one_id(spark, turned):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()) == want
 
 
-def test_depths_reach_the_recall():
-    depths = ngram_join.forest_depths(0.8, 32, 12, 0.9995)
-    missed = np.prod([1 - 0.8**k for k in depths])
-    assert missed <= 0.0005 < np.prod([1 - 0.8 ** (k + 1) for k in depths])
+def test_trees_reach_the_recall():
+    levels = ngram_join.forest(0.8, 0.9995)
+    missed = [(1 - 0.8**k) ** t for k, t in levels]
+    assert [k for k, _ in levels] == sorted(k for k, _ in levels) and sum(missed) <= 0.0005
+    assert all((1 - 0.8**k) ** (t - 1) > 0.0005 / len(levels) for k, t in levels)
+
+
+def test_nodes_of_longer_prefixes_lie_below():
+    rng = random.Random(4)
+    sets = ngram_join.shingle_sets([" ".join(words(rng, 40, 3)).encode() for _ in range(200)])
+    short, middle, long = ngram_join.signatures(sets, [(1, 4), (2, 6), (3, 6)])
+    assert short.shape == (200, 4) and long.shape == (200, 6)
+    for t in range(4):
+        above = {}
+        for i in range(200):
+            assert above.setdefault(middle[i, t], short[i, t]) == short[i, t]
+            assert above.setdefault((long[i, t],), middle[i, t]) == middle[i, t]
+
+
+def test_prefixes_are_as_short_as_what_they_match_allows(spark):
+    """Few members: the shortest prefix. Crowded ones go on, and only they do."""
+    rows = [(f"p{i}".encode(), [1], [10 + i]) for i in range(3)] + [(f"q{i}".encode(), [2], [20 + i // 2]) for i in range(6)] + [(b"alone", [3], [30])]
+    found = ngram_join.candidates(spark.createDataFrame(rows, "node binary, level_0 array<bigint>, level_1 array<bigint>"), 2, crowd=4).collect()
+    assert {(r["prefix"], bytes(r["node"]), bytes(r["least"])) for r in found} == {(1, f"p{i}".encode(), b"p0") for i in range(3)} | {(20 + i // 2, f"q{i}".encode(), f"q{i - i % 2}".encode()) for i in range(6)}
+
+
+def test_rows_sent_grow_in_proportion(spark):
+    """Near copies, all candidates of each other."""
+    sent = {}
+    for n in (500, 1000, 2000):
+        met = spark.range(n).selectExpr("7L as prefix", "cast(cast(id as string) as binary) as node", "cast('0' as binary) as least")
+        sent[n] = ngram_join.meetings(met, met.selectExpr("node", "100L as size")).count()
+    assert sent[1000] <= 2 * sent[500] and sent[2000] <= 2 * sent[1000] and sent[500] == 500
+
+
+def test_recall_on_pairs_at_the_threshold():
+    """Pairs of a similarity just at 0.8, beside crowds that force longer prefixes."""
+    rng = np.random.default_rng(6)
+    levels = ngram_join.forest(0.8, 0.9995)
+    base = [rng.integers(1, 2**62, 90, dtype=np.uint64) for _ in range(3000)]
+    near = [np.unique(np.concatenate([b[10:], rng.integers(1, 2**62, 10, dtype=np.uint64)])) for b in base]
+    for x, y in zip(*(ngram_join.signatures([np.unique(s) for s in sets], levels) for sets in (base, near)), strict=True):
+        assert (x == y).any(axis=1).mean() >= 0.998
 
 
 def test_shingles_are_counted_like_tuples():
