@@ -1,8 +1,8 @@
 """Host-level quality rules (operator 3), with DataFrame functions only.
 
 Each document is measured on its own and checked against base rules. Failures are then counted by host, each
-host's rates are shrunk towards the corpus by a beta prior whose two parameters are fitted to the hosts by moments, and
-a host whose shrunken rate passes a limit loses all its documents.
+host's rates are shrunk towards the corpus by a beta prior that is fitted to the hosts by moments, less what chance alone makes
+them differ. A host loses all its documents where even the low end of what its rate may be is a multiple of the corpus' rate.
 """
 
 from __future__ import annotations
@@ -16,8 +16,11 @@ from brindle.llm.shared import written
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
-#: A host is dropped when its shrunken rate of failures of a rule is above this.
-MAX_RATE = 0.5
+#: A host is dropped when the lower bound of its rate of failures of a rule - the shrunken rate less so many of its standard deviations - is
+#: above so many times the corpus' rate, and above a least rate: rare failures are no reason to drop a host's good documents.
+DEVIATIONS, TIMES, LEAST_RATE = 2.0, 2.0, 0.2
+#: Bounds of the prior's strength, in documents.
+WEAKEST, STRONGEST = 1.0, 1e6
 #: Rejected hosts are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_HOSTS = 10_000
 RULES = ("base", "symbols", "lines")
@@ -73,34 +76,40 @@ def rule_failures() -> dict[str, Column]:
 
 
 def host_rates(rows: DataFrame, host: str = "source") -> DataFrame:
-    """(host, n_docs, and per rule failures and shrunken rate) from measured rows with a host.
+    """(host, n_docs, and per rule failures, rate, bound and limit) from measured rows with a host.
 
-    With rate m over all documents and variance v of the hosts' rates, each host weighing as its documents, the prior is
-    beta(m s, (1 - m) s) with s = m (1 - m) / v - 1, held between 1 and a million.
+    With rate m over all N documents of H hosts, and v the mean squared distance of the hosts' rates from it, each host weighing as its documents, hosts
+    differ by b = (v - m (1 - m) (H - 1) / N) / (1 - sum of squared shares): what chance makes v for equal hosts is taken off. The prior is
+    beta(m s, (1 - m) s) with s = m (1 - m) / b - 1, held between bounds; without a difference it is as strong as can be. rate is the
+    mean of a host's rate then, bound lies DEVIATIONS standard deviations below, and limit is what bound must not pass.
     """
     hosts = rows.where(F.col(host).isNotNull()).groupBy(host).agg(
         F.count("*").alias("n_docs"), *(F.sum(F.when(failed, 1).otherwise(0)).alias(f"{rule}_failures") for rule, failed in rule_failures().items())
     )
     hosts = written(hosts)
+    n = F.sum("n_docs")
     totals = hosts.agg(
-        *(
-            c
-            for r in RULES
-            for c in (
-                (F.sum(f"{r}_failures") / F.sum("n_docs")).alias(f"{r}_m"),
-                (F.sum(F.col(f"{r}_failures") * F.col(f"{r}_failures") / F.col("n_docs")) / F.sum("n_docs") - F.pow(F.sum(f"{r}_failures") / F.sum("n_docs"), 2)).alias(f"{r}_v"),
-            )
-        )
+        ((F.count("*") - 1) / n).alias("chance"),
+        (1 - F.sum(F.col("n_docs") * F.col("n_docs")) / (n * n)).alias("spread"),
+        *(c for r in RULES for c in ((F.sum(f"{r}_failures") / n).alias(f"{r}_m"), (F.sum(F.col(f"{r}_failures") * F.col(f"{r}_failures") / F.col("n_docs")) / n - F.pow(F.sum(f"{r}_failures") / n, 2)).alias(f"{r}_v"))),
     )
     out = hosts.crossJoin(F.broadcast(totals))  # totals is one row
     for r in RULES:
         m, v = F.col(f"{r}_m"), F.col(f"{r}_v")
-        strength = F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.when(v > 1e-12, m * (1 - m) / v - 1).otherwise(F.lit(1e6))))
-        out = out.withColumn(f"{r}_rate", (F.col(f"{r}_failures") + m * strength) / (F.col("n_docs") + strength))
-    return out.select(host, "n_docs", *(c for r in RULES for c in (f"{r}_failures", f"{r}_rate")))
+        differ = F.when(F.col("spread") > 1e-9, (v - m * (1 - m) * F.col("chance")) / F.col("spread"))
+        strength = F.greatest(F.lit(WEAKEST), F.least(F.lit(STRONGEST), F.when(differ > 1e-9, m * (1 - m) / differ - 1).otherwise(F.lit(STRONGEST))))
+        out = out.withColumn(f"{r}_strength", strength).withColumn(f"{r}_rate", (F.col(f"{r}_failures") + m * F.col(f"{r}_strength")) / (F.col("n_docs") + F.col(f"{r}_strength")))
+        rate = F.col(f"{r}_rate")
+        out = out.withColumn(f"{r}_bound", rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (F.col("n_docs") + F.col(f"{r}_strength") + 1)))
+        out = out.withColumn(f"{r}_limit", F.greatest(F.lit(LEAST_RATE), TIMES * m))
+    return out.select(host, "n_docs", *(c for r in RULES for c in (f"{r}_failures", f"{r}_rate", f"{r}_bound", f"{r}_limit")))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", columns: tuple[str, ...] = ("doc_id",), max_rate: float = MAX_RATE) -> DataFrame:
+def rejected_hosts(rates: DataFrame) -> DataFrame:
+    return rates.where(" or ".join(f"{r}_bound > {r}_limit" for r in RULES))
+
+
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Measures of each document, ``base_failed``, and ``kept``: neither it nor its host fails.
 
     Returns ``columns``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, in as many
@@ -111,9 +120,7 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", col
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     rows = measured(docs.select(*(F.col(c).alias(f"_in_{c}") for c in columns), F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text")
     rows = written(rows)
-    rejected = written(
-        host_rates(rows, "_host").where(" or ".join(f"{r}_rate > {max_rate}" for r in RULES)).select(F.col("_host").alias("_bad_host"))
-    )
+    rejected = written(rejected_hosts(host_rates(rows, "_host")).select(F.col("_host").alias("_bad_host")))
     few = rejected.count() <= BROADCAST_HOSTS
     out = rows.join(F.broadcast(rejected) if few else rejected, F.col("_host") == F.col("_bad_host"), "left")
     return out.select(*(F.col(f"_in_{c}").alias(c) for c in columns), *own, (~F.col("base_failed") & F.col("_bad_host").isNull()).alias("kept"))

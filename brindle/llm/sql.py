@@ -38,9 +38,11 @@ base AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(a
   FROM parts LEFT JOIN covered USING (r)),
 failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 100 * n_symbols > 10 * word_chars AS f2, 100 * n_dup_lines > 30 * n_lines AS f3 FROM base),
 hosts AS (SELECT source, count(*) AS n, unnest([sum(base_failed::INT), sum(f2::INT), sum(f3::INT)]) AS f, unnest([1, 2, 3]) AS rule FROM failed WHERE source IS NOT NULL GROUP BY source),
-prior AS (SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2) AS v FROM hosts GROUP BY rule),
-rates AS (SELECT source, (f + m * s) / (n + s) AS rate FROM hosts JOIN (SELECT rule, m, greatest(1.0, least(1e6, CASE WHEN v > 1e-12 THEN m * (1 - m) / v - 1 ELSE 1e6 END)) AS s FROM prior) USING (rule)),
-bad AS (SELECT DISTINCT source FROM rates WHERE rate > 0.5)
+fitted AS (SELECT rule, sum(f) / sum(n) AS m, sum(f * f / n) / sum(n) - pow(sum(f) / sum(n), 2) AS v, (count(*) - 1) / sum(n) AS chance, 1 - sum(n * n) / (sum(n) * sum(n)) AS spread FROM hosts GROUP BY rule),
+differ AS (SELECT rule, m, CASE WHEN spread > 1e-9 THEN (v - m * (1 - m) * chance) / spread END AS d FROM fitted),
+prior AS (SELECT rule, m, greatest(1.0, least(1e6, CASE WHEN d > 1e-9 THEN m * (1 - m) / d - 1 ELSE 1e6 END)) AS s FROM differ),
+rates AS (SELECT source, rule, m, s, n, (f + m * s) / (n + s) AS rate FROM hosts JOIN prior USING (rule)),
+bad AS (SELECT DISTINCT source FROM rates WHERE rate - 2.0 * sqrt(rate * (1 - rate) / (n + s + 1)) > greatest(0.2, 2.0 * m))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.source IS NULL AS kept
 FROM failed LEFT JOIN bad ON failed.source = bad.source
 """

@@ -57,6 +57,66 @@ def test_op3_bad_hosts_go(spark):
     assert all(found[1000 + i] for i in range(700)) and found[5002]
 
 
+def hosted(seed: int) -> list[tuple]:
+    """Documents of hosts that differ: failing base rules, full of symbols, or of repeated lines; two are bad, and one too small to tell."""
+    rng = random.Random(seed)
+    kinds = [lambda: "few words", lambda: " ".join(words(rng, 30, 5000)) + " " + "#$" * 30, lambda: "\n".join([" ".join(words(rng, 30, 5000)), *["one line again"] * 4])]
+    rows = []
+    for h in range(30):
+        share = {3: 0.7, 8: 0.6}.get(h, rng.random() * 0.2)
+        for _ in range(4 if h == 5 else rng.randrange(30, 90)):
+            bad = rng.random() < (0.75 if h == 5 else share)
+            kind = {3: kinds[0], 8: kinds[1]}.get(h) or rng.choice(kinds)
+            rows.append((len(rows), kind() if bad else " ".join(words(rng, 40, 5000)), f"h{h}"))
+    return [*rows, (-1, "few words", None), (None, None, "h1")]
+
+
+def plain_verdicts(rows: list[tuple]) -> set[str]:
+    """Hosts that are rejected, worked out host by host."""
+    hosts = defaultdict(list)
+    for _, text, host in rows:
+        n, chars, symbols, same, _, failed = plain_measures(text)
+        lines = sum(1 for x in (text or "").split("\n") if x.strip("\x20\t\n\x0b\x0c\r"))
+        if host is not None:
+            hosts[host].append((failed, symbols > chars / 10, 100 * same > 30 * lines))
+    total, bad = sum(map(len, hosts.values())), set()
+    for rule in range(3):
+        sums = {h: sum(x[rule] for x in found) for h, found in hosts.items()}
+        m = sum(sums.values()) / total
+        v = sum(len(hosts[h]) * (f / len(hosts[h]) - m) ** 2 for h, f in sums.items()) / total
+        b = (v - m * (1 - m) * (len(hosts) - 1) / total) / (1 - sum((len(x) / total) ** 2 for x in hosts.values()))
+        s = max(1.0, min(1e6, m * (1 - m) / b - 1)) if b > 1e-9 else 1e6
+        for h, f in sums.items():
+            alpha, beta = f + m * s, len(hosts[h]) - f + (1 - m) * s
+            mean, variance = alpha / (alpha + beta), alpha * beta / (alpha + beta) ** 2 / (alpha + beta + 1)
+            if mean - 2 * variance**0.5 > max(0.2, 2 * m):
+                bad.add(h)
+    return bad
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_op3_host_verdicts(spark, tmp_path, seed):
+    """Bad hosts go with their good documents, as a plain count and the SQL say; a small host is not judged by four documents."""
+    rows = hosted(seed)
+    bad = plain_verdicts(rows)
+    assert bad == {"h3", "h8"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality_rules.quality_rules(docs, columns=("doc_id", "source")).collect()
+    assert len(found) == len(rows)
+    assert all(r["kept"] == (not r["base_failed"] and r["source"] not in bad) for r in found)
+    assert any(r["source"] in bad and not r["base_failed"] for r in found)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert compare.differences(spark, compare.duck(str(tmp_path)), queries.queries()["op3_quality_rules"], sql.OP3, str(tmp_path)) == []
+
+
+def test_op3_equal_hosts_stay(spark):
+    """Hosts that differ by chance only: the prior is as strong as can be, and none goes."""
+    rng = random.Random(3)
+    rows = [(i, "few words" if rng.random() < 0.3 else " ".join(words(rng, 40, 5000)), f"h{i % 60}") for i in range(600)]
+    found = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(r["kept"] == (not r["base_failed"]) for r in found)
+
+
 def labelled(spark, n: int = 600):
     rng = random.Random(6)
     docs, labels = [], []
