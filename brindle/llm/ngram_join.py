@@ -33,7 +33,9 @@ DEPTHS, CROWD, RECALL = (2, 4, 6), 8, 0.9995
 #: Representatives in a block, and shingles of them, about: at most two blocks of texts meet in one group of rows.
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
 #: Bytes of text hashed at once; members of a shingle, and their share of a block, that are multiplied as a dense matrix from; pairs counted at once.
-HASHED_BYTES, DENSE, DENSE_SHARE, PAIRS = 4_000_000, 24, 0.125, 1_000_000
+HASHED_BYTES, DENSE, DENSE_SHARE, PAIRS = 2_000_000, 24, 0.125, 250_000
+#: Dense shingles, and rows of a matrix of pairs, that are worked on at once.
+COLUMNS, STRIP = 512, 256
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 WHITE = np.zeros(256, dtype=bool)
@@ -209,8 +211,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     counts = np.zeros((split or n, n - split), dtype=np.float32)
     most = max(DENSE, int(n * DENSE_SHARE))
     dense = np.flatnonzero(size >= most)
-    for a in range(0, len(dense), 1024):
-        some = dense[a : a + 1024]
+    for a in range(0, len(dense), COLUMNS):
+        some = dense[a : a + COLUMNS]
         grid = np.zeros((n, len(some)), dtype=np.float32)
         where = np.concatenate([np.arange(edge[i], edge[i] + size[i]) for i in some])
         grid[owner[where], np.repeat(np.arange(len(some)), size[some])] = 1
@@ -237,7 +239,10 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: fl
     shared = overlaps(left, right)
     a = np.array([len(s) for s in left])
     b = a if right is None else np.array([len(s) for s in right])
-    out = shared >= threshold * (a[:, None] + b[None, :] - shared) - 1e-6
+    out = np.empty(shared.shape, dtype=bool)
+    for at in range(0, len(a), STRIP):
+        some = shared[at : at + STRIP].astype(np.float64)
+        out[at : at + STRIP] = some >= threshold * (a[at : at + STRIP, None] + b[None, :] - some) - 1e-6
     if right is None:
         np.fill_diagonal(out, False)
     return out
@@ -245,10 +250,12 @@ def linked(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: fl
 
 def roots_of(matrix: np.ndarray) -> np.ndarray:
     """For a symmetric matrix of links, the first member of each member's component."""
-    root = np.arange(len(matrix))
+    n = len(matrix)
+    root = np.arange(n)
     while True:
-        low = np.where(matrix, root[None, :], len(matrix)).min(axis=1) if len(matrix) else root
-        new = np.minimum(root, low)
+        new = root.copy()
+        for at in range(0, n, STRIP):
+            new[at : at + STRIP] = np.minimum(new[at : at + STRIP], np.where(matrix[at : at + STRIP], root[None, :], n).min(axis=1))
         new = np.minimum(new, new[new])
         if (new == root).all():
             return root
@@ -266,11 +273,11 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
         for _, side, node, weight, text in group:
             held.setdefault((side or 0, node), (weight, text, side))
         keys = list(held)
+        if len(keys) < 2:
+            return
         sets = shingle_sets([held[k][1] for k in keys])
         weights = np.array([held[k][0] for k in keys], dtype=np.int64)
         if any(held[k][2] is None for k in keys):
-            if len(keys) < 2:
-                return
             links = linked(sets, None, threshold)
         else:
             cut = [i for i, k in enumerate(keys) if k[0] == 0], [i for i, k in enumerate(keys) if k[0] == 1]
@@ -279,7 +286,7 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
             links = np.zeros((len(keys), len(keys)), dtype=bool)
             links[np.ix_(*cut)] = linked([sets[i] for i in cut[0]], [sets[i] for i in cut[1]], threshold)
             links |= links.T
-        root, counts = roots_of(links), links @ weights
+        root, counts = roots_of(links), np.concatenate([links[at : at + STRIP] @ weights for at in range(0, len(keys), STRIP)])
         for i in np.flatnonzero(links.any(axis=1)):
             yield keys[i][1], keys[root[i]][1], int(counts[i])
 
