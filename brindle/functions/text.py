@@ -53,9 +53,14 @@ def summary_end(text: Column, section_starts: Column, limit: int = 1000, gap: in
 
 
 def mentions(text: Column) -> Column:
-    """Names after an @ at the start or after white space, bare or in double quotes; others, as in addresses, are not meant."""
-    hits = F.regexp_extract_all(text, F.lit('(?:^|\\s)@("[^"]+"|[^\\s"][^\\s]*)'), 1)
-    return F.transform(hits, lambda m: F.btrim(m, F.lit('"')))
+    """Names after an @ at the start or after white space, in double quotes or bare; others, as in addresses, are not meant.
+
+    A quote that is not closed anywhere after it belongs to a bare name; empty names are left out.
+    """
+    hits = F.regexp_extract_all(text, F.lit('(?U)(?:^|\\s)@("[^"]*"|\\S*)'), 1)
+    closed = lambda m: F.rlike(m, F.lit('^"[^"]*"$'))
+    names = F.transform(hits, lambda m: F.when(closed(m), F.substr(m, F.lit(2), F.char_length(m) - 2)).otherwise(m))
+    return F.filter(names, lambda m: m != "")
 
 
 def first_words(text: Column, n: int = 10) -> Column:

@@ -13,8 +13,8 @@ def whole(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def pieces(text: str, size: int) -> F.Column:
     """Array of a text's pieces of ``size`` characters; none for an empty or null text."""
-    n = F.ceil(F.char_length(F.col(text)) / size).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.col(text), i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    # One pass over the text; a substring for each piece would begin at its start again.
+    return F.coalesce(F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"), 1), F.array().cast("array<string>"))
 
 
 def fixed(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -51,3 +51,17 @@ def by_sections(spans: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 #: The section budget that suits a provider's model, in characters; null is a whole document.
 STRATEGIES = (("openai", 7500), ("ollama", 1500), ("voyageai", None), ("gemini", 1500), ("cohere", None), ("zeroentropy", None))
+
+
+def by_strategies(spans: DataFrame, docs: DataFrame, strategies: tuple[tuple[str, int | None], ...] = STRATEGIES) -> DataFrame:
+    """(provider, doc, chunk_id, chunk_count, content): the chunks that suit each provider's model: whole documents, or pieces of their sections.
+
+    Providers of one budget share the cutting.
+    """
+    out = None
+    for size in dict.fromkeys(n for _, n in strategies):
+        cut = whole(docs, "doc", "text") if size is None else by_sections(spans, docs, size)
+        named = F.explode(F.array(*(F.lit(p) for p, n in strategies if n == size)))
+        own = cut.select(named.alias("provider"), "doc", F.col("chunk_id").cast("bigint").alias("chunk_id"), F.col("chunk_count").cast("bigint").alias("chunk_count"), "content")
+        out = own if out is None else out.unionByName(own)
+    return out

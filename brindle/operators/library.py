@@ -41,8 +41,12 @@ def insert_merge(current: DataFrame | None, new: DataFrame, key: str | None, ord
     """
     if current is None or key is None:
         return new
-    first = keep_first(new, key, order)
-    return current.unionByName(first.join(current.select(key), key, "left_anti").select(*current.columns))
+    return current.unionByName(missing(current.select(key), new, key, order).select(*current.columns))
+
+
+def missing(held: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """The first new row of each key that is not held."""
+    return keep_first(new, key, order).join(held, key, "left_anti")
 
 
 def keep_first(rows: DataFrame, by: str, order: str) -> DataFrame:
@@ -80,8 +84,10 @@ def lookup_many(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return rows.join(keys.select(column), column, "left_semi").select(*rows.columns)
 
 
-def authors(creators: DataFrame) -> DataFrame:
-    """(item, authors): "last, first" in order of (place, name)."""
+def authors(creators: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """(item, authors): "last, first" in order of (place, name); of the given items only, where there are some."""
+    if items is not None:
+        creators = creators.join(items.select("item").distinct(), "item", "left_semi")
     name = F.concat_ws(", ", "last_name", "first_name")
     ordered = F.array_sort(F.collect_list(F.struct(F.col("place"), name.alias("name"))))
     return creators.groupBy("item").agg(F.transform(ordered, lambda x: x["name"]).alias("authors"))

@@ -5,13 +5,22 @@ The default embedder counts hashed words; the default reranker is BM25; the defa
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.files import present
+
 BUCKETS = 64
+#: Folders that a text index deals its terms to.
+TERM_BUCKETS = 64
 K1, B = 1.2, 0.75
 
 
@@ -31,19 +40,32 @@ def sparse_embeddings(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def embed(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """Adds vector: BUCKETS doubles of unit length, zeros for a null or blank text. One pass, no shuffle."""
-    held = rows.withColumn("_b", F.transform(words(text), lambda w: bucket(w)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.coalesce(F.size(F.filter("_b", lambda x: x == i)), F.lit(0)).cast("double"))
-    held = held.withColumn("_c", F.when(F.col("_b").isNull(), F.array_repeat(F.lit(0.0), BUCKETS)).otherwise(counts))
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    held = held.withColumn("_n", norm)
-    return held.withColumn("vector", F.when(F.col("_n") > 0, F.transform("_c", lambda x: x / F.col("_n"))).otherwise(F.col("_c"))).drop("_b", "_c", "_n")
+    """(keys, vector): BUCKETS doubles of unit length, zeros for a null or blank text. One pass over its words, no shuffle.
+
+    Spark cuts the words; Arrow numbers a batch's distinct ones, so that each is hashed once, and numpy counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            flat = lists.flatten().dictionary_encode()
+            buckets = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:3], 16) % BUCKETS for w in flat.dictionary.to_pylist()), dtype=np.int64, count=len(flat.dictionary))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            counts = np.bincount(row * BUCKETS + buckets[flat.indices.to_numpy(zero_copy_only=False)], minlength=batch.num_rows * BUCKETS).reshape(-1, BUCKETS).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            vectors = np.divide(counts, norm, out=counts, where=norm > 0)
+            held = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BUCKETS, pa.int32()), pa.array(vectors.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], held], [*keys, "vector"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*keys, words(text).alias("_words")).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", vector array<double>")
 
 
 def embed_distinct(rows: DataFrame, text: str) -> DataFrame:
-    """``embed`` with each distinct text embedded once."""
+    """``rows`` with a vector, each distinct text embedded once."""
     hashed = rows.withColumn("_hash", F.md5(text))
-    once = embed(hashed.groupBy("_hash").agg(F.first(text).alias(text)), ["_hash"], text).select("_hash", "vector")
+    once = embed(hashed.groupBy("_hash").agg(F.first(text).alias(text)), ["_hash"], text)
     return hashed.join(once, "_hash").drop("_hash")
 
 
@@ -83,16 +105,65 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return found, docs.select(key, F.coalesce(F.size(words(text)), F.lit(0)).cast("bigint").alias("length"))
 
 
-def bm25(candidates: DataFrame, queries: DataFrame, docs: DataFrame, key: str, query: str, query_text: str, text: str) -> DataFrame:
+@dataclass(frozen=True)
+class TextIndex:
+    """A kept text index: ``postings`` (term, key, tf) in folders by a hash of the term, ``lengths`` (key, length), ``totals`` (n_docs, avg_length)."""
+
+    spark: SparkSession
+    path: str
+    key: str
+
+    def exists(self) -> bool:
+        return present(self.spark, f"{self.path}/totals/_SUCCESS")
+
+    def create(self, docs: DataFrame, text: str) -> bool:
+        """Builds the index unless there is one; tells whether it did. The totals, which are written last, say that it is whole."""
+        if self.exists():
+            return False
+        found, lengths = postings(docs, self.key, text)
+        found.withColumn("bucket", term_bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths")
+        totals = self.lengths().agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
+        return True
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """(term, key, tf), of the given terms only; of their folders only, since the bucket joins too."""
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        if terms is not None:
+            rows = rows.join(terms.select("term", term_bucket("term").alias("bucket")).distinct(), ["bucket", "term"], "left_semi")
+        return rows.select("term", self.key, "tf")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lengths")
+
+    def totals(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/totals")
+
+
+def term_bucket(term: str) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def bm25(candidates: DataFrame, queries: DataFrame, docs: DataFrame, key: str, query: str, query_text: str, text: str, index: TextIndex | None = None) -> DataFrame:
     """(query, key, score) of candidate pairs, to 6 places; 0 where no word is shared.
 
-    Only the postings of words that queries have are made.
+    With an index only the postings of queried words are read. Without one a single pass over ``docs`` gives the frequencies of queried words,
+    and candidates alone have their own words counted.
     """
     asked = queries.select(query, F.explode(F.array_distinct(words(query_text))).alias("term"))
-    found, lengths = postings(docs, key, text)
-    used = found.join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = used.groupBy("term").agg(F.count("*").alias("df"))
-    totals = lengths.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
+    terms = asked.select("term").distinct()
+    if index:
+        used = index.postings(terms)
+        frequency = used.groupBy("term").agg(F.count("*").alias("df"))
+        lengths, totals = index.lengths(), index.totals()
+    else:
+        # Each document's distinct words meet the queried ones: a word is counted once a document, without the document's key.
+        frequency = docs.select(F.explode(F.array_distinct(words(text))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+        totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size(words(text)), F.lit(0))).alias("avg_length"))
+        own = docs.join(candidates.select(key).distinct(), key, "left_semi")
+        found, lengths = postings(own, key, text)
+        used = found.join(terms, "term", "left_semi")
     scored = candidates.select(query, key).join(asked, query).join(used, [key, "term"]).join(frequency, "term").join(lengths, key).crossJoin(F.broadcast(totals))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))

@@ -3,21 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brindle.sources.files import present
+
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Queries that are broadcast: with 1,000 dimensions, 20 MB.
+FEW_QUERIES = 2500
 
 
 def filled(vector: str) -> Column:
     return F.transform(vector, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
 
 
+def matrix(vectors: pa.Array, rows: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
 def scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     """Larger is nearer: cosine, or minus the squared distance; to 9 places, so that ties do not hang on the order of sums."""
     if metric == "cosine":
@@ -74,45 +83,113 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False) -> DataFrame:
+def best_of_partitions(asked: DataFrame, held: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query, id, score): of each partition of (id, vector) rows the best k ids of each query, of which there are few: all are broadcast."""
+    found = asked.toArrow()
+    if not found.num_rows:
+        return asked.sparkSession.createDataFrame([], "query bigint, id bigint, score double")
+    names = found["query"].to_numpy()
+    shared = asked.sparkSession.sparkContext.broadcast((names, matrix(found["vector"].combine_chunks(), len(names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, queries = shared.value
+        ids, best = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(at, VECTOR_BLOCK)
+                order = np.argsort(part.column(0).to_numpy(), kind="stable")
+                own, starts = np.unique(part.column(0).to_numpy()[order], return_index=True)
+                new = np.maximum.reduceat(scores(queries, matrix(part.column(1), part.num_rows)[order], metric), starts, axis=1)
+                # Ids ascend here, so that a stable sort breaks ties by id.
+                top = np.argsort(-new, axis=1, kind="stable")[:, :k]
+                ids, best = np.hstack([ids, own[top]]), np.hstack([best, np.take_along_axis(new, top, axis=1)])
+                # An id may be in several batches: its best counts, the others sink.
+                order = np.lexsort((-best, ids), axis=1)
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+                best[:, 1:][ids[:, 1:] == ids[:, :-1]] = -np.inf
+                order = np.lexsort((ids, -best), axis=1)[:, :k]
+                ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
+        kept = best.ravel() > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])[kept]), pa.array(ids.ravel()[kept]), pa.array(best.ravel()[kept])], ["query", "id", "score"])
+
+    return held.select("id", "vector").mapInArrow(run, "query bigint, id bigint, score double").groupBy("query", "id").agg(F.max("score").alias("score"))
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, few: int = FEW_QUERIES) -> DataFrame:
     """(query, id, score, rank): the k nearest ids of each query, exactly; equals are ordered by id.
 
-    ``queries`` is (query, vector), ``corpus`` is (id, vector), ids are bigint, null elements read as 0, all vectors have one length. Either side is dealt
+    ``queries`` is (query, vector), ``corpus`` is (id, vector), ids are bigint, null elements read as 0, all vectors have one length. Up to ``few`` queries are
+    broadcast to the corpus, which stays where it is: each of its partitions passes k rows a query on. Beyond, either side is dealt
     into blocks, so that no task holds more than a block of each; each pair of blocks passes k rows a query on.
     """
-    nq, nv = max(1, -(-queries.count() // QUERY_BLOCK)), max(1, -(-corpus.count() // VECTOR_BLOCK))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.select(F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("qb"), each(nv).alias("vb"), F.lit(True).alias("is_query"), F.col("query").alias("id"), filled("vector").alias("vector"))
-    held = corpus.select(F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), F.lit(False).alias("is_query"), "id", filled("vector").alias("vector"))
-    held = held.select(each(nq).alias("qb"), "vb", "is_query", "id", "vector")
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = best_of_blocks(asked.unionByName(held).repartition(parts, "qb", "vb"), k + exclude_self, metric)
+    asked, held = queries.select("query", filled("vector").alias("vector")), corpus.select("id", filled("vector").alias("vector"))
+    n = asked.count()
+    if n <= few:
+        found = best_of_partitions(asked, held, k + exclude_self, metric)
+    else:
+        nq, nv = -(-n // QUERY_BLOCK), max(1, -(-held.count() // VECTOR_BLOCK))
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        asked = asked.select(F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("qb"), each(nv).alias("vb"), F.lit(True).alias("is_query"), F.col("query").alias("id"), "vector")
+        held = held.select(F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int").alias("vb"), F.lit(False).alias("is_query"), "id", "vector")
+        held = held.select(each(nq).alias("qb"), "vb", "is_query", "id", "vector")
+        parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        found = best_of_blocks(asked.unionByName(held).repartition(parts, "qb", "vb"), k + exclude_self, metric)
+        found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     if exclude_self:
         found = found.where("query <> id")
     return ranked(found, k)
 
 
-def build_lists(corpus: DataFrame, lists: int, sample_rows: int = 50_000, seed: int = 11):
-    """A coarse quantizer, fitted on a sample of about ``sample_rows``, and the corpus with each row's list."""
-    rows = corpus.select("id", filled("vector").alias("vector"))
-    share = min(1.0, sample_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("features", array_to_vector("vector"))
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(sample)
-    placed = model.transform(rows.withColumn("features", array_to_vector("vector"))).select("id", "vector", F.col("prediction").alias("list_id"))
-    return model, placed
-
-
-def nearest_by_lists(model, placed: DataFrame, queries: DataFrame, k: int, probes: int, exclude_self: bool = False) -> DataFrame:
-    """Like ``nearest`` by distance, over the ``probes`` lists whose centres are nearest to the query; all lists give the exact result."""
-    centres = [F.array(*map(F.lit, map(float, c))) for c in model.clusterCenters()]
-    gap = lambda c: F.aggregate(F.zip_with("vector", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    order = F.array_sort(F.array(*(F.struct(gap(c).alias("d"), F.lit(i).alias("list_id")) for i, c in enumerate(centres))))
-    asked = queries.select("query", filled("vector").alias("vector"))
-    asked = asked.select("query", "vector", F.explode(F.slice(order, 1, probes)).alias("p")).select("query", F.col("p.list_id").alias("list_id"), "vector")
-    # A list is cut into slices, which hold a block's worth each.
-    sizes = placed.groupBy("list_id").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("slices"))
-    asked = asked.join(sizes, "list_id").select(F.col("list_id").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("vb"), F.lit(True).alias("is_query"), F.col("query").alias("id"), "vector")
-    held = placed.join(sizes, "list_id").select(F.col("list_id").alias("qb"), F.pmod(F.xxhash64("id"), "slices").cast("int").alias("vb"), F.lit(False).alias("is_query"), "id", "vector")
-    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = best_of_blocks(asked.unionByName(held).repartition(parts, "qb", "vb"), k + exclude_self, "l2")
-    return ranked(found.where("query <> id") if exclude_self else found, k)
+@dataclass(frozen=True)
+class VectorIndex:
+    """A kept index: ``centres`` (list_id, centre) and ``lists`` (id, vector), in one folder for each list_id."""
+
+    spark: SparkSession
+    path: str
+
+    def exists(self) -> bool:
+        return present(self.spark, f"{self.path}/centres/_SUCCESS")
+
+    def centres(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/centres")
+
+    def lists(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/lists")
+
+    def create(self, corpus: DataFrame, lists: int, sample_rows: int = 50_000, seed: int = 11) -> bool:
+        """Builds the index of (id, vector) rows unless there is one; tells whether it did.
+
+        Centres are fitted to a sample of about ``sample_rows``; every row is put into the list of its nearest centre. The centres, which are
+        written last, say that the index is whole.
+        """
+        if self.exists():
+            return False
+        rows = corpus.select("id", filled("vector").alias("vector"))
+        share = min(1.0, sample_rows / max(1, rows.count()))
+        sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("features", array_to_vector("vector"))
+        model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(sample)
+        placed = model.transform(rows.withColumn("features", array_to_vector("vector"))).select("id", "vector", F.col("prediction").alias("list_id"))
+        placed.write.mode("overwrite").partitionBy("list_id").parquet(f"{self.path}/lists")
+        centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+        self.spark.createDataFrame(centres, "list_id int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
+        return True
+
+    def nearest(self, queries: DataFrame, k: int, probes: int, exclude_self: bool = False) -> DataFrame:
+        """Like ``nearest`` by distance, over the ``probes`` lists whose centres are nearest to the query; all lists give the exact result.
+
+        Only the folders of probed lists are read. A list is cut into slices of a block's rows each.
+        """
+        gap = F.aggregate(F.zip_with("vector", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+        # The centres are as many as the lists: a small table.
+        near = queries.select("query", filled("vector").alias("vector")).crossJoin(F.broadcast(self.centres())).select("query", "vector", "list_id", gap.alias("d"))
+        order = F.row_number().over(Window.partitionBy("query").orderBy("d", "list_id"))
+        asked = near.withColumn("n", order).where(F.col("n") <= probes).select("query", "list_id", "vector")
+        probed = asked.select("list_id").distinct()
+        placed = self.lists().join(F.broadcast(probed), "list_id")
+        sizes = placed.groupBy("list_id").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("slices"))
+        asked = asked.join(F.broadcast(sizes), "list_id").select(F.col("list_id").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("vb"), F.lit(True).alias("is_query"), F.col("query").alias("id"), "vector")
+        held = placed.join(F.broadcast(sizes), "list_id").select(F.col("list_id").alias("qb"), F.pmod(F.xxhash64("id"), "slices").cast("int").alias("vb"), F.lit(False).alias("is_query"), "id", "vector")
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        found = best_of_blocks(asked.unionByName(held).repartition(parts, "qb", "vb"), k + exclude_self, "l2")
+        found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
+        return ranked(found.where("query <> id") if exclude_self else found, k)

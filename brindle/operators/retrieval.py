@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
 from brindle.operators import chunking, models, neighbours
+from brindle.operators.sections import section_of_positions
 
 #: The least similarity of a passage, how many stay if none has it, and a section's share that widens it.
 LEAST_SCORE, FALLBACK, ZOOM_SHARE = 0.7, 8, 0.25
@@ -48,6 +49,41 @@ def scored_passages(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) ->
     return pairs.join(held, "doc_id").join(asked, "query").select("query", "doc_id", "chunk_id", F.round(V.dot(F.col("vector"), F.col("asked")), 6).alias("score"))
 
 
+def passages(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, failed: DataFrame, least: float = LEAST_SCORE, top: int = FALLBACK) -> DataFrame:
+    """(query, doc, id, section, score, position, error): what of each pair's document answers its query.
+
+    ``chunks`` is (doc, section, id, content) with an id for each chunk. Those of at least ``least`` stay, or the best ``top`` of a document that has none, and are then
+    ordered by BM25. A document that is in ``failed`` (doc, error) gives its error as a row, and the others go on.
+    """
+    sound, bad = pairs.join(failed.select("doc"), "doc", "left_anti"), pairs.join(failed, "doc")
+    found = scored_passages(sound.select("query", F.col("doc").alias("doc_id")), queries, chunks.select(F.col("doc").alias("doc_id"), F.col("id").alias("chunk_id"), "content"))
+    kept = threshold_or_top(found, ["query", "doc_id"], "chunk_id", least, top).select("query", F.col("doc_id").alias("doc"), F.col("chunk_id").alias("id"), "score")
+    ranked = models.bm25(kept, queries, chunks, "id", "query", "query_text", "content").withColumnRenamed("score", "_bm25")
+    rows = kept.join(ranked, ["query", "id"]).join(chunks.select("id", "section"), "id")
+    place = F.row_number().over(Window.partitionBy("query", "doc").orderBy(F.desc("_bm25"), "id"))
+    out = rows.select("query", "doc", "id", "section", "score", place.alias("position"), F.lit(None).cast("string").alias("error"))
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in out.dtypes}
+    return out.unionByName(bad.select("query", "doc", empty["id"], empty["section"], empty["score"], empty["position"], "error"))
+
+
+def first_occurrences(found: DataFrame, chunks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(query, doc, id, section) of passages: the section of the place where a passage's text first stands in its document, which may come before its own."""
+    rows = found.where("error is null").select("query", "doc", "id").join(chunks.select("id", "content"), "id").join(docs.select("doc", "text"), "doc")
+    before = F.substr("text", F.lit(1), F.instr("text", F.col("content")) - 1)
+    places = rows.select("doc", F.octet_length(before).cast("bigint").alias("position"), "query", "id")
+    return section_of_positions(places, sections).select("query", "doc", "id", "section")
+
+
+def expanded(found: DataFrame, chunks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(query, doc, section, start, end, text): passages widened to their sections, or as they are, without a section, where their document has none."""
+    placed = first_occurrences(found, chunks, docs, sections)
+    wide = widened(section_shares(placed), sections, docs)
+    none = F.lit(None)
+    same = found.where("error is null").join(wide.select("query", "doc").distinct(), ["query", "doc"], "left_anti").join(chunks.select("id", "content"), "id")
+    kinds = dict(wide.dtypes)
+    return wide.unionByName(same.select("query", "doc", *(none.cast(kinds[c]).alias(c) for c in ("section", "start", "end")), F.col("content").alias("text")))
+
+
 def section_shares(hits: DataFrame) -> DataFrame:
     """(query, doc, section, n, share) of hits that have a section."""
     counted = hits.where("section is not null").groupBy("query", "doc", "section").agg(F.count("*").alias("n"))
@@ -57,7 +93,7 @@ def section_shares(hits: DataFrame) -> DataFrame:
 def widened(shares: DataFrame, sections: DataFrame, docs: DataFrame, least: float = ZOOM_SHARE) -> DataFrame:
     """(query, doc, section, start, end, text): each hit section, or its parent for a large share, up to the next section of any level.
 
-    Sections that widen to one parent give its text once. Without hits there is no row: the passages then stand as they are.
+    Sections that widen to one parent give its text once.
     """
     order = Window.partitionBy("doc").orderBy("section")
     spans = sections.join(docs.select("doc", "n_bytes"), "doc").select("doc", "section", F.col("byte_index").alias("start"), F.coalesce(F.lead("byte_index").over(order), F.col("n_bytes")).alias("end"))
@@ -74,6 +110,16 @@ def prompts(hits: DataFrame) -> DataFrame:
     return hits.withColumn("prompt", F.concat(F.lit("Question: "), "query_text", F.lit("\nTitle: "), "title", F.lit("\nAuthors: "), authors, F.lit("\nQuote what answers the question from this text:\n"), "text"))
 
 
+def refine_prompts(found: DataFrame, queries: DataFrame, chunks: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(query, doc, prompt): asks a model to refine a document's passages for a query, beside the document's ``summary``."""
+    rows = found.where("error is null").join(chunks.select("id", "content"), "id")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: x["content"])
+    joined = rows.groupBy("query", "doc").agg(F.array_join(listed, "\n-----\n").alias("passages"))
+    asked = joined.join(queries.select("query", "query_text"), "query").join(summaries.select("doc", "summary"), "doc")
+    text = F.concat(F.lit("Question: "), "query_text", F.lit("\nWhat the document is about, perhaps: "), "summary", F.lit("\nPassages found in it:\n"), "passages", F.lit("\nGive the parts that answer the question, word for word, with ----- between them.\n"))
+    return asked.select("query", "doc", text.alias("prompt"))
+
+
 def search_tokens(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """(query, embedding_tokens, rerank_tokens, billed): bytes stand for tokens; bills count four bytes a token, rounded down."""
     own = queries.select("query", F.octet_length("query_text").cast("bigint").alias("embedding_tokens"))

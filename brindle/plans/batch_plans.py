@@ -45,13 +45,8 @@ def batch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pending_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of all batches, one folder each, written and read again."""
     path = scratch_dir(spark) + "/logs"
-    items = views.batches(spark, sf_dir)
-    # A line holds one item here: a batch of any size is never one row.
-    line = F.to_json(F.struct(F.concat(F.lit("batch-"), F.col("batch").cast("string")).alias("batch_id"), "provider", "model", F.array(F.struct("file_path", "library_key", "title", "hash")).alias("items")))
-    rows = items.select(F.concat(F.lit("batch_"), F.col("batch").cast("string"), F.lit(".log")).alias("log"), line.alias("line"))
-    rows.write.partitionBy("log").text(path)
-    logs = spark.read.schema(f"{batch_files.LOG}, log string").json(path).withColumn("seq", F.regexp_extract("log", "^batch_([0-9]+)\\.log$", 1).cast("bigint"))
-    return logs.groupBy("seq", "batch_id").agg(F.sum(F.size("items")).cast("bigint").alias("n_items")).orderBy(F.desc("seq"))
+    batch_files.write_logs(views.batches(spark, sf_dir), path)
+    return batch_files.pending(spark, path).groupBy("seq", "batch_id").agg(F.sum(F.size("items")).cast("bigint").alias("n_items")).orderBy(F.desc("seq"))
 
 
 @query("q_next_seq", f"WITH {BATCHES} SELECT max(batch) + 1 AS next_seq FROM batches")

@@ -94,12 +94,18 @@ def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRATEGY = ", ".join(f"('{p}', {'NULL' if n is None else n})" for p, n in chunking.STRATEGIES)
 
 
-@query("q_chunk_strategy", f"WITH {LIB}, strategies(provider, budget) AS (VALUES {STRATEGY}) SELECT library_key, provider, CASE WHEN budget IS NULL THEN 1 ELSE CAST(ceil(length(text) / budget) AS BIGINT) END AS n_chunks FROM lib CROSS JOIN strategies")
+@query(
+    "q_chunk_strategy",
+    f"""WITH {MARKERS}, {SPANS}, strategies(provider, budget) AS (VALUES {STRATEGY}),
+  sized AS (SELECT s.doc, length(decode(unhex(substr(hex(encode(text)), CAST(2 * byte_index + 1 AS BIGINT), CAST(2 * (end_byte - byte_index) AS BIGINT))))) AS n, end_byte - byte_index AS n_bytes FROM spans s JOIN paged p ON s.doc = p.doc)
+  SELECT provider, doc, sum(ceil(n / budget))::BIGINT AS n_chunks, sum(ceil(n / budget))::BIGINT AS chunk_count, sum(n_bytes)::BIGINT AS n_bytes FROM sized CROSS JOIN strategies WHERE budget IS NOT NULL AND n > 0 GROUP BY provider, doc
+  UNION ALL SELECT provider, doc, 1, 1, n_bytes FROM paged CROSS JOIN strategies WHERE budget IS NULL""",
+)
 def chunk_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document under each provider's strategy; the strategies are a short fixed list."""
-    n = F.char_length("text")
-    arms = F.array(*(F.struct(F.lit(p).alias("provider"), (F.lit(1) if size is None else F.ceil(n / size)).cast("bigint").alias("n_chunks")) for p, size in chunking.STRATEGIES))
-    return views.library(spark, sf_dir).select("library_key", F.explode(arms).alias("s")).select("library_key", "s.provider", "s.n_chunks")
+    """Each page cut under each provider's strategy."""
+    docs = views.paged(spark, sf_dir)
+    cut = chunking.by_strategies(sections.with_spans(found(spark, sf_dir), docs), docs)
+    return cut.groupBy("provider", "doc").agg(F.count("*").alias("n_chunks"), F.max("chunk_count").cast("bigint").alias("chunk_count"), F.sum(F.octet_length("content")).cast("bigint").alias("n_bytes"))
 
 
 POSITIONS = """, positions AS (SELECT doc, byte_index + 40 AS position FROM markers UNION ALL SELECT page_id, 0 FROM pages)"""
@@ -148,24 +154,28 @@ INTRO = "CASE lang WHEN 'en' THEN substr(text, 1, 300) || ' INTRODUCTION ' || su
 
 @query(
     "q_summary_cut",
-    f"""WITH t AS (SELECT doc_id, {INTRO} AS t FROM documents), p AS (SELECT doc_id, t, octet_length(encode(t)) AS n, position('introduction' IN lower(regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g'))) AS c FROM t),
+    f"""WITH t AS (SELECT doc_id, lang, {INTRO} AS t FROM documents), p AS (SELECT doc_id, lang, t, octet_length(encode(t)) AS n, position('introduction' IN lower(regexp_replace(t, '[^\\x00-\\x7F]', '?', 'g'))) AS c FROM t),
   b AS (SELECT *, CASE WHEN c > 0 THEN octet_length(encode(substr(t, 1, c - 1))) END AS pos FROM p)
-  SELECT doc_id, CAST(CASE WHEN pos <= 1000 THEN pos WHEN n <= 1000 THEN n ELSE (SELECT max(octet_length(encode(substr(t, 1, k)))) FROM (SELECT unnest(range(200, 1001)) AS k) WHERE octet_length(encode(substr(t, 1, k))) <= 1000) END AS BIGINT) AS cut FROM b""",
+  SELECT doc_id, CAST(CASE WHEN pos <= 1000 THEN pos WHEN lang = 'de' THEN 400 WHEN n <= 1000 THEN n ELSE (SELECT max(octet_length(encode(substr(t, 1, k)))) FROM (SELECT unnest(range(200, 1001)) AS k) WHERE octet_length(encode(substr(t, 1, k))) <= 1000) END AS BIGINT) AS cut FROM b""",
 )
 def summary_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many bytes stand for a document; here without sections, which test_text covers."""
+    """How many bytes stand for a document: up to an introduction, which English ones get, or to the second section, which German ones have at 400."""
     text = F.when(F.col("lang") == "en", F.concat(F.substring("text", 1, 300), F.lit(" INTRODUCTION "), F.expr("substring(text, 301)"))).otherwise(F.col("text"))
-    docs = views.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    return docs.select("doc_id", T.summary_end(F.col("text"), F.array().cast("array<bigint>")).alias("cut"))
+    # The first two are too close to each other, the third counts.
+    sections = F.when(F.col("lang") == "de", F.array(F.lit(50), F.lit(100), F.lit(400))).otherwise(F.array()).cast("array<bigint>")
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), sections.alias("sections"))
+    return docs.select("doc_id", T.summary_end(F.col("text"), F.col("sections")).alias("cut"))
 
 
 @query(
     "q_mentions",
-    """WITH said AS (SELECT conv_id, turn, text || ' @paper.pdf see me@mail.example and @"two words.pdf" @' || role AS t FROM conversations),
-  found AS (SELECT conv_id, turn, unnest(regexp_extract_all(t, '(?:^|\\s)@("[^"]+"|[^\\s"][^\\s]*)', 1)) AS m FROM said)
-  SELECT conv_id, turn, trim(m, '"') AS name, count(*) AS n FROM found GROUP BY ALL""",
+    """WITH said AS (SELECT conv_id, turn, text || ' @paper.pdf see me@mail.example and @"two words.pdf" @"" @ @' || role || CASE WHEN turn % 2 = 0 THEN ' @"open ' || role ELSE ' x@"' END AS t FROM conversations),
+  words AS (SELECT conv_id, turn, t, unnest(regexp_extract_all(t, '(?:^|[ \\t\\n\\x0b\\f\\r])@"([^"]*)"', 1)) AS name FROM said),
+  bare AS (SELECT conv_id, turn, unnest(regexp_extract_all(regexp_replace(t, '(^|[ \\t\\n\\x0b\\f\\r])@"[^"]*"', '\\1', 'g'), '(?:^|[ \\t\\n\\x0b\\f\\r])@([^ \\t\\n\\x0b\\f\\r]+)', 1)) AS name FROM said)
+  SELECT conv_id, turn, name, count(*) AS n FROM (SELECT conv_id, turn, name FROM words UNION ALL SELECT * FROM bare) WHERE name <> '' GROUP BY ALL""",
 )
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat("text", F.lit(' @paper.pdf see me@mail.example and @"two words.pdf" @'), "role")
+    end = F.when(F.pmod("turn", F.lit(2)) == 0, F.concat(F.lit(' @"open '), "role")).otherwise(F.lit(' x@"'))
+    text = F.concat("text", F.lit(' @paper.pdf see me@mail.example and @"two words.pdf" @"" @ @'), "role", end)
     rows = views.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.mentions(text)).alias("name"))
     return rows.groupBy("conv_id", "turn", "name").agg(F.count("*").alias("n"))

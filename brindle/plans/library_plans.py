@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import health, library
+from brindle.operators import health, library, models
 from brindle.plans.catalog import query
 from brindle.session import scratch_dir
 from brindle.sources import views
@@ -145,7 +145,7 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("q_enrich_authors", f"WITH {AUTHORS} SELECT o_orderkey, o_orderpriority, coalesce(array_to_string(a, ', '), 'Unknown') AS authors FROM orders LEFT JOIN authors ON item = o_orderkey")
 def enrich_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = views.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    known = library.authors(creators(spark, sf_dir)).withColumnRenamed("item", "o_orderkey")
+    known = library.authors(creators(spark, sf_dir), hits.select(F.col("o_orderkey").alias("item"))).withColumnRenamed("item", "o_orderkey")
     return hits.join(known, "o_orderkey", "left").select("o_orderkey", "o_orderpriority", F.coalesce(F.array_join("authors", ", "), F.lit("Unknown")).alias("authors"))
 
 
@@ -162,14 +162,26 @@ def dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKED = f"{VECTORS}, checked AS (SELECT count(*) AS n_rows, sum(CASE WHEN list_sum(list_transform(vector, lambda x: CAST(x AS DOUBLE) * x)) <= 1e-8 THEN 1 ELSE 0 END)::BIGINT AS n_zero, sum(CASE WHEN len(vector) <> 64 THEN 1 ELSE 0 END)::BIGINT AS n_wrong, sum(CASE WHEN text = '' THEN 1 ELSE 0 END)::BIGINT AS n_empty FROM vec0)"
 
 
-@query("q_health", f"WITH {CHECKED} SELECT * FROM checked")
+def vector_store(spark: SparkSession, sf_dir: str) -> tuple[Store, dict[str, str]]:
+    """A store of vectors, and the folders of its indexes, of which one is there."""
+    path = scratch_dir(spark)
+    store = Store(spark, f"{path}/store")
+    store.commit(views.vectors_with_zeros(spark, sf_dir))
+    models.TextIndex(spark, f"{path}/text", "id").create(store.read("id", "text"), "text")
+    return store, {"text": f"{path}/text", "vector": f"{path}/vector"}
+
+
+@query("q_health", f"WITH {CHECKED} SELECT true AS directory_exists, true AS has_bytes, true AS accessible, checked.*, 'text' AS indexes, 1 AS stored_version, 1 AS live_version, 0 AS n_errors FROM checked")
 def health_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.check(views.vectors_with_zeros(spark, sf_dir), 64)
+    store, indexes = vector_store(spark, sf_dir)
+    found = health.report(store, 64, indexes)
+    return found.select("directory_exists", (F.col("n_bytes") > 0).alias("has_bytes"), "accessible", "n_rows", "n_zero", "n_wrong", "n_empty", F.array_join("indexes", ",").alias("indexes"), "stored_version", "live_version", F.size("errors").alias("n_errors"))
 
 
 @query("q_doctor", f"WITH {CHECKED} SELECT 'zero vectors' AS symptom, 'run a repair' AS help FROM checked WHERE n_zero > 0 UNION ALL SELECT 'empty store', 'run an ingest' FROM checked WHERE n_rows = 0 UNION ALL SELECT 'no index', 'build an index' FROM checked WHERE n_rows > 10000 UNION ALL SELECT 'vectors of another dimension', 'embed again' FROM checked WHERE n_wrong > 0")
 def doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return health.doctor(health_check(spark, sf_dir), indexed=False)
+    store, _ = vector_store(spark, sf_dir)
+    return health.doctor(health.report(store, 64))
 
 
 @query("q_store_stats", f"WITH {STORE} SELECT (SELECT count(*) FROM store) + (SELECT count(*) FROM incoming WHERE library_key NOT IN (SELECT library_key FROM store)) AS n_rows, 2 AS version, 'hashed' AS provider, 'bag-64' AS model")
@@ -182,13 +194,13 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_stage_replay", f"WITH {STORE} SELECT library_key, title FROM store UNION ALL SELECT library_key, title FROM incoming WHERE library_key NOT IN (SELECT library_key FROM store)")
 def stage_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A staged batch replayed twice is stored once."""
+    """A batch that is staged and replayed twice is stored once; what is staged goes when it is stored."""
     path = scratch_dir(spark)
     store = Store(spark, f"{path}/store")
     store.commit(views.stored(spark, sf_dir))
-    stage(views.incoming(spark, sf_dir), f"{path}/staged")
-    replay(store, f"{path}/staged", "library_key", "doc_id")
-    replay(store, f"{path}/staged", "library_key", "doc_id")
+    for _ in range(2):
+        stage(views.incoming(spark, sf_dir), f"{path}/staged")
+        replay(store, f"{path}/staged", "library_key", "doc_id")
     return store.read("library_key", "title")
 
 

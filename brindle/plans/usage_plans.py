@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import usage
+from brindle.operators import history, usage
 from brindle.plans.catalog import query
 from brindle.session import scratch_dir
 from brindle.sources import batch_files, views
@@ -91,15 +91,33 @@ def history_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
 
+def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, content): what users say calls a tool, what assistants say begins with the response; other roles say text only."""
+    call = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    text, tool = history.item("Text", body=F.col("text")), F.lit("search")
+    asks = history.item("ToolCallRequest", id=call(F.col("turn")), tool_name=tool, args=F.col("text"))
+    says = history.item("ToolCallResponse", id=call(F.col("turn") - 1), tool_name=tool, result=F.col("text"))
+    items = F.when(F.col("role") == "user", F.array(text, asks)).when(F.col("role") == "assistant", F.array(says, text)).otherwise(F.array(text))
+    return views.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("content"))
+
+
 @query(
     "q_tool_pairs",
     """WITH calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), answers AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant')
-  SELECT c.conv_id, c.turn, length(c.text) AS n_request, length(a.text) AS n_response FROM calls c LEFT JOIN answers a USING (conv_id, turn)""",
+  SELECT c.conv_id, 'call-' || CAST(c.turn AS VARCHAR) AS id, 'search' AS tool_name, md5(c.text) AS request_md5, md5(a.text) AS response_md5 FROM calls c LEFT JOIN answers a USING (conv_id, turn)""",
 )
 def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests and responses out of one tagged history, paired by their id."""
-    rows = views.read(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
-    call = F.col("role") == "user"
-    kinds = rows.select("conv_id", F.when(call, F.col("turn")).otherwise(F.col("turn") - 1).alias("turn"), F.when(call, "request").otherwise("response").alias("kind"), "text")
-    asked, said = kinds.where("kind = 'request'"), kinds.where("kind = 'response'").select("conv_id", "turn", F.char_length("text").alias("n_response"))
-    return asked.select("conv_id", "turn", F.char_length("text").alias("n_request")).join(said, ["conv_id", "turn"], "left")
+    """Calls and responses out of one tagged history, paired by their id."""
+    items = history.contents(histories(spark, sf_dir), ["conv_id", "turn"], "content")
+    return history.tool_pairs(items, "conv_id").select("conv_id", "id", "tool_name", F.md5("request").alias("request_md5"), F.md5("response").alias("response_md5"))
+
+
+@query(
+    "q_history_items",
+    """SELECT conv_id, turn, count(*) AS n_items, string_agg(kind, ',' ORDER BY pos) AS kinds FROM (SELECT conv_id, turn, unnest(CASE role WHEN 'user' THEN ['Text', 'ToolCallRequest'] WHEN 'assistant' THEN ['ToolCallResponse', 'Text'] ELSE ['Text'] END) AS kind,
+  unnest(CASE role WHEN 'user' THEN [0, 1] WHEN 'assistant' THEN [0, 1] ELSE [0] END) AS pos FROM conversations) GROUP BY ALL""",
+)
+def history_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = history.contents(histories(spark, sf_dir), ["conv_id", "turn"], "content")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "kind"))), lambda x: x["kind"])
+    return items.groupBy("conv_id", "turn").agg(F.count("*").alias("n_items"), F.array_join(listed, ",").alias("kinds"))

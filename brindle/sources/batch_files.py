@@ -31,14 +31,18 @@ def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where("error is not null").select(F.col("custom_id").alias("id"), F.col("error.message").alias("error"))
 
 
-def write_log(batch: DataFrame, path: str, seq: int) -> None:
-    batch.coalesce(1).write.mode("overwrite").json(f"{path}/batch_{seq}.log")
+def write_logs(items: DataFrame, path: str) -> None:
+    """A folder log=batch_<n>.log for each batch of (batch, provider, model, file_path, library_key, title, hash) rows; an item a line, so that no batch is one row."""
+    named = F.concat(F.lit("batch-"), F.col("batch").cast("string")).alias("batch_id")
+    line = F.to_json(F.struct(named, "provider", "model", F.array(F.struct("file_path", "library_key", "title", "hash")).alias("items")))
+    rows = items.select(F.concat(F.lit("batch_"), F.col("batch").cast("string"), F.lit(".log")).alias("log"), line.alias("line"))
+    rows.write.mode("append").partitionBy("log").text(path)
 
 
 def pending(spark: SparkSession, path: str) -> DataFrame:
-    """Logs named batch_<n>.log, newest number first; other names and contents that are no log are left out."""
+    """Logs named batch_<n>.log, or in folders named log=batch_<n>.log, newest number first; other names and contents that are no log are left out."""
     rows = spark.read.schema(f"{LOG}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("recursiveFileLookup", "true").json(path)
-    named = rows.withColumn("seq", F.regexp_extract("_metadata.file_path", "/batch_([0-9]+)\\.log(?:/[^/]*)?$", 1))
+    named = rows.withColumn("seq", F.regexp_extract("_metadata.file_path", "[/=]batch_([0-9]+)\\.log(?:/[^/]*)?$", 1))
     return named.where("_bad is null and batch_id is not null and seq <> ''").withColumn("seq", F.col("seq").cast("bigint")).drop("_bad").orderBy(F.desc("seq"))
 
 
@@ -50,6 +54,13 @@ def conversations(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("_bad is null and conv_id is not null").drop("_bad").withColumn("usage", usage)
 
 
+def save_conversations(messages: DataFrame, date, path: str) -> None:
+    """Saves each conversation under a name of its own, conversation_<milliseconds>.json by its date; saving again at another date keeps both."""
+    rows = saved(messages, date)
+    name = F.format_string("conversation_%d.json", F.unix_millis("date"))
+    rows.withColumn("save", name).write.mode("append").partitionBy("save").json(path)
+
+
 def saved(messages: DataFrame, date) -> DataFrame:
     """One row for each run of RUN turns of a conversation, ready to write as JSON, titled by its date."""
     history = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))

@@ -1,20 +1,32 @@
-"""A store of versioned snapshots in Parquet: v=N folders of data, and a metadata row that commits each.
+"""A store of versioned snapshots in Parquet: folders of rows, and a small file for each version that lists its folders.
 
-Readers take the newest version that has a metadata row, so that a write that breaks off is never seen. Data is
-written first, then its metadata. Every change writes a new snapshot; nothing is overwritten in place.
+Readers take the newest version that has a file, so that a write that breaks off is never seen. Rows are written first, each time to a
+folder of a new name, and the file last; it is made only if no other writer has made that version. Inserts add a folder and
+deletions write anew only the folders that hold deleted rows, so that the work is that of the change, not of the store.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.operators import library
+from brindle.sources.files import place, present, remove
 
-METADATA = "version bigint, provider string, model string, data_version bigint"
+METADATA = "version bigint, provider string, model string, data_version bigint, parts array<string>"
+#: How often a change is tried again after other writers came first, and folders of a version from which ``compact`` has something to do.
+TRIES, MANY_PARTS = 5, 64
+
+
+class Conflict(RuntimeError):
+    """Another writer made this version first."""
 
 
 @dataclass(frozen=True)
@@ -26,44 +38,107 @@ class Store:
 
     def metadata(self) -> DataFrame:
         try:
-            return self.spark.read.schema(METADATA).parquet(f"{self.path}/metadata")
+            return self.spark.read.schema(METADATA).json(f"{self.path}/metadata").where("version is not null")
         except AnalysisException:
             return self.spark.createDataFrame([], METADATA)
 
+    def last(self) -> tuple[int, list[str]]:
+        """Newest version and its folders; 0 and none where there is no store."""
+        row = self.metadata().agg(F.max_by(F.struct("version", "parts"), "version").alias("m")).first()["m"]
+        return (row["version"], row["parts"]) if row else (0, [])
+
     def version(self) -> int:
-        """Newest committed version, 0 for none."""
-        return self.metadata().agg(F.max("version")).first()[0] or 0
+        return self.last()[0]
 
     def exists(self) -> bool:
         return self.version() > 0
 
     def read(self, *columns: str) -> DataFrame:
-        version = self.version()
-        if not version:
+        return self._rows(self.last()[1], *columns)
+
+    def _rows(self, parts: list[str], *columns: str) -> DataFrame:
+        if not parts:
             raise ValueError(f"no store at {self.path}")
-        rows = self.spark.read.parquet(f"{self.path}/v={version}")
+        rows = self.spark.read.parquet(*(f"{self.path}/{p}" for p in parts))
         return rows.select(*columns) if columns else rows
 
-    def commit(self, rows: DataFrame) -> int:
-        version = self.version() + 1
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        row = [(version, self.provider, self.model, version)]
-        self.spark.createDataFrame(row, METADATA).coalesce(1).write.mode("append").parquet(f"{self.path}/metadata")
+    def _write(self, rows: DataFrame) -> str:
+        part = f"data/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{part}")
+        return part
+
+    def _publish(self, version: int, parts: list[str]) -> int:
+        """Makes the file of a version, for the first writer only."""
+        row = {"version": version, "provider": self.provider, "model": self.model, "data_version": version, "parts": parts}
+        files, where = place(self.spark, f"{self.path}/metadata/{version:012d}.json")
+        try:
+            out = files.create(where, False)
+        except Py4JJavaError as error:
+            if files.exists(where):
+                raise Conflict(f"version {version} of {self.path} was made by another writer") from error
+            raise
+        out.write((json.dumps(row) + "\n").encode())
+        out.close()
         return version
 
+    def _change(self, change: Callable[[list[str]], list[str] | None]) -> int:
+        """Applies a change to the newest version's folders, on the next newest where another writer came first."""
+        for attempt in range(TRIES):
+            version, parts = self.last()
+            new = change(parts)
+            if new is None:
+                return version
+            try:
+                return self._publish(version + 1, new)
+            except Conflict:
+                if attempt + 1 == TRIES:
+                    raise
+        return version
+
+    def commit(self, rows: DataFrame) -> int:
+        """A version of these rows alone."""
+        part = self._write(rows)
+        return self._change(lambda _: [part])
+
     def insert(self, new: DataFrame, key: str | None, order: str) -> int:
-        """Inserts what is missing by key; an empty input changes nothing."""
+        """Inserts what is missing by key; an empty input changes nothing. Without a key the new rows are the store."""
         if new.isEmpty():
             return self.version()
-        return self.commit(library.insert_merge(self.read() if self.exists() else None, new, key, order))
+
+        def change(parts: list[str]) -> list[str] | None:
+            if not parts or key is None:
+                return [self._write(library.keep_first(new, key, order) if key else new)]
+            columns = self._rows(parts).columns
+            added = library.missing(self._rows(parts, key), new, key, order).select(*columns)
+            return [*parts, self._write(added)]
+
+        return self._change(change)
 
     def delete(self, keys: DataFrame, column: str) -> int:
         if keys.isEmpty():
             return self.version()
-        return self.commit(library.delete_keys(self.read(), keys, column))
+
+        def change(parts: list[str]) -> list[str] | None:
+            rows = self._rows(parts)
+            if column not in rows.columns:
+                raise ValueError(f"no column {column}")
+            wanted = keys.select(column).distinct()
+            part = F.regexp_extract("_metadata.file_path", "/(data/[^/]+)/[^/]*$", 1)
+            # At most one row a folder reaches the driver.
+            held = {r[0] for r in rows.select(column, part.alias("_part")).join(wanted, column, "left_semi").select("_part").distinct().collect()}
+            touched = [p for p in parts if p in held]
+            if not touched:
+                return [*parts]
+            return [*(p for p in parts if p not in held), self._write(library.delete_keys(self._rows(touched), wanted, column))]
+
+        return self._change(change)
+
+    def compact(self, many: int = MANY_PARTS) -> int:
+        """The same rows in one folder, where a version has at least ``many``, as after many small inserts."""
+        return self._change(lambda parts: [self._write(self._rows(parts))] if len(parts) >= many else None)
 
     def stats(self) -> DataFrame:
-        """(n_rows, version, provider, model); the last metadata row counts, none is an error."""
+        """(n_rows, version, provider, model) of the newest version; none is an error."""
         if not self.exists():
             raise ValueError(f"no metadata at {self.path}")
         last = self.metadata().agg(F.max_by(F.struct("version", "provider", "model"), "version").alias("m"))
@@ -77,5 +152,9 @@ def stage(rows: DataFrame, path: str) -> DataFrame:
 
 
 def replay(store: Store, staged: str, key: str, order: str) -> int:
-    """Inserts a staged batch; again, if need be: what is stored already is left alone."""
-    return store.insert(store.spark.read.parquet(staged), key, order)
+    """Inserts a staged batch and deletes it once it is stored. A batch that is gone was stored already; one that stays after a failure may be replayed: what is stored is left alone."""
+    if not present(store.spark, staged):
+        return store.version()
+    version = store.insert(store.spark.read.parquet(staged), key, order)
+    remove(store.spark, staged)
+    return version

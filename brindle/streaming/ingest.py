@@ -14,11 +14,11 @@ def prepared(docs: DataFrame, size: int) -> DataFrame:
 
     cut = chunking.fixed(docs, "doc_id", "text", size).where(F.rlike("content", F.lit("\\S")))
     keyed = cut.select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_id").cast("string")).alias("chunk_key"), "content")
-    return models.embed(keyed, ["chunk_key"], "content")
+    return models.embed(keyed, ["doc_id", "chunk_key", "content"], "content")
 
 
 def ingest(store: Store, docs: DataFrame, size: int) -> int:
-    """Inserts the chunks of documents that the store lacks. Doing it again changes nothing."""
+    """Inserts the chunks of documents that the store lacks, as one more folder of it. Doing it again changes nothing."""
     first = library.keep_first(docs, "doc_id", "text")
     if store.exists():
         first = first.join(store.read("doc_id").distinct(), "doc_id", "left_anti")

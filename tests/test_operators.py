@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import shutil
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import batches, chunking, library, models, retrieval, sections, usage
+from brindle.operators import batches, chunking, health, history, library, models, neighbours, retrieval, sections, usage
 from brindle.sources import batch_files
-from brindle.sources.store import Store, replay, stage
+from brindle.sources.store import Conflict, Store, replay, stage
 from brindle.streaming.ingest import stream_ingest
 
 
@@ -71,17 +76,170 @@ def test_store_replay_and_versions(spark, tmp_path):
     new = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     stage(new, str(tmp_path / "staged"))
     replay(store, str(tmp_path / "staged"), "k", "v")
+    stage(new, str(tmp_path / "staged"))
     replay(store, str(tmp_path / "staged"), "k", "v")
+    assert replay(store, str(tmp_path / "staged"), "k", "v") == 2
     assert rows(store.read()) == [("a", 1), ("b", 2)]
     assert store.insert(new.limit(0), "k", "v") == store.version() == 2
     store.delete(spark.createDataFrame([("a",)], "k string"), "k")
     assert rows(store.read()) == [("b", 2)]
     # Data without its metadata row is not seen.
-    new.write.parquet(str(tmp_path / "store/v=4"))
+    new.write.parquet(str(tmp_path / "store/data/unfinished"))
     assert store.version() == 3
+    # What was staged went when it was stored.
+    assert not (tmp_path / "staged").exists()
     assert rows(store.stats(), "n_rows", "version") == [(1, 3)]
 
 
+def test_inserts_add_and_deletions_touch_what_they_must(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    part = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) as k", "id as v")
+    store.commit(part(0, 10))
+    first = store.last()[1]
+    store.insert(part(5, 20), "k", "v")
+    second = store.last()[1]
+    assert second[:1] == first and len(second) == 2 and spark.read.parquet(f"{store.path}/{second[1]}").count() == 10
+    store.delete(part(12, 14), "k")
+    third = store.last()[1]
+    assert third[0] == first[0] and third[1] not in second
+    assert rows(store.read("v")) == sorted([(i,) for i in range(20) if i not in (12, 13)], key=repr)
+    before = store.last()[1]
+    store.delete(part(100, 101), "k")
+    assert store.last()[1] == before
+    with pytest.raises(ValueError):
+        store.delete(part(0, 1), "v2")
+    # Older versions' folders are still there, and many folders become one.
+    assert rows(spark.read.parquet(f"{store.path}/{second[1]}"), "v") == sorted([(i,) for i in range(10, 20)], key=repr)
+    assert store.compact(many=3) == store.version() and len(store.last()[1]) == 2
+    store.compact(many=2)
+    assert len(store.last()[1]) == 1 and store.read().count() == 18
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that comes second starts again from what the first left, and nothing is lost."""
+    one, two = (Store(spark, str(tmp_path / "store")) for _ in range(2))
+    part = lambda a, b: spark.range(a, b).selectExpr("cast(id as string) as k", "id as v")
+    one.commit(part(0, 3))
+    write, done = Store._write, []
+
+    def slow(self, rows):
+        found = write(self, rows)
+        if not done:
+            done.append(True)
+            two.insert(part(2, 5), "k", "v")
+        return found
+
+    monkeypatch.setattr(Store, "_write", slow)
+    assert one.insert(part(4, 7), "k", "v") == 3
+    assert rows(one.read("v")) == [(i,) for i in range(7)]
+    with pytest.raises(Conflict):
+        one._publish(3, one.last()[1])
+
+
+def test_report_of_broken_stores(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "none"))
+    found = health.report(store, 2)
+    assert found.first()["directory_exists"] is False and rows(health.doctor(found), "symptom") == [("no store",)]
+    (tmp_path / "empty").mkdir()
+    assert rows(health.doctor(health.report(Store(spark, str(tmp_path / "empty")), 2)), "symptom") == [("the table cannot be read",)]
+    good = Store(spark, str(tmp_path / "good"))
+    good.commit(spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.0, 0.0], ""), (3, [1.0], "c"), (4, None, "d")], "id long, vector array<double>, text string"))
+    found = health.report(good, 2, {"text": str(tmp_path / "text"), "here": str(tmp_path / "good")})
+    got = found.first()
+    assert (got["accessible"], got["n_rows"], got["n_zero"], got["n_wrong"], got["n_empty"], got["indexes"], got["stored_version"], got["live_version"], got["errors"]) == (True, 4, 1, 2, 1, ["here"], 1, 1, {})
+    assert got["n_bytes"] > 0
+    assert rows(health.doctor(found), "symptom") == [("vectors of another dimension",), ("zero vectors",)]
+    # A folder of the version is gone.
+    shutil.rmtree(tmp_path / "good/data")
+    broken = health.report(good, 2)
+    assert broken.first()["accessible"] is False and "table" in broken.first()["errors"]
+    assert rows(health.doctor(broken), "symptom") == [("the table cannot be read",)]
+
+
+def test_kept_indexes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "")], "id long, text string")
+    index = models.TextIndex(spark, str(tmp_path / "text"), "id")
+    assert index.create(docs, "text") and not index.create(docs.limit(0), "text")
+    assert rows(index.postings(), "term", "id", "tf") == [("blue", 2, 1), ("fish", 1, 1), ("fish", 2, 2), ("red", 1, 1)]
+    assert rows(index.postings(spark.createDataFrame([("fish",), ("none",)], "term string")), "id") == [(1,), (2,)]
+    queries = spark.createDataFrame([(7, "Fish? red")], "query long, query_text string")
+    pairs = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "query long, id long")
+    plain = rows(models.bm25(pairs, queries, docs, "id", "query", "query_text", "text"))
+    assert rows(models.bm25(pairs, queries, docs, "id", "query", "query_text", "text", index)) == plain and plain[0][2] > plain[1][2] > plain[2][2] == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_few_and_many_queries_find_the_same(spark, metric):
+    rng = np.random.default_rng(3)
+    vectors = [(int(i) % 150, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(400)]
+    corpus = spark.createDataFrame(vectors, "id long, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, v) for i, v in vectors[:30]], "query long, vector array<double>")
+    few = rows(neighbours.nearest(queries, corpus, 7, metric), "query", "id", "score", "rank")
+    assert few == rows(neighbours.nearest(queries, corpus, 7, metric, few=0), "query", "id", "score", "rank")
+    assert len(few) == 210 and {r[3] for r in few} == set(range(1, 8))
+    assert neighbours.nearest(queries.limit(0), corpus, 7, metric).count() == neighbours.nearest(queries, corpus.limit(0), 7, metric).count() == 0
+
+
+def test_embedding_counts_words(spark):
+    docs = spark.createDataFrame([(1, "One one, TWO"), (2, ""), (3, None), (4, "é 123 -- é")], "id long, text string")
+    found = {r["id"]: r["vector"] for r in models.embed(docs, ["id"], "text").collect()}
+    want = np.zeros(models.BUCKETS)
+    for w in ("one", "one", "two"):
+        want[int(hashlib.md5(w.encode()).hexdigest()[:3], 16) % models.BUCKETS] += 1
+    assert np.allclose(found[1], want / np.linalg.norm(want)) and found[2] == found[3] == [0.0] * models.BUCKETS
+    assert np.isclose(np.linalg.norm(found[4]), 1) and models.embed(docs.limit(0), ["id"], "text").count() == 0
+
+
+def test_pieces_take_time_in_proportion(spark):
+    text = "añ🎉b\n" * 100_000
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc long, text string")
+    found = [r["content"] for r in chunking.fixed(docs, "doc", "text", 512).orderBy("chunk_id").collect()]
+    assert "".join(found) == text and {len(x) for x in found[:-1]} == {512}
+    start = time.time()
+    spark.range(1).selectExpr("0L as doc", "repeat('abcdefghij', 800000) as text").select(F.size(chunking.pieces("text", 512)).alias("n")).first()
+    assert time.time() - start < 20
+
+
+def test_passages_and_their_sections(spark):
+    """Errors as rows; a passage counts where its text first stands; what widens to nothing stays as it is."""
+    queries = spark.createDataFrame([(1, "red fish swim")], "query long, query_text string")
+    chunks = spark.createDataFrame([(10, 0, 100, "red fish swim"), (10, 1, 101, "blue bird"), (10, 1, 102, "red fish swim"), (20, 0, 200, "nothing alike"), (30, 0, 300, "red")], "doc long, section int, id long, content string")
+    pairs = spark.createDataFrame([(1, 10), (1, 20), (1, 30)], "query long, doc long")
+    failed = spark.createDataFrame([(30, "damaged")], "doc long, error string")
+    found = retrieval.passages(pairs, queries, chunks, failed)
+    got = {(r["doc"], r["id"]): (r["position"], r["error"]) for r in found.collect()}
+    assert got == {(10, 100): (1, None), (10, 102): (2, None), (20, 200): (1, None), (30, None): (None, "damaged")}
+    docs = spark.createDataFrame([(10, "red fish swim blue bird red fish swim"), (20, "nothing alike")], "doc long, text string").withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    sections = spark.createDataFrame([(10, 0, 0, None), (10, 1, 14, None)], "doc long, section int, byte_index long, parent int")
+    assert rows(retrieval.first_occurrences(found, chunks, docs, sections), "doc", "id", "section") == [(10, 100, 0), (10, 102, 0)]
+    wide = rows(retrieval.expanded(found, chunks, docs, sections), "doc", "section", "text")
+    assert wide == [(10, 0, "red fish swim "), (20, None, "nothing alike")]
+    summaries = docs.select("doc", F.lit("about").alias("summary"))
+    prompt = {r["doc"]: r["prompt"] for r in retrieval.refine_prompts(found, queries, chunks, summaries).collect()}
+    assert "red fish swim\n-----\nred fish swim" in prompt[10] and "about" in prompt[20] and 30 not in prompt
+
+
+def test_histories(spark):
+    said = [(1, 0, '[{"Text": "hi"}, {"ToolCallRequest": {"id": "a", "tool_name": "find", "args": "x"}}]'), (1, 1, '[{"ToolCallRequest": {"id": "b", "tool_name": "get", "args": "y"}}]'), (1, 2, '[{"ToolCallResponse": {"id": "a", "tool_name": "find", "result": "z"}}]'), (1, 3, "broken")]
+    items = history.contents(spark.createDataFrame(said, "c long, turn long, content string"), ["c", "turn"], "content")
+    assert rows(items, "turn", "at", "kind", "id", "body") == [(0, 0, "Text", None, "hi"), (0, 1, "ToolCallRequest", "a", "x"), (1, 0, "ToolCallRequest", "b", "y"), (2, 0, "ToolCallResponse", "a", "z")]
+    assert rows(history.tool_pairs(items, "c"), "id", "tool_name", "request", "response") == [("a", "find", "x", "z"), ("b", "get", "y", None)]
+
+
+def test_conversations_are_saved_each_under_a_name(spark, tmp_path):
+    messages = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    for day in ("2024-01-01", "2024-01-02"):
+        batch_files.save_conversations(messages, F.timestamp_add("MINUTE", F.col("conv_id"), F.lit(f"{day} 00:00:00").cast("timestamp")), str(tmp_path / "saved"))
+    assert len([p for p in (tmp_path / "saved").iterdir() if p.name.startswith("save=conversation_17")]) == 4
+    assert rows(batch_files.conversations(spark, str(tmp_path / "saved")).groupBy("conv_id").count()) == [(1, 2), (2, 2)]
+
+
+def test_authors_of_some_items(spark):
+    creators = spark.createDataFrame([(1, 2, "B", "b"), (1, 1, "A", "a"), (2, 1, "C", None)], "item long, place int, last_name string, first_name string")
+    assert rows(library.authors(creators)) == [(1, ["A, a", "B, b"]), (2, ["C"])]
+    assert rows(library.authors(creators, spark.createDataFrame([(2,), (2,)], "item long"))) == [(2, ["C"])]
+
+
 def test_hash_cache(spark):
     cache = spark.createDataFrame([("same", "p", "m", 1), ("later", "p", "m", 9), ("model", "p", "x", 9), ("other", "p", "m", 1)], "hash string, provider string, model string, seq long")
     items = spark.createDataFrame([("same",), ("later",), ("model",), ("new",)], "hash string")
@@ -117,7 +275,7 @@ def test_long_conversations_are_saved_in_runs(spark, tmp_path):
 
 
 def test_text_functions(spark):
-    cases = {"Compare @symbols.pdf with @subtables.pdf": ["symbols.pdf", "subtables.pdf"], '@"two words.pdf" x': ["two words.pdf"], "me@mail.com": [], "@ @": [], '@"open': []}
+    cases = {"Compare @symbols.pdf with @subtables.pdf": ["symbols.pdf", "subtables.pdf"], '@"two words.pdf" x': ["two words.pdf"], "me@mail.com": [], "@ @": [], '@"open': ['"open'], '@"open name x': ['"open'], '@"" @a\u3000@b': ["a", "b"], '@"x@y" z': ["x@y"], '@a"b" @"c"d': ['a"b"', "c"]}
     for text, want in cases.items():
         assert spark.createDataFrame([(text,)], "t string").select(T.mentions(F.col("t"))).first()[0] == want
     none, two = [], [0, 300]

@@ -6,6 +6,7 @@ import compare
 import pytest
 
 from brindle.plans import catalog
+from brindle.session import scratch_dir
 
 catalog.load()
 
@@ -36,8 +37,10 @@ def test_all_lists_are_exact(spark, sf_dir):
     from brindle.operators import neighbours
     from brindle.plans import retrieval_plans as plans
 
-    model, placed = neighbours.build_lists(plans.vectors(spark, sf_dir), 4)
-    whole = neighbours.nearest_by_lists(model, placed, plans.some_vectors(spark, sf_dir), 10, 4)
+    index = neighbours.VectorIndex(spark, scratch_dir(spark))
+    assert index.create(plans.vectors(spark, sf_dir), 4) and not index.create(plans.vectors(spark, sf_dir), 7)
+    assert index.centres().count() == 4
+    whole = index.nearest(plans.some_vectors(spark, sf_dir), 10, 4)
     exact = neighbours.nearest(plans.some_vectors(spark, sf_dir), plans.vectors(spark, sf_dir), 10)
     key = lambda rows: {(r["query"], r["rank"], r["id"]) for r in rows.collect()}
     assert key(whole) == key(exact)
