@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import defaultdict
 
@@ -181,6 +182,44 @@ def test_op5(spark, block):
     assert got == {i: (len(links[i]), named[i], named[i] == i) for i in links}
 
 
+def grouped_vectors(seed: int, n: int = 1500, width: int = 24) -> np.ndarray:
+    """Unit vectors in groups that lie apart, as embeddings of topics do."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(30, width))[rng.integers(0, 30, n)] + 0.15 * rng.normal(size=(n, width))
+    return embedding_join.unit(x)
+
+
+def test_intervals_far_apart_are_skipped_and_none_that_link():
+    """The descent keeps every pair of intervals with a link, and skips most pairs where vectors have structure."""
+    x = grouped_vectors(2)
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1]
+    for left, right in ((x, None), (x[:700], x[700:])):
+        i, j = embedding_join.linked_pairs(left, right, axes, 0.95)
+        near = np.argwhere(left @ (left if right is None else right).T >= 0.95)
+        want = {(a, b) for a, b in near.tolist() if right is not None or a < b}
+        assert {(min(a, b), max(a, b)) if right is None else (a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == want
+    place = embedding_join.placed_on(axes, x)
+    order = np.lexsort((place[:, 0], *np.floor(place[:, :6] / 0.3162).T[::-1]))
+    tree = embedding_join.boxes_of(place[order])
+    i, j = embedding_join.near_leaves(tree, tree, math.sqrt(0.1), same=True)
+    assert len(i) < 0.5 * len(tree[0][0]) * (len(tree[0][0]) + 1) / 2
+    flat = embedding_join.near_leaves(tree, tree, 9.0)
+    assert len(flat[0]) == len(tree[0][0]) ** 2 == len(set(zip(*(x.tolist() for x in flat), strict=True)))
+    short = embedding_join.boxes_of(place[:40])
+    assert len(embedding_join.near_leaves(tree, short, 9.0)[0]) == 2 * len(tree[0][0])
+
+
+def test_op5_many_blocks_of_structured_vectors(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "LEAF", 8)
+    x = grouped_vectors(5, 600)
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_join.embedding_near_dedup(frame).collect()}
+    near = x @ x.T >= 0.95
+    links = {i: {j for j in np.flatnonzero(near[i]).tolist() if j != i} for i in range(len(x))}
+    named = components_of(links)
+    assert got == {i: (len(links[i]), named[i]) for i in links}
+
+
 def test_op5_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, [1.0, 0.0]), (7, [2.0, 0.0]), (7, [2.0, 0.0]), (8, [1.0, 0.0, 0.0]), (None, [1.0, 0.01]), (9, [1e38, 1e36])]
