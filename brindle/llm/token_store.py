@@ -2,7 +2,7 @@
 
 Layout under one folder, all written by Spark's Parquet writer, so that any file system of the cluster does:
 
-* a bucketed table of chunks ``(digest, n_ids, payload)``: each distinct chunk once. ``digest`` is the 256-bit BLAKE2b of
+* a bucketed table of chunks ``(digest, n_ids, payload)``: each distinct chunk once. ``digest`` is the 160-bit BLAKE2b of
   the chunk's ids as little-endian unsigned integers of two bytes each (of four, where an id needs them); ``payload`` is the
   Zstandard frame of the same bytes;
 * ``recipes``: ``(part, at, row, id, start, n_tokens, digests, root)`` in ascending id order; ``root`` is the Merkle root of
@@ -36,6 +36,7 @@ from brindle.llm.word_ids import encoder, read_vocabulary
 WINDOW, MASK_BITS, LEAST, MOST = 16, 9, 64, 4096
 #: Digests that a task remembers, and rows that one row of the manifest stands for.
 GIVEN, RUN = 200_000, 4096
+DIGEST_BYTES = 20
 #: Uses of a chunk in a slice, and how many chunks of more uses are broadcast (digests only).
 HOT_USES, BROADCAST_HOT = 1000, 10_000
 
@@ -111,7 +112,7 @@ def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str,
                         else:
                             some = ids[last:at]
                             data = (some.astype("<u2") if some.max() < 65536 else some).tobytes()
-                        digest = hashlib.blake2b(data, digest_size=32).digest()
+                        digest = hashlib.blake2b(data, digest_size=DIGEST_BYTES).digest()
                         recipe.append(digest)
                         if digest not in given:
                             given.add(digest)
@@ -233,7 +234,7 @@ def read_documents(spark: SparkSession, store: Store, with_ids: bool = True) ->
             if payload is None:
                 raise ValueError(f"chunk {digest.hex()} is missing")
             raw = open_.decompress(payload)
-            if hashlib.blake2b(raw, digest_size=32).digest() != digest:
+            if hashlib.blake2b(raw, digest_size=DIGEST_BYTES).digest() != digest:
                 raise ValueError(f"chunk {digest.hex()} is damaged")
             return np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes() if len(raw) == 2 * n else raw
 
