@@ -32,6 +32,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 DEPTHS, CROWD, RECALL = (2, 4, 6), 8, 0.9995
 #: Representatives in a block, and shingles of them, about: at most two blocks of texts meet in one group of rows.
 BLOCK, BLOCK_SHINGLES = 2048, 1_000_000
+BROADCAST_HOMES = 100_000
 #: Bytes of text hashed at once; members of a shingle, and their share of a block, that are multiplied as a dense matrix from; pairs counted at once.
 HASHED_BYTES, DENSE, DENSE_SHARE, PAIRS = 2_000_000, 24, 0.125, 250_000
 #: Dense shingles, and rows of a matrix of pairs, that are worked on at once.
@@ -263,15 +264,15 @@ def roots_of(matrix: np.ndarray) -> np.ndarray:
 
 
 def verify(members: DataFrame, threshold: float) -> DataFrame:
-    """(node, root, links) from (group, side, node, weight, text) rows: links that a group of rows shows.
+    """(node, rep, root, root_rep, links) from (group, side, node, rep, weight, text) rows: links that a group of rows shows.
 
     ``side`` is 0, 1 or null; null for rows of one block, all of whose pairs count, else the pairs across sides count.
     """
 
-    def found(group: list[tuple]) -> Iterator[tuple[bytes, bytes, int]]:
+    def found(group: list[tuple]) -> Iterator[tuple]:
         held = {}
-        for _, side, node, weight, text in group:
-            held.setdefault((side or 0, node), (weight, text, side))
+        for _, side, node, rep, weight, text in group:
+            held.setdefault((side or 0, node), (weight, text, side, rep))
         keys = list(held)
         if len(keys) < 2:
             return
@@ -288,20 +289,24 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
             links |= links.T
         root, counts = roots_of(links), np.concatenate([links[at : at + STRIP] @ weights for at in range(0, len(keys), STRIP)])
         for i in np.flatnonzero(links.any(axis=1)):
-            yield keys[i][1], keys[root[i]][1], int(counts[i])
+            own, up = keys[i], keys[root[i]]
+            yield own[1], held[own][3], up[1], held[up][3], int(counts[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        out: list[tuple[bytes, bytes, int]] = []
+        out: list[tuple] = []
+        rep_type = None
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True)], ["node", "root", "links"])
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = (pa.binary(), rep_type, pa.binary(), rep_type, pa.int64())
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["node", "rep", "root", "root_rep", "links"])
             out.clear()
             return made
 
         for batch in batches:
-            columns = [c.cast(pa.binary()).to_pylist() if i == 4 else c.to_pylist() for i, c in enumerate(batch.columns)]
+            rep_type = batch.column(3).type
+            columns = [c.cast(pa.binary()).to_pylist() if i == 5 else c.to_pylist() for i, c in enumerate(batch.columns)]
             for row in zip(*columns, strict=True):
                 if group and group[0][0] != row[0]:
                     out += found(group)
@@ -311,9 +316,11 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
                 yield batch_of()
         if group:
             out += found(group)
-        yield batch_of()
+        if out:
+            yield batch_of()
 
-    return members.sortWithinPartitions("group").mapInArrow(run, "node binary, root binary, links bigint")
+    kind = dict(members.dtypes)["rep"]
+    return members.sortWithinPartitions("group").mapInArrow(run, f"node binary, rep {kind}, root binary, root_rep {kind}, links bigint")
 
 
 def meetings(met: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -324,8 +331,12 @@ def meetings(met: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFram
     homes = met.groupBy("node").agg(F.min("least").alias("home")).join(classes.select("node", "size"), "node")
     sizes = homes.groupBy("home").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     cuts = F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    part = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    homes = written(homes.join(sizes, "home").select("node", "home", part.alias("part"), cuts.alias("parts"), F.xxhash64("home", part).alias("block")))
+    part = F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")
+    # Most homes are one block. Those of several are at most one in a block's number of members, and are broadcast if few.
+    several = written(sizes.select("home", cuts.alias("cuts")).where("cuts > 1"))
+    few = F.broadcast(several) if several.count() <= BROADCAST_HOMES else several
+    homes = homes.join(few, "home", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    homes = written(homes.select("node", "home", part.alias("part"), F.col("cuts").alias("parts"), F.xxhash64("home", part).alias("block")))
     # All parts of one home meet; other homes meet where a prefix has members of several.
     within = homes.select("node", "home", "part", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")).select("node", "block", F.xxhash64("home", "p").alias("other"))
     inside = met.join(homes, "node").select("prefix", "node", "home", "block")
@@ -354,15 +365,15 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "
     sent = meetings(met, classes, block)
     owners = met.select("node").distinct().join(classes.select("node", "rep", "mark", "weight"), "node")
     # The mark picks the class's own text where its id stands on other texts too.
-    bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")), ["rep", "mark"]).select("node", "weight", "text")
-    rows = sent.join(bodies, "node").select("group", "side", "node", "weight", "text")
+    bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")), ["rep", "mark"]).select("node", "rep", "weight", "text")
+    rows = sent.join(bodies, "node").select("group", "side", "node", "rep", "weight", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(verify(rows.repartition(parts, "group"), threshold))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = groups.join(classes.select("node", "rep"), "node")
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of_node = classes.select("node", "rep", "weight").join(counts, "node", "left").join(groups, "node", "left").join(least, "component", "left")
+    # A component is named by its least member, which is the one of the least id: no join on the component is needed, whose rows may be a third of all.
+    named = lambda rep, node: F.struct(F.col(rep).alias("rep"), F.col(node).alias("node"))
+    groups = components(found.select(named("rep", "node").alias("a"), named("root_rep", "root").alias("b"))).select("node.node", F.col("component.rep").alias("class_id"), F.col("component.node").alias("component"))
+    of_node = classes.select("node", "rep", "weight").join(counts, "node", "left").join(groups, "node", "left")
     of_node = of_node.select("node", F.coalesce("component", "node").alias("group"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     # Rows without a shingle set are not joined: many of them would meet on null.
     more = ["mark", "group"] if with_groups else []
