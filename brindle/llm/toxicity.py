@@ -15,9 +15,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +77,7 @@ def features(text: bytes, lexicon: Lexicon) -> list[float]:
     marks = text.count(b"!")
     return [
         len(hits) / n, min(len(hits), 20), stems / n, min(stems, 20), near / n, len(second) / n, upper / max(1, letters), shouted / n,
-        marks / size, (size - len(text.translate(None, PUNCTUATION))) / size, len(MIXED.findall(text)) / n, min(disguised, 20), math.log1p(len(words)),
+        marks / size, (len(text) - len(text.translate(None, PUNCTUATION))) / size, len(MIXED.findall(text)) / n, min(disguised, 20), math.log1p(len(words)),
     ]
 
 
@@ -128,37 +128,59 @@ def fold(id_column: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, held_out, score, predicted) of each document, and columns ``keep`` of it.
+@dataclass(frozen=True)
+class Model:
+    """What scores a text: a lexicon for its features, trees over these, and the curve that makes the trees' margin a probability."""
 
-    Labels that are null or of no document are not used; an id labelled twice counts as toxic if one label says so.
-    Where the sample lacks a class all scores are 0. Null and empty texts get the score of their features, all 0. A null id is in
-    fold crc32('') mod 5 = 0, held out. Repeated rows stay; other columns are not read; empty tables give no row.
-    """
+    lexicon: Lexicon
+    trees: GBTClassificationModel
+    curve: IsotonicRegressionModel
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Learns from labelled documents that are not held out, at most about ``sample_rows``; None where they lack a class."""
     train = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull() & (fold(id_column) != 0)).groupBy(id_column).agg(F.max("toxic").alias("toxic"))
     # The share that keeps the sample near its bound is even over ids, whatever their order.
     share = min(1.0, sample_rows / max(1, train.count()))
     chosen = train.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(id_column).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     # At most sample_rows ids, but for chance: small enough to broadcast.
     rows = written(docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(fold(id_column).alias("fold"), "toxic", F.coalesce(F.col(text), F.lit("")).alias("text")))
-    counts = {(r["fold"] == 4, r["toxic"]): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
-    classes = {toxic for _, toxic in counts}
-    held, out = (fold(id_column) == 0).alias("held_out"), [id_column, *(c for c in keep if c not in (id_column, text))]
+    classes = {r["toxic"] for r in rows.select("toxic").distinct().collect()}
     if len(classes & {0, 1}) < 2:
-        return docs.select(*out, *([text] if text in keep else []), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return None
     lexicon = learn_lexicon(rows.where("fold <> 4"))
     learned = with_features(rows, lexicon, "text", ["fold", "toxic"]).withColumn("label", F.col("toxic").cast("double")).repartition(4).persist()
     both = lambda x: x.select("toxic").distinct().count() == 2
-    fit = learned.where("fold <> 4")
-    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=32, seed=7).fit(fit if both(fit) else learned)
-    rest = learned.where("fold = 4")
-    margin = lambda x: trees.transform(x).withColumn("_margin", vector_to_array("rawPrediction")[1])
-    curve = IsotonicRegression(featuresCol="_margin", labelCol="label", predictionCol="_curve").fit(margin(rest if both(rest) else learned).select("_margin", "label"))
+    fitted, rest = learned.where("fold <> 4"), learned.where("fold = 4")
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=20, maxDepth=3, stepSize=0.3, maxBins=32, seed=7).fit(fitted if both(fitted) else learned)
+    curve = IsotonicRegression(featuresCol="_margin", labelCol="label", predictionCol="_curve").fit(with_margin(rest if both(rest) else learned, trees).select("_margin", "label"))
     learned.unpersist()
+    return Model(lexicon, trees, curve)
+
+
+def with_margin(rows: DataFrame, trees: GBTClassificationModel) -> DataFrame:
+    return trees.transform(rows).withColumn("_margin", vector_to_array("rawPrediction")[1])
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(id, held_out, score, predicted) of each document, and columns ``keep`` of it.
+
+    Labels that are null or of no document are not used; an id labelled twice counts as toxic if one label says so.
+    Where the sample lacks a class all scores are 0. Null and empty texts get the score of their features, all 0. A null id is in
+    fold crc32('') mod 5 = 0, held out. Repeated rows stay; other columns are not read; empty tables give no row.
+    """
+    return scored(docs, fit(docs, labels, id_column, text, sample_rows), id_column, text, keep)
+
+
+def scored(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents with the scores of a model, or of 0 without one; see ``toxicity``."""
+    held, out = (fold(id_column) == 0).alias("held_out"), [id_column, *(c for c in keep if c not in (id_column, text))]
+    if model is None:
+        return docs.select(*out, *([text] if text in keep else []), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     source = docs.select(*out, *([F.col(text).alias("_kept")] if text in keep else []), F.col(text).alias("_text"))
-    scored = curve.transform(margin(with_features(source, lexicon, "_text", [c for c in source.columns if c != "_text"])))
+    rows = model.curve.transform(with_margin(with_features(source, model.lexicon, "_text", [c for c in source.columns if c != "_text"]), model.trees))
     # The curve is flat in places; the trees' own order breaks its ties, by a hundredth at most.
     score = 0.99 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_curve"))) + 0.01 / (1 + F.exp(-2 * F.col("_margin")))
-    return scored.withColumn("score", score).select(
+    return rows.withColumn("score", score).select(
         *out, *([F.col("_kept").alias(text)] if text in keep else []), held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
