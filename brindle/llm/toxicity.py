@@ -39,7 +39,8 @@ SECOND_PERSON = frozenset(
 DISGUISE = bytes.maketrans(b"013457@$!|", b"oieastasil")
 PUNCTUATION = b".,;:?()[]{}<>\"'`~^&*+=-_/\\#%\n\t\r\x0b\x0c"
 TO_SPACE = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
-MIXED = re.compile(rb"[a-z]{1,}[013457@$!|*#.\-_]{1,3}[a-z]{1,}", re.IGNORECASE)
+#: Letters, marks inside, letters; begun where letters begin only, so that a long word takes no more than its length.
+MIXED = re.compile(rb"(?<![a-z])[a-z]++[013457@$!|*#.\-_]{1,3}[a-z]++", re.IGNORECASE)
 FEATURES = ("word_density", "word_hits", "stem_density", "stem_hits", "near_second_person", "second_person", "capitals", "shouted", "exclamations", "punctuation", "obfuscated", "disguised_hits", "length")
 
 

@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from brindle.llm import queries, quality_rules, sql, toxicity, url_filter, warc
+from brindle.llm import ngram_join, queries, quality_rules, sql, toxicity, url_filter, warc
 
 from .conftest import words
 
@@ -161,7 +161,7 @@ def plain_features(text: str, lexicon: toxicity.Lexicon) -> list[float]:
     stood = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"}
     veiled = sum(1 for x in tokens if x.isascii() and not x.isalpha() and x not in known and "".join(stood.get(c, c) for c in x) in known)
     unveiled = sum(1 for x in tokens if x.isascii() and not x.isalpha() and x in known and "".join(stood.get(c, c) for c in x) not in known)
-    mixed = len(re.findall(r"[a-zA-Z]+[013457@$!|*#.\-_]{1,3}[a-zA-Z]+", text))
+    mixed = len(re.findall(r"(?<![a-zA-Z])[a-zA-Z]+[013457@$!|*#.\-_]{1,3}[a-zA-Z]+", text))
     n, size = max(1, len(tokens)), max(1, len(text.encode()))
     return [len(hits) / n, min(20, len(hits)), len(begun) / n, min(20, len(begun)), len(near) / n, len(people) / n, upper / max(1, ascii_letters), len(shouted) / n, text.count("!") / size, len(marks) / size, mixed / n, min(20, veiled - unveiled), math.log(1 + len(tokens))]
 
@@ -361,3 +361,25 @@ def test_one_of_group_keeps_other_texts_of_an_id(spark):
 
 def test_sql_names():
     assert set(queries.oracle_sql()) <= set(queries.queries()) and sql.OP1
+
+
+def test_long_texts_in_filters(spark):
+    """Texts of a megabyte: of words, of one word, of repeated lines; two of them near copies."""
+    rng = random.Random(21)
+    w = words(rng, 190_000, 60_000)
+    near = [*w[:1000], "changed", *w[1001:]]
+    texts = [" ".join(w), " ".join(near), "x" * 1_100_000, "one line again and again\n" * 42_000, "short"]
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in quality_rules.quality_rules(docs).collect():
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain_measures(texts[r["doc_id"]])
+    made, labels = labelled(spark, 200)
+    model = toxicity.fit(made, labels)
+    assert {r["doc_id"]: round(r["score"], 9) for r in toxicity.scored(docs, model).collect()} == {i: round(plain_score(model, t), 9) for i, t in enumerate(texts)}
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert found == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0)}
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://a.org/"), "text").alias("url"), F.col("text").alias("html"))
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.archive_pages(pages).collect()}
+    assert got == {i: (len(t), hashlib.sha1(t.encode()).hexdigest()) for i, t in enumerate(texts)}
+    rules = [url_filter.Rule(*r) for r in queries.URL_RULES]
+    named = url_filter.url_filter(pages, rules, url_filter.repeated_addresses(pages)).collect()
+    assert {r["page_id"]: len(r["path"]) for r in named} == {i: len(t) + 1 for i, t in enumerate(texts)}
