@@ -93,8 +93,8 @@ def url_filter(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str
     tables are fine on either side.
     """
     listed = written(listed.where("canonical is not null and canonical <> ''").select("canonical").distinct())
-    blocks = 1
-    while blocks < MOST_BLOCKS and blocks * KEYS_PER_BLOCK < listed.count():
+    blocks, keys = 1, listed.count()
+    while blocks < MOST_BLOCKS and blocks * KEYS_PER_BLOCK < keys:
         blocks *= 2
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
