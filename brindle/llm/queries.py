@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from brindle.llm import sql
 from brindle.llm.shared import prepare, table, written
@@ -92,7 +93,19 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op6_token_counts, op7_url_filter, op8_token_store, op9_warc, op10_best_two_fit)}
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op6_token_counts, op7_url_filter, op8_token_store, op9_warc, op10_best_two_fit, op12_ranked_search, op13_line_dedup)}
 
 
 def prepared(query: Query) -> Query:
@@ -109,4 +122,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": sql.OP1, "op3_quality_rules": sql.OP3, "op5_grid_order_join": sql.OP5, "op7_url_filter": sql.OP7, "op9_warc": sql.OP9}
+    return {"op1_ngram_join": sql.OP1, "op3_quality_rules": sql.OP3, "op5_grid_order_join": sql.OP5, "op7_url_filter": sql.OP7, "op9_warc": sql.OP9, "op12_ranked_search": sql.OP12, "op13_line_dedup": sql.OP13}

@@ -81,3 +81,27 @@ owners AS (SELECT payload_digest, max(page_id) AS owner FROM digests WHERE paylo
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner IS NULL OR owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN owner <> page_id THEN owner END AS refers_to FROM digests LEFT JOIN owners USING (payload_digest)
 """
+
+#: Terms as runs of what is no separator; the terms of documents are counted for items' terms only.
+OP12 = """
+WITH fold AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+asked AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY 1, 2),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM fold),
+flat AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM fold),
+held AS (SELECT r, doc_id, n, term, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, totals GROUP BY term),
+gains AS (SELECT r, doc_id, h.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))) AS gain FROM held h JOIN weights USING (term), totals),
+scores AS (SELECT item_id, r, doc_id, CAST(sum(times * gain) AS BIGINT) AS score FROM gains JOIN wanted USING (term) WHERE doc_id IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+OP13 = """
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM cut),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+owners AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT r) >= 5),
+judged AS (SELECT r, y.doc_id, line, i, o.k IS NOT NULL AND keeper IS NOT NULL AND keeper IS DISTINCT FROM y.doc_id AS gone FROM keyed y LEFT JOIN owners o ON o.k = y.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM judged GROUP BY r, doc_id
+"""
