@@ -93,6 +93,25 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with periodic texts among them, as the contract of operator 11 has it: where 10 divides crc32 of the id, the words from a on are the next p words again and again."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.where(F.pmod(h, F.lit(10)) == 0).select("doc_id", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w")).where("n > 0")
+    rows = rows.selectExpr("doc_id", "w", "n", "g", "CAST(g % n AS INT) AS a").selectExpr("doc_id", "w", "n", "a", "CAST(1 + (n - a) div (3 + g % 8) AS INT) AS p")
+    text = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)), ' ')")
+    others = docs.where((F.pmod(h, F.lit(10)) == 0).eqNullSafe(False) | h.isNull() | (F.size(words) == 0))
+    return rows.select("doc_id", text.alias("text")).unionByName(others.select("doc_id", "text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from brindle.llm.periodic_runs import periodic_runs
+
+    found = periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    listed = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from brindle.llm.ranked_search import ranked_search
 
@@ -105,7 +124,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op6_token_counts, op7_url_filter, op8_token_store, op9_warc, op10_best_two_fit, op12_ranked_search, op13_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_quality_rules, op4_byte_bpe, op5_grid_order_join, op6_token_counts, op7_url_filter, op8_token_store, op9_warc, op10_best_two_fit, op11_periodic_runs, op12_ranked_search, op13_line_dedup)}
 
 
 def prepared(query: Query) -> Query:
@@ -122,4 +141,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": sql.OP1, "op3_quality_rules": sql.OP3, "op5_grid_order_join": sql.OP5, "op7_url_filter": sql.OP7, "op9_warc": sql.OP9, "op12_ranked_search": sql.OP12, "op13_line_dedup": sql.OP13}
+    return {"op1_ngram_join": sql.OP1, "op3_quality_rules": sql.OP3, "op5_grid_order_join": sql.OP5, "op7_url_filter": sql.OP7, "op9_warc": sql.OP9, "op11_periodic_runs": sql.OP11, "op12_ranked_search": sql.OP12, "op13_line_dedup": sql.OP13}

@@ -82,6 +82,27 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN owner IS NULL OR owner
   CASE WHEN owner <> page_id THEN owner END AS refers_to FROM digests LEFT JOIN owners USING (payload_digest)
 """
 
+#: A run of at least six words and four periods agrees with itself over five words or more: places and periods come from equal stretches of five.
+OP11 = """
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS o,
+    list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS BIGINT), 1)) AS BIGINT)) AS digits FROM documents),
+hashed AS (SELECT r, o, CAST(len(o) AS BIGINT) AS n, doc_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), digits), lambda acc, b:
+    list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, CAST(3988292384 AS BIGINT) * (c & 1)))), CAST(4294967295 AS BIGINT)) AS h FROM cut),
+turned AS (SELECT r, doc_id, o, n, h % 10 = 0 AND n > 0 AS turn, (h // 10) % greatest(n, 1) AS a, 1 + (n - (h // 10) % greatest(n, 1)) // (3 + (h // 10) % 8) AS p FROM hashed),
+texts AS (SELECT r, doc_id, n, CASE WHEN turn THEN list_transform(range(n), lambda i: o[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE o END AS w FROM turned),
+grams AS (SELECT r, n, i, array_to_string(w[i + 1:i + 5], ' ') AS g FROM (SELECT r, n, w, unnest(range(n - 4)) AS i FROM texts WHERE n >= 6)),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, min(i) AS start, max(i) + 5 - min(i) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island),
+runs AS (SELECT r, start, length, min(q) AS period FROM islands WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+summary AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM runs GROUP BY r),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) AS k FROM runs) WHERE k = 1),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+flat AS (SELECT r, unnest(w) AS word, unnest(range(n)) AS i FROM texts),
+stay AS (SELECT f.r, string_agg(word, ' ' ORDER BY f.i) AS body FROM flat f LEFT JOIN gone g ON g.r = f.r AND g.i = f.i WHERE g.r IS NULL GROUP BY f.r)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(body, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN summary s ON s.r = t.r LEFT JOIN best b ON b.r = t.r LEFT JOIN stay ON stay.r = t.r
+"""
+
 #: Terms as runs of what is no separator; the terms of documents are counted for items' terms only.
 OP12 = """
 WITH fold AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
