@@ -348,6 +348,11 @@ def meetings(met: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFram
     return within.unionByName(across).select("node", F.when(same, F.col("block")).otherwise(F.xxhash64(low, high)).alias("group"), F.when(~same, F.when(F.col("block") < F.col("other"), 0).otherwise(1)).alias("side"))
 
 
+def bodies_of(owners: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, rep, weight, text) of each owner, once however often its row is repeated. The join's own partitioning serves to drop the repeats."""
+    return owners.join(docs, ["rep", "mark"]).dropDuplicates(["rep", "mark"]).select("node", "rep", "weight", "text")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, crowd: int = CROWD, block: int = BLOCK, with_groups: bool = False) -> DataFrame:
     """(id, class_id, n_links) of every document; ``with_groups`` adds mark, its text's hash, and group, which names the linked rows.
 
@@ -365,7 +370,7 @@ def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text: str = "
     sent = meetings(met, classes, block)
     owners = met.select("node").distinct().join(classes.select("node", "rep", "mark", "weight"), "node")
     # The mark picks the class's own text where its id stands on other texts too.
-    bodies = owners.join(docs.select(F.col(id_column).alias("rep"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")), ["rep", "mark"]).select("node", "rep", "weight", "text")
+    bodies = bodies_of(owners, docs.select(F.col(id_column).alias("rep"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")))
     rows = sent.join(bodies, "node").select("group", "side", "node", "rep", "weight", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = written(verify(rows.repartition(parts, "group"), threshold))

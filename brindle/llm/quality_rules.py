@@ -114,10 +114,12 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", col
 
     Returns ``columns``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, in as many
     rows as ``docs`` has. A null text is an empty one and fails for its few words. A document of no host (null) is
-    judged alone. Null ids and repeated rows stay as they are; columns of ``docs`` not named in ``columns`` are dropped, so
-    that no name clashes; an empty table gives an empty result.
+    judged alone. Null ids and repeated rows stay as they are; columns of ``docs`` not named in ``columns`` are dropped, and a name in it that
+    the result has already is an error; an empty table gives an empty result.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    if clash := {*columns} & {*own, "kept"}:
+        raise ValueError(f"the result has columns of its own named {', '.join(sorted(clash))}")
     rows = measured(docs.select(*(F.col(c).alias(f"_in_{c}") for c in columns), F.col(host).alias("_host"), F.col(text).alias("_text")), "_text").drop("_text")
     rows = written(rows)
     rejected = written(rejected_hosts(host_rates(rows, "_host")).select(F.col("_host").alias("_bad_host")))

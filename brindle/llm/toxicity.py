@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from brindle.llm.batches import slices, texts_of
 from brindle.llm.shared import written
@@ -92,9 +93,8 @@ def with_features(rows: DataFrame, lexicon: Lexicon, text: str, keep: list[str])
                 found = [features(t, held) for t in texts_of(part.column(part.num_columns - 1))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, pa.list_(pa.float64()))], [*keep, "_features"])
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep)
-    return rows.select(*keep, text).mapInArrow(run, f"{schema}, _features array<double>").withColumn("_features", array_to_vector("_features"))
+    schema = StructType([*rows.select(*keep).schema.fields, StructField("_features", ArrayType(DoubleType()))])
+    return rows.select(*keep, text).mapInArrow(run, schema).withColumn("_features", array_to_vector("_features"))
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
@@ -168,20 +168,23 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     Labels that are null or of no document are not used; an id labelled twice counts as toxic if one label says so.
     Where the sample lacks a class all scores are 0. Null and empty texts get the score of their features, all 0. A null id is in
-    fold crc32('') mod 5 = 0, held out. Repeated rows stay; other columns are not read; empty tables give no row.
+    fold crc32('') mod 5 = 0, held out. Repeated rows stay; other columns are not read; a name in ``keep`` that the result has already is an error; empty tables give no row.
     """
     return scored(docs, fit(docs, labels, id_column, text, sample_rows), id_column, text, keep)
 
 
 def scored(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Documents with the scores of a model, or of 0 without one; see ``toxicity``."""
-    held, out = (fold(id_column) == 0).alias("held_out"), [id_column, *(c for c in keep if c not in (id_column, text))]
+    if clash := {*keep} & {"held_out", "score", "predicted"}:
+        raise ValueError(f"the result has columns of its own named {', '.join(sorted(clash))}")
+    # Kept columns travel as one, so that none has a name used here.
+    source = docs.select(F.col(id_column).alias("_id"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in keep)).alias("_row"), F.col(text).alias("_text"))
+    held = (fold("_id") == 0).alias("held_out")
+    out = [F.col("_id").alias(id_column), *(F.col("_row")[c].alias(c) for c in keep if c != id_column)]
     if model is None:
-        return docs.select(*out, *([text] if text in keep else []), held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    source = docs.select(*out, *([F.col(text).alias("_kept")] if text in keep else []), F.col(text).alias("_text"))
-    rows = model.curve.transform(with_margin(with_features(source, model.lexicon, "_text", [c for c in source.columns if c != "_text"]), model.trees))
+        return source.select(*out, held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    rows = model.curve.transform(with_margin(with_features(source, model.lexicon, "_text", ["_id", "_row"]), model.trees))
     # The curve is flat in places; the trees' own order breaks its ties, by a hundredth at most.
     score = 0.99 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_curve"))) + 0.01 / (1 + F.exp(-2 * F.col("_margin")))
-    return rows.withColumn("score", score).select(
-        *out, *([F.col("_kept").alias(text)] if text in keep else []), held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    rows = rows.withColumn("_score", score)
+    return rows.select(*out, held, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))

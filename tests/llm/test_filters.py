@@ -347,6 +347,36 @@ def test_stages_bear_odd_rows(spark, odd_docs, sf_dir):
     assert Counter(r["doc_id"] for r in once)[3] == 1 and None in {r["doc_id"] for r in once}
 
 
+def test_stages_bear_any_names(spark, sf_dir):
+    """Columns with every name that an operator uses, its own and internal ones, come through as they were."""
+    import inspect
+
+    from brindle.llm import shared
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    code = "".join(inspect.getsource(m) for m in (quality_rules, toxicity, ngram_join, shared, corpus_pipeline))
+    used = {*re.findall('["`]([A-Za-z_][A-Za-z0-9_]*)["`]', code), *"kept n_words base_failed predicted score held_out row _row _id _text _host _margin _mark _n mark group class_id n_links rep home".split()}
+    names = sorted(n for n in {u.lower(): u for u in used}.values() if n.lower() not in docs.columns)
+    assert len(names) > 80
+    more = docs.select("*", *(F.lit(7.5).alias(n) for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, more, sf_dir)
+        assert found.columns == more.columns
+        plain = stage(spark, docs, sf_dir)
+        assert sorted(found.select(*docs.columns).collect()) == sorted(plain.collect()), name
+        assert found.where(" and ".join(f"`{n}` = 7.5" for n in names)).count() == plain.count()
+    assert corpus_pipeline.packed(spark, more, sf_dir).count() == corpus_pipeline.packed(spark, docs, sf_dir).count()
+
+
+def test_kept_columns_may_not_have_the_names_of_results(spark):
+    docs = spark.createDataFrame([(1, "text", "h", 7.5, 8.5)], "doc_id long, text string, source string, score double, kept double")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for call in (lambda: toxicity.toxicity(docs, labels, keep=("score",)), lambda: quality_rules.quality_rules(docs, columns=("doc_id", "kept"))):
+        with pytest.raises(ValueError, match="of its own"):
+            call()
+    assert toxicity.toxicity(docs, labels, keep=("kept", "text", "doc_id")).first().asDict() == {"doc_id": 1, "kept": 8.5, "text": "text", "held_out": toxicity.toxicity(docs, labels).first()["held_out"], "score": 0.0, "predicted": 0}
+
+
 def test_one_of_group_keeps_other_texts_of_an_id(spark):
     """A copy under an id does not take that id's other text with it, and one row of each group stays."""
     rng = random.Random(11)

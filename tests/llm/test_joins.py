@@ -95,6 +95,18 @@ def test_op1_texts_under_one_id(spark, turned):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()) == want
 
 
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_op1_sends_a_repeated_row_once(spark, times):
+    """One near copy beside a text that is repeated under its id: two texts meet, however often it is."""
+    text = " ".join(words(random.Random(1), 100))
+    near = text.replace(text.split()[50], "new", 1)
+    docs = spark.createDataFrame([(1, text)] * times + [(2, near)], "doc_id long, text string")
+    sent = ngram_join.bodies_of(spark.createDataFrame([(b"a", 1, times), (b"b", 2, 1)], "node binary, rep long, weight long").join(docs.selectExpr("doc_id as rep", "xxhash64(text) as mark").distinct(), "rep"), docs.selectExpr("doc_id as rep", "xxhash64(text) as mark", "text"))
+    assert sent.count() == 2
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert found == {1: (1, times), 2: (1, times)}
+
+
 def test_trees_reach_the_recall():
     levels = ngram_join.forest(0.8, 0.9995)
     missed = [(1 - 0.8**k) ** t for k, t in levels]
@@ -121,13 +133,15 @@ def test_prefixes_are_as_short_as_what_they_match_allows(spark):
     assert {(r["prefix"], bytes(r["node"]), bytes(r["least"])) for r in found} == {(1, f"p{i}".encode(), b"p0") for i in range(3)} | {(20 + i // 2, f"q{i}".encode(), f"q{i - i % 2}".encode()) for i in range(6)}
 
 
-def test_rows_sent_grow_in_proportion(spark):
-    """Near copies, all candidates of each other."""
+def test_rows_sent_grow_in_proportion_up_to_a_block(spark):
+    """Near copies, all candidates of each other: each text is sent once for each block of its group, so that up to a block it is in proportion, and n / block times beyond."""
     sent = {}
     for n in (500, 1000, 2000):
         met = spark.range(n).selectExpr("7L as prefix", "cast(cast(id as string) as binary) as node", "cast('0' as binary) as least")
         sent[n] = ngram_join.meetings(met, met.selectExpr("node", "100L as size")).count()
     assert sent[1000] <= 2 * sent[500] and sent[2000] <= 2 * sent[1000] and sent[500] == 500
+    met = spark.range(1024).selectExpr("7L as prefix", "cast(cast(id as string) as binary) as node", "cast('0' as binary) as least")
+    assert ngram_join.meetings(met, met.selectExpr("node", "100L as size"), block=256).count() == 4 * 1024
 
 
 def test_recall_on_pairs_at_the_threshold():
