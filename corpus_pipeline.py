@@ -6,7 +6,7 @@ All but the last give the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.ngram_join import ngram_jaccard_join
@@ -17,14 +17,19 @@ from brindle.llm.shared import prepare, table, written
 from brindle.llm.toxicity import toxicity
 
 
+def whole(docs: DataFrame) -> Column:
+    """A document's columns as one, so that none has a name that an operator uses."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return quality_rules(docs, columns=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return quality_rules(docs.select("text", "source", whole(docs)), columns=("row",)).where("kept").select("row.*")
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return toxicity(docs, table(spark, sf_dir, "labels"), keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+    return toxicity(docs.select("doc_id", "text", whole(docs)), table(spark, sf_dir, "labels"), keep=("row",)).where("predicted = 0").select("row.*")
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,18 +38,19 @@ def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A document is an id with a text, so that of an id with several texts those stay that are no copies.
     """
     prepare(spark)
-    found = ngram_jaccard_join(docs, with_groups=True)
-    least = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", F.col("mark").alias("_mark"))).alias("m")).select("m.doc_id", "m._mark")
-    stay = least.unionByName(found.where("group is null and doc_id is not null").select("doc_id", F.col("mark").alias("_mark")))
-    named = docs.where("doc_id is not null").withColumn("_mark", F.xxhash64("text")).join(stay, ["doc_id", "_mark"], "left_semi")
-    again = F.row_number().over(Window.partitionBy("doc_id", "_mark").orderBy("doc_id"))
-    once = named.withColumn("_n", again).where("_n = 1").select(*docs.columns)
+    found = ngram_jaccard_join(docs.select("doc_id", "text"), with_groups=True)
+    least = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("m")).select("m.doc_id", "m.mark")
+    stay = least.unionByName(found.where("group is null and doc_id is not null").select("doc_id", "mark"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), whole(docs))
+    named = rows.where("doc_id is not null").join(stay, ["doc_id", "mark"], "left_semi")
+    again = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("doc_id"))
+    once = named.withColumn("n", again).where("n = 1").select("row.*")
     return once.unionByName(docs.where("doc_id is null"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+    return pack_documents(docs.select("doc_id", "text"), tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
 STAGES = [("quality_rules", keep_quality), ("toxicity", keep_civil), ("ngram_jaccard_join", keep_one_of_group), ("best_two_fit", packed)]
