@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import multiprocessing
+import resource
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def items(tables: dict[str, DataFrame], types: list[str], field: str = "title", content_type: str = "application/pdf") -> DataFrame:
@@ -105,32 +108,83 @@ def extracted(pages: DataFrame, key: str, path: str, html: str) -> DataFrame:
     return rows.select(key, "status", F.when(F.col("status") == "ok", F.col("text")).alias("text"))
 
 
-def extract_with(files: DataFrame, path: str, content: str, extractor: Callable[[bytes], str], ending: str = "pdf") -> DataFrame:
+def raw_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, content, length) of the files under a folder, read by Spark in partitions of about equal bytes."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content", "length")
+
+
+class Extractor:
+    """Runs a user's extractor in a process of its own, which may die or hang: it is then ended, and another one takes the next file.
+
+    The process is made from this one, so that the extractor need not be importable, and serves one file after the other.
+    """
+
+    def __init__(self, extractor: Callable[[bytes], str], seconds: float, most_mb: int | None) -> None:
+        self.extractor, self.seconds, self.most_mb = extractor, seconds, most_mb
+        self.process, self.pipe = None, None
+
+    def _serve(self, pipe) -> None:
+        if self.most_mb:
+            resource.setrlimit(resource.RLIMIT_AS, (self.most_mb << 20, self.most_mb << 20))
+        while True:
+            data = pipe.recv_bytes()
+            try:
+                answer = ("ok", self.extractor(data), None)
+            except Exception as error:  # noqa: BLE001  any failure is the file's
+                answer = ("error", None, f"{type(error).__name__}: {error}")
+            pipe.send(answer)
+
+    def text_of(self, data: bytes) -> tuple[str, str | None, str | None]:
+        """(status, text, error) of a file."""
+        if self.process is None:
+            made = multiprocessing.get_context("fork")
+            self.pipe, other = made.Pipe()
+            self.process = made.Process(target=self._serve, args=(other,), daemon=True)
+            self.process.start()
+            other.close()
+        try:
+            self.pipe.send_bytes(data)
+            if self.pipe.poll(self.seconds):
+                return self.pipe.recv()
+            error = f"no answer within {self.seconds:g} seconds"
+        except (EOFError, OSError):
+            self.process.join(1)
+            error = f"the process ended with {self.process.exitcode}"
+        self.close()
+        return "crash", None, error
+
+    def close(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.pipe.close()
+        self.process, self.pipe = None, None
+
+
+def extract_with(files: DataFrame, path: str, content: str, extractor: Callable[[bytes], str], ending: str = "pdf", seconds: float = 60.0, most_mb: int | None = None) -> DataFrame:
     """Adds status, text and error by a user's extractor, such as one for PDF. A file's failure is its row's.
 
-    Statuses: ``wrong_type`` for another ending, ``bad_path`` for no path or content, ``error`` for what the extractor raises, else ``ok``.
-    Only files of the right kind are given to it.
+    Statuses: ``wrong_type`` for another ending, ``bad_path`` for no path or content, ``error`` for what the extractor raises, ``crash`` where it ends its process, takes more than
+    ``seconds`` for a file, or, with ``most_mb``, is killed for its memory; else ``ok``. Only files of the right kind are given to it. Each task runs it in a process beside the worker, so that the job
+    goes on whatever it does.
     """
     kind = F.when(F.col(path).isNull() | F.col(content).isNull(), "bad_path").when(F.lower(F.substring_index(path, ".", -1)) != ending, "wrong_type").otherwise("ok")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            statuses, texts, errors = [], [], []
-            for data in frame[content]:
-                try:
-                    texts.append(extractor(bytes(data)))
-                    statuses.append("ok")
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001  any failure is the row's
-                    texts.append(None)
-                    statuses.append("error")
-                    errors.append(f"{type(error).__name__}: {error}")
-            yield frame.assign(status=statuses, text=texts, error=errors)
+    at = files.columns.index(content)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Extractor(extractor, seconds, most_mb)
+        try:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    found = own.text_of(batch.column(at)[k].as_py())
+                    yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *(pa.array([x], pa.string()) for x in found)], [*batch.schema.names, "status", "text", "error"])
+        finally:
+            own.close()
 
     none = F.lit(None).cast("string")
     rows = files.withColumn("_kind", kind)
-    schema = ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + ", status string, text string, error string"
-    done = rows.where("_kind = 'ok'").drop("_kind").mapInPandas(run, schema)
+    schema = StructType([*files.schema.fields, *(StructField(c, StringType()) for c in ("status", "text", "error"))])
+    done = rows.where("_kind = 'ok'").drop("_kind").mapInArrow(run, schema)
     return done.unionByName(rows.where("_kind <> 'ok'").select(*files.columns, F.col("_kind").alias("status"), none.alias("text"), none.alias("error")))
 
 

@@ -6,26 +6,22 @@ The default embedder counts hashed words; the default reranker is BM25; the defa
 from __future__ import annotations
 
 import hashlib
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import Future, ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from brindle.sources.files import present
+from brindle.operators.text_index import TextIndex, gain, weight, words
 
 BUCKETS = 64
-#: Folders that a text index deals its terms to.
-TERM_BUCKETS = 64
-K1, B = 1.2, 0.75
-
-
-def words(text: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(text)), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
 def bucket(word: Column, buckets: int = BUCKETS) -> Column:
@@ -69,35 +65,80 @@ def embed_distinct(rows: DataFrame, text: str) -> DataFrame:
     return hashed.join(once, "_hash").drop("_hash")
 
 
-def embed_with(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], width: int, batch: int = 32) -> DataFrame:
+#: Fixed: how many texts a request to a provider may have, and how many seconds are to lie between two.
+PROVIDERS = {"voyage": (3, 2.0), "cohere": (30, 0.0), "ollama": (32, 0.0), "zeroentropy": (1, 3.0), "openai": (100, 0.0)}
+
+
+def embed_with(
+    rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], width: int, batch: int = 32, in_flight: int = 1, tasks: int | None = None, per_minute: float | None = None
+) -> DataFrame:
     """Adds vector and status by a model that is called with up to ``batch`` texts at a time.
 
-    Null and blank texts get zeros without a call. A batch that the model rejects with ValueError gets zeros and the status
-    ``rejected``; any other error fails the job.
+    Each task has at most ``in_flight`` calls under way at once, and gives its rows in their order. With ``tasks`` the rows are dealt to so many tasks, so that no more than
+    ``tasks * in_flight`` calls run at once however large the cluster is; a limit of calls ``per_minute`` is shared by them in equal parts, and needs ``tasks``.
+
+    Null and blank texts get zeros and the status ``blank`` without a call. A batch that the model rejects with ValueError gets zeros and the status
+    ``rejected: ..``, and the others go on; any other error fails the job, as does an answer of another number or length. ``embedding_report`` counts the statuses.
     """
+    if per_minute is not None and tasks is None:
+        raise ValueError("a rate limit needs a number of tasks to share it")
+    if min(batch, in_flight, tasks or 1, 1 if per_minute is None else per_minute) <= 0:
+        raise ValueError("batches, calls, tasks and rates are positive")
+    gap = 60.0 * tasks / per_minute if per_minute is not None else 0.0
     blank = F.col(text).isNull() | ~F.rlike(text, F.lit("\\S"))
+    at = rows.columns.index(text)
+
+    def call(texts: list[str]) -> tuple[np.ndarray, str]:
+        try:
+            found = model(texts)
+        except ValueError as error:
+            return np.zeros((len(texts), width)), f"rejected: {error}"
+        if len(found) != len(texts) or any(len(v) != width for v in found):
+            raise RuntimeError("the model gave vectors of another number or length")
+        return np.array(found, dtype=np.float64).reshape(len(texts), width), "ok"
+
+    def answered(part: pa.RecordBatch, answer: tuple[np.ndarray, str]) -> pa.RecordBatch:
+        vectors, status = answer
+        held = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * width, pa.int32()), pa.array(vectors.ravel()))
+        return pa.RecordBatch.from_arrays([*part.columns, held, pa.array([status] * part.num_rows, pa.string())], [*part.schema.names, "vector", "status"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            vectors, statuses = [], []
-            for at in range(0, len(frame), batch):
-                texts = frame[text].iloc[at : at + batch].tolist()
-                try:
-                    found, status = model(texts), "ok"
-                except ValueError as error:
-                    found, status = [[0.0] * width for _ in texts], f"rejected: {error}"
-                if len(found) != len(texts) or any(len(v) != width for v in found):
-                    raise RuntimeError("the model gave vectors of another number or length")
-                vectors += found
-                statuses += [status] * len(texts)
-            yield frame.assign(vector=vectors, status=statuses)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", vector array<double>, status string"
-    full = rows.where(~blank).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under_way: deque[tuple[pa.RecordBatch, Future]] = deque()
+        due = 0.0
+        with ThreadPoolExecutor(in_flight) as pool:
+            for part in (b.slice(k, batch) for b in batches for k in range(0, b.num_rows, batch)):
+                if len(under_way) == in_flight:
+                    done, call_of = under_way.popleft()
+                    yield answered(done, call_of.result())
+                if gap:
+                    time.sleep(max(0.0, due - time.monotonic()))
+                    due = time.monotonic() + gap
+                under_way.append((part, pool.submit(call, part.column(at).to_pylist())))
+            for done, call_of in under_way:
+                yield answered(done, call_of.result())
+
+    schema = StructType([*rows.schema.fields, StructField("vector", ArrayType(DoubleType())), StructField("status", StringType())])
+    full = rows.where(~blank)
+    full = (full.repartition(tasks) if tasks else full).mapInArrow(run, schema)
     empty = rows.where(blank).select("*", F.array_repeat(F.lit(0.0), width).alias("vector"), F.lit("blank").alias("status"))
     return full.unionByName(empty)
 
 
+def embed_by(rows: DataFrame, text: str, model: Callable[[list[str]], list[list[float]]], width: int, provider: str, tasks: int = 1, in_flight: int = 1) -> DataFrame:
+    """``embed_with`` in requests of a provider's size, at its pace over all tasks together."""
+    batch, wait = PROVIDERS[provider]
+    return embed_with(rows, text, model, width, batch, in_flight, tasks, 60.0 / wait if wait else None)
+
+
+def embedding_report(rows: DataFrame) -> DataFrame:
+    """One row (n_embedded, n_failed, n_blank, errors) of rows that ``embed_with`` gave; ``errors`` has the distinct messages of rejected batches, at most ten."""
+    count = lambda which: F.coalesce(F.sum(which.cast("bigint")), F.lit(0)).cast("bigint")
+    failed = F.startswith("status", F.lit("rejected"))
+    kinds = rows.groupBy("status").agg(F.count("*").alias("n"))
+    n = F.col("n")
+    return kinds.agg(count(F.when(F.col("status") == "ok", n)).alias("n_embedded"), count(F.when(failed, n)).alias("n_failed"), count(F.when(F.col("status") == "blank", n)).alias("n_blank"), F.slice(F.array_sort(F.collect_list(F.when(failed, F.col("status")))), 1, 10).alias("errors"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(term, key, tf) and (key, length): what a text index holds."""
     flat = docs.select(key, F.explode(words(text)).alias("term"))
@@ -105,46 +146,6 @@ def postings(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame
     return found, docs.select(key, F.coalesce(F.size(words(text)), F.lit(0)).cast("bigint").alias("length"))
 
 
-@dataclass(frozen=True)
-class TextIndex:
-    """A kept text index: ``postings`` (term, key, tf) in folders by a hash of the term, ``lengths`` (key, length), ``totals`` (n_docs, avg_length)."""
-
-    spark: SparkSession
-    path: str
-    key: str
-
-    def exists(self) -> bool:
-        return present(self.spark, f"{self.path}/totals/_SUCCESS")
-
-    def create(self, docs: DataFrame, text: str) -> bool:
-        """Builds the index unless there is one; tells whether it did. The totals, which are written last, say that it is whole."""
-        if self.exists():
-            return False
-        found, lengths = postings(docs, self.key, text)
-        found.withColumn("bucket", term_bucket("term")).repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        lengths.write.mode("overwrite").parquet(f"{self.path}/lengths")
-        totals = self.lengths().agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-        totals.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/totals")
-        return True
-
-    def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        """(term, key, tf), of the given terms only; of their folders only, since the bucket joins too."""
-        rows = self.spark.read.parquet(f"{self.path}/postings")
-        if terms is not None:
-            rows = rows.join(terms.select("term", term_bucket("term").alias("bucket")).distinct(), ["bucket", "term"], "left_semi")
-        return rows.select("term", self.key, "tf")
-
-    def lengths(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lengths")
-
-    def totals(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/totals")
-
-
-def term_bucket(term: str) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
-
-
 def bm25(candidates: DataFrame, queries: DataFrame, docs: DataFrame, key: str, query: str, query_text: str, text: str, index: TextIndex | None = None) -> DataFrame:
     """(query, key, score) of candidate pairs, to 6 places; 0 where no word is shared.
 
@@ -155,19 +156,17 @@ def bm25(candidates: DataFrame, queries: DataFrame, docs: DataFrame, key: str, q
     terms = asked.select("term").distinct()
     if index:
         used = index.postings(terms)
-        frequency = used.groupBy("term").agg(F.count("*").alias("df"))
-        lengths, totals = index.lengths(), index.totals()
+        frequency, totals = index.frequencies(terms), index.totals()
     else:
         # Each document's distinct words meet the queried ones: a word is counted once a document, without the document's key.
         frequency = docs.select(F.explode(F.array_distinct(words(text))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
         totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size(words(text)), F.lit(0))).alias("avg_length"))
         own = docs.join(candidates.select(key).distinct(), key, "left_semi")
         found, lengths = postings(own, key, text)
-        used = found.join(terms, "term", "left_semi")
-    scored = candidates.select(query, key).join(asked, query).join(used, [key, "term"]).join(frequency, "term").join(lengths, key).crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    sums = scored.groupBy(query, key).agg(F.sum(gain).alias("score"))
+        used = found.join(terms, "term", "left_semi").join(lengths, key)
+    scored = candidates.select(query, key).join(asked, query).join(used, [key, "term"]).join(frequency, "term").crossJoin(F.broadcast(totals))
+    gains = weight(F.col("n_docs"), F.col("df")) * gain(F.col("tf"), F.col("length"), F.col("avg_length"))
+    sums = scored.groupBy(query, key).agg(F.sum(gains).alias("score"))
     return candidates.select(query, key).join(sums, [query, key], "left").select(query, key, F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 

@@ -1,20 +1,17 @@
-"""Nearest neighbours of many queries at once, exact and by lists of a coarse quantizer."""
+"""Nearest neighbours of many queries at once, exactly; see ``vector_index`` for kept indexes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.sources.files import present
-
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
+#: Scores that a task holds at once: 2 million are 16 MB, with what is made of them some 100.
+SCORES = 2_000_000
 #: Queries that are broadcast: with 1,000 dimensions, 20 MB.
 FEW_QUERIES = 2500
 
@@ -51,11 +48,15 @@ def best_of_blocks(rows: DataFrame, k: int, metric: str) -> DataFrame:
             return None
         order = order[np.argsort(ids[order], kind="stable")]
         own, starts = np.unique(ids[order], return_index=True)
-        best = np.maximum.reduceat(scores(vectors[queries], vectors[order], metric), starts, axis=1)
-        few = min(k, len(own))
-        # Ids ascend, so that a stable sort breaks ties by id.
-        top = np.argsort(-best, axis=1, kind="stable")[:, :few]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[queries], few)), pa.array(own[top].ravel()), pa.array(np.take_along_axis(best, top, axis=1).ravel())], ["query", "id", "score"])
+        few, out = min(k, len(own)), []
+        step = max(1, SCORES // len(order))
+        for at in range(0, len(queries), step):
+            some = queries[at : at + step]
+            best = np.maximum.reduceat(scores(vectors[some], vectors[order], metric), starts, axis=1)
+            # Ids ascend, so that a stable sort breaks ties by id.
+            top = np.argsort(-best, axis=1, kind="stable")[:, :few]
+            out.append((np.repeat(ids[some], few), own[top].ravel(), np.take_along_axis(best, top, axis=1).ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -93,10 +94,11 @@ def best_of_partitions(asked: DataFrame, held: DataFrame, k: int, metric: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries = shared.value
+        step = max(1, min(VECTOR_BLOCK, SCORES // len(names)))
         ids, best = np.empty((len(names), 0), np.int64), np.empty((len(names), 0))
         for batch in batches:
-            for at in range(0, batch.num_rows, VECTOR_BLOCK):
-                part = batch.slice(at, VECTOR_BLOCK)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 order = np.argsort(part.column(0).to_numpy(), kind="stable")
                 own, starts = np.unique(part.column(0).to_numpy()[order], return_index=True)
                 new = np.maximum.reduceat(scores(queries, matrix(part.column(1), part.num_rows)[order], metric), starts, axis=1)
@@ -138,58 +140,3 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", e
     if exclude_self:
         found = found.where("query <> id")
     return ranked(found, k)
-
-
-@dataclass(frozen=True)
-class VectorIndex:
-    """A kept index: ``centres`` (list_id, centre) and ``lists`` (id, vector), in one folder for each list_id."""
-
-    spark: SparkSession
-    path: str
-
-    def exists(self) -> bool:
-        return present(self.spark, f"{self.path}/centres/_SUCCESS")
-
-    def centres(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/centres")
-
-    def lists(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/lists")
-
-    def create(self, corpus: DataFrame, lists: int, sample_rows: int = 50_000, seed: int = 11) -> bool:
-        """Builds the index of (id, vector) rows unless there is one; tells whether it did.
-
-        Centres are fitted to a sample of about ``sample_rows``; every row is put into the list of its nearest centre. The centres, which are
-        written last, say that the index is whole.
-        """
-        if self.exists():
-            return False
-        rows = corpus.select("id", filled("vector").alias("vector"))
-        share = min(1.0, sample_rows / max(1, rows.count()))
-        sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).withColumn("features", array_to_vector("vector"))
-        model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features").fit(sample)
-        placed = model.transform(rows.withColumn("features", array_to_vector("vector"))).select("id", "vector", F.col("prediction").alias("list_id"))
-        placed.write.mode("overwrite").partitionBy("list_id").parquet(f"{self.path}/lists")
-        centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-        self.spark.createDataFrame(centres, "list_id int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
-        return True
-
-    def nearest(self, queries: DataFrame, k: int, probes: int, exclude_self: bool = False) -> DataFrame:
-        """Like ``nearest`` by distance, over the ``probes`` lists whose centres are nearest to the query; all lists give the exact result.
-
-        Only the folders of probed lists are read. A list is cut into slices of a block's rows each.
-        """
-        gap = F.aggregate(F.zip_with("vector", "centre", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-        # The centres are as many as the lists: a small table.
-        near = queries.select("query", filled("vector").alias("vector")).crossJoin(F.broadcast(self.centres())).select("query", "vector", "list_id", gap.alias("d"))
-        order = F.row_number().over(Window.partitionBy("query").orderBy("d", "list_id"))
-        asked = near.withColumn("n", order).where(F.col("n") <= probes).select("query", "list_id", "vector")
-        probed = asked.select("list_id").distinct()
-        placed = self.lists().join(F.broadcast(probed), "list_id")
-        sizes = placed.groupBy("list_id").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("slices"))
-        asked = asked.join(F.broadcast(sizes), "list_id").select(F.col("list_id").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("vb"), F.lit(True).alias("is_query"), F.col("query").alias("id"), "vector")
-        held = placed.join(F.broadcast(sizes), "list_id").select(F.col("list_id").alias("qb"), F.pmod(F.xxhash64("id"), "slices").cast("int").alias("vb"), F.lit(False).alias("is_query"), "id", "vector")
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        found = best_of_blocks(asked.unionByName(held).repartition(parts, "qb", "vb"), k + exclude_self, "l2")
-        found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
-        return ranked(found.where("query <> id") if exclude_self else found, k)

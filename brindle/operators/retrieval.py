@@ -2,28 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
 from brindle.operators import chunking, models, neighbours
 from brindle.operators.sections import section_of_positions
+from brindle.operators.text_index import TextIndex
+from brindle.operators.vector_index import VectorIndex
+from brindle.sources.files import kept
 
 #: The least similarity of a passage, how many stay if none has it, and a section's share that widens it.
 LEAST_SCORE, FALLBACK, ZOOM_SHARE = 0.7, 8, 0.25
 TOP, CHUNK = 10, 512
 
 
-def search(queries: DataFrame, docs: DataFrame, k: int = TOP, size: int = CHUNK) -> DataFrame:
+def chunk_vectors(docs: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(id, vector) of each document's chunks, several to an id."""
+    return models.embed(chunking.fixed(docs, "doc_id", "text", size), ["doc_id"], "content").select(F.col("doc_id").alias("id"), "vector")
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """Kept indexes of documents (doc_id, text): their chunks' vectors, and their words."""
+
+    vectors: VectorIndex
+    words: TextIndex
+    size: int = CHUNK
+
+    @staticmethod
+    def at(spark: SparkSession, path: str, size: int = CHUNK) -> SearchIndex:
+        return SearchIndex(VectorIndex(spark, f"{path}/vectors"), TextIndex(spark, f"{path}/words", "doc_id"), size)
+
+    def _chunks(self, docs: DataFrame) -> DataFrame:
+        # Blank chunks have zero vectors, which are like nothing but near to everything.
+        return chunk_vectors(docs, self.size).where(F.exists("vector", lambda x: x != 0))
+
+    def create(self, docs: DataFrame, lists: int) -> bool:
+        made = [self.vectors.create(kept(self._chunks(docs)), lists), self.words.create(docs, "text")]
+        return any(made)
+
+    def sync(self, docs: DataFrame) -> None:
+        """Takes in documents that are not there yet, of which alone chunks are cut and embedded, and lets those go that ``docs`` has no more."""
+        held = self.words.documents().select("doc_id")
+        new = kept(docs.select("doc_id").distinct().join(held, "doc_id", "left_anti"))
+        stay = self.vectors.lists("id").distinct().join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+        added = self._chunks(docs.join(new, "doc_id", "left_semi"))
+        self.vectors.sync(kept(added.unionByName(stay.withColumn("vector", F.array().cast("array<double>")))))
+        self.words.sync(docs, "text")
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int = TOP, size: int = CHUNK, index: SearchIndex | None = None) -> DataFrame:
     """(query, doc_id, score, rank): each query's nearest documents by their best chunk, then ordered by BM25.
 
-    Blank documents are dropped after the cut to k, so that fewer may be left. Ties go by id.
+    Blank documents are dropped after the cut to k, so that fewer may be left. Ties go by id. With a kept index no document is read, but for the
+    check for blank ones: neighbours are exact, from the lists that may hold any, and words are counted in the index.
     """
     asked = models.embed(queries.select("query", "query_text"), ["query"], "query_text").select("query", "vector")
-    chunks = models.embed(chunking.fixed(docs, "doc_id", "text", size), ["doc_id"], "content").select(F.col("doc_id").alias("id"), "vector")
-    near = neighbours.nearest(asked, chunks, k, "cosine").select("query", F.col("id").alias("doc_id"))
-    near = near.join(docs.where(F.rlike("text", F.lit("\\S"))).select("doc_id"), "doc_id", "left_semi")
-    scored = models.bm25(near, queries, docs, "doc_id", "query", "query_text", "text")
+    near = index.vectors.nearest_exact(asked, k) if index else neighbours.nearest(asked, chunk_vectors(docs, size), k, "cosine")
+    near = near.select("query", F.col("id").alias("doc_id"))
+    near = kept(near.join(docs.where(F.rlike("text", F.lit("\\S"))).select("doc_id"), "doc_id", "left_semi"))
+    scored = models.bm25(near, queries, docs, "doc_id", "query", "query_text", "text", index.words if index else None)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")))
 
 
@@ -66,12 +110,52 @@ def passages(pairs: DataFrame, queries: DataFrame, chunks: DataFrame, failed: Da
     return out.unionByName(bad.select("query", "doc", empty["id"], empty["section"], empty["score"], empty["position"], "error"))
 
 
+def places_in_text(text: str, passages: list[str]) -> list[int | None]:
+    """Where each passage first stands in a text, in bytes of UTF-8, null where it does not; in one pass over the text for all of them."""
+    automaton = ahocorasick.Automaton()
+    for p in passages:
+        if p:
+            automaton.add_word(p, p)
+    first = {"": 0}
+    if len(automaton):
+        automaton.make_automaton()
+        for end, p in automaton.iter(text):
+            if p not in first:
+                first[p] = end + 1 - len(p)
+                if len(first) > len(automaton):
+                    break
+    # From characters to bytes, also in one pass.
+    at, size, bytes_before = 0, 0, {}
+    for place in sorted(set(first.values())):
+        size += len(text[at:place].encode("utf-8", "surrogatepass"))
+        at, bytes_before[place] = place, size
+    return [bytes_before[first[p]] if p in first else None for p in passages]
+
+
+def first_places(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, id, position) of passages (doc, id, content): where each first stands in its document (doc, text), in bytes; a passage that stands nowhere is left out.
+
+    A document's passages are brought to its text, which is sent and read once for all of them; they are chunks of it, so that together they are about as long.
+    """
+    listed = passages.select("doc", "id", "content").distinct().groupBy("doc").agg(F.collect_list(F.struct("id", "content")).alias("passages"))
+    kind = dict(passages.dtypes)["id"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc, text, own in zip(frame["doc"], frame["text"], frame["passages"], strict=True):
+                places = places_in_text(text or "", [p["content"] for p in own])
+                yield pd.DataFrame([(doc, p["id"], at) for p, at in zip(own, places, strict=True) if at is not None], columns=["doc", "id", "position"])
+
+    rows = listed.join(docs.select("doc", "text"), "doc").select("doc", "text", "passages")
+    return rows.mapInPandas(run, f"doc {dict(docs.dtypes)['doc']}, id {kind}, position bigint")
+
+
 def first_occurrences(found: DataFrame, chunks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
     """(query, doc, id, section) of passages: the section of the place where a passage's text first stands in its document, which may come before its own."""
-    rows = found.where("error is null").select("query", "doc", "id").join(chunks.select("id", "content"), "id").join(docs.select("doc", "text"), "doc")
-    before = F.substr("text", F.lit(1), F.instr("text", F.col("content")) - 1)
-    places = rows.select("doc", F.octet_length(before).cast("bigint").alias("position"), "query", "id")
-    return section_of_positions(places, sections).select("query", "doc", "id", "section")
+    own = found.where("error is null").select("query", "doc", "id")
+    bodies = own.select("doc", "id").distinct().join(chunks.select("id", "content"), "id")
+    placed = section_of_positions(first_places(bodies, docs), sections).select("doc", "id", "section")
+    return own.join(placed, ["doc", "id"]).select("query", "doc", "id", "section")
 
 
 def expanded(found: DataFrame, chunks: DataFrame, docs: DataFrame, sections: DataFrame) -> DataFrame:
@@ -115,6 +199,35 @@ def refine_prompts(found: DataFrame, queries: DataFrame, chunks: DataFrame, summ
     rows = found.where("error is null").join(chunks.select("id", "content"), "id")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("position", "content"))), lambda x: x["content"])
     joined = rows.groupBy("query", "doc").agg(F.array_join(listed, "\n-----\n").alias("passages"))
+    return with_refine_prompt(joined, queries, summaries)
+
+
+#: Fixed: what parts the pieces of a refiner's answer, and what is stripped from their ends.
+PIECES = "-----"
+WHITE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
+def refined(wide: DataFrame, queries: DataFrame, summaries: DataFrame, model: Callable[[str], str]) -> DataFrame:
+    """(query, doc, piece, text, error): what a model makes of the widened sections (query, doc, section, start, end, text) of each query's document.
+
+    Each document's sections, in their order, are one prompt and one call; the answer is cut at ``PIECES``, and blank pieces are left out. A document whose passages have no
+    section is not put to the model: its passages, with a null start, are its pieces, in the order of their texts. A failing call is a row with its error.
+    """
+    placed, bare = wide.where("section is not null"), wide.where("section is null")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"])
+    joined = placed.groupBy("query", "doc").agg(F.array_join(listed, f"\n{PIECES}\n").alias("passages"))
+    asked = with_refine_prompt(joined, queries, summaries)
+    answers = models.generate_with(asked, "prompt", model)
+    cut = F.filter(F.transform(F.split("answer", PIECES), lambda x: F.regexp_replace(x, f"^{WHITE}|{WHITE}$", "")), lambda x: x != "")
+    good = answers.where("error is null").select("query", "doc", F.posexplode(cut).alias("piece", "text"), F.lit(None).cast("string").alias("error"))
+    bad = answers.where("error is not null").select("query", "doc", F.lit(None).cast("int").alias("piece"), F.lit(None).cast("string").alias("text"), "error")
+    order = F.row_number().over(Window.partitionBy("query", "doc").orderBy("text")) - 1
+    same = bare.select("query", "doc", order.alias("piece"), "text", F.lit(None).cast("string").alias("error"))
+    return good.unionByName(bad).unionByName(same)
+
+
+def with_refine_prompt(joined: DataFrame, queries: DataFrame, summaries: DataFrame) -> DataFrame:
+    """(query, doc, prompt) from (query, doc, passages)."""
     asked = joined.join(queries.select("query", "query_text"), "query").join(summaries.select("doc", "summary"), "doc")
     text = F.concat(F.lit("Question: "), "query_text", F.lit("\nWhat the document is about, perhaps: "), "summary", F.lit("\nPassages found in it:\n"), "passages", F.lit("\nGive the parts that answer the question, word for word, with ----- between them.\n"))
     return asked.select("query", "doc", text.alias("prompt"))

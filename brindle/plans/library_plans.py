@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import health, library, models
+from brindle.operators import health, library
+from brindle.operators.text_index import TextIndex
 from brindle.plans.catalog import query
 from brindle.session import scratch_dir
 from brindle.sources import views
@@ -167,7 +168,7 @@ def vector_store(spark: SparkSession, sf_dir: str) -> tuple[Store, dict[str, str
     path = scratch_dir(spark)
     store = Store(spark, f"{path}/store")
     store.commit(views.vectors_with_zeros(spark, sf_dir))
-    models.TextIndex(spark, f"{path}/text", "id").create(store.read("id", "text"), "text")
+    TextIndex(spark, f"{path}/text", "id").create(store.read("id", "text"), "text")
     return store, {"text": f"{path}/text", "vector": f"{path}/vector"}
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions import vectors as V
 from brindle.operators import chunking, health, library, models, neighbours, retrieval
+from brindle.operators.text_index import TextIndex
+from brindle.operators.vector_index import VectorIndex
 from brindle.plans.catalog import query
 from brindle.plans.chunk_plans import BUDGET, SPANS, chunks, found
 from brindle.session import scratch_dir
@@ -69,6 +71,16 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known_hits(spark, sf_dir).select("query", "doc_id", "rank", "score", retrieval.hit_text(F.col("title"), F.col("authors"), F.col("library_key")).alias("hit"))
 
 
+@query("q_search_kept", SEARCH + " SELECT query, doc_id, rank, score FROM hits")
+def search_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents through kept indexes of chunks and words, to which a part of the documents came later."""
+    docs = views.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    index = retrieval.SearchIndex.at(spark, scratch_dir(spark))
+    index.create(docs.where("lang <> 'fr'").select("doc_id", "text"), 64)
+    index.sync(docs.select("doc_id", "text"))
+    return retrieval.search(asked(spark, sf_dir), docs, index=index).select("query", "doc_id", "rank", "score")
+
+
 @query("q_rerank", SEARCH + " SELECT query, doc_id, score, rank FROM hits")
 def rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("query", "doc_id", "score", "rank")
@@ -158,7 +170,7 @@ PAGE_PASSAGES = (
     f"WITH {MARKERS}, {QUERIES}, {PAGE_CHUNKS}"
     + """, alike AS (SELECT query, id, sum(a.weight * c.weight) AS score FROM asked a JOIN chunked c USING (bucket) GROUP BY ALL),
 pairs AS (SELECT query, doc FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(max(score), 9) DESC, doc) AS rn FROM alike JOIN made USING (id) GROUP BY query, doc) WHERE rn <= 10),
-extracted AS (SELECT page_id AS doc, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN 'bad_path' WHEN url LIKE '%.pdf' THEN 'not_html' WHEN html IS NULL OR instr(html, '<body') = 0 THEN 'error' WHEN page_id IN (SELECT doc FROM markers WHERE page_number >= 2) THEN 'too long' ELSE 'ok' END AS error FROM pages),
+extracted AS (SELECT page_id AS doc, CASE WHEN url IS NULL OR instr(url, '://') = 0 THEN 'bad_path' WHEN url LIKE '%.pdf' THEN 'not_html' WHEN html IS NULL OR instr(html, '<body') = 0 THEN 'error' ELSE 'ok' END AS error FROM pages),
 failed AS (SELECT doc, error FROM extracted WHERE error <> 'ok'),
 passages AS (SELECT n.query, n.doc, n.doc AS doc_id, m.id, m.id AS chunk_id, m.section, round(coalesce(c.score, 0), 6) AS score FROM pairs n JOIN made m ON m.doc = n.doc LEFT JOIN alike c ON c.query = n.query AND c.id = m.id WHERE n.doc NOT IN (SELECT doc FROM failed))"""
 )
@@ -186,13 +198,12 @@ class Pages:
 
 
 def asked_pages(spark: SparkSession, sf_dir: str) -> Pages:
-    """The best ten pages of each query by their best chunk. Long pages are taken as failures beside those that extraction reports."""
+    """The best ten pages of each query by their best chunk. Those that extraction reports as failures are failures here."""
     held = kept(chunks(spark, sf_dir).select("doc", "section", (F.col("doc") * MADE + F.col("chunk_id")).alias("id"), "content"))
     own = asked(spark, sf_dir)
     near = neighbours.nearest(models.embed(own, ["query"], "query_text"), models.embed(held, ["doc"], "content").select(F.col("doc").alias("id"), "vector"), retrieval.TOP, "cosine")
     status = library.extracted(views.read(spark, sf_dir, "pages"), "page_id", "url", "html").select(F.col("page_id").alias("doc"), "status")
-    long = views.markers(spark, sf_dir).where("page_number >= 2").select("doc").distinct().withColumn("long", F.lit("too long"))
-    failed = status.join(long, "doc", "left").select("doc", F.when(F.col("status") != "ok", F.col("status")).otherwise(F.col("long")).alias("error")).where("error is not null")
+    failed = status.where("status <> 'ok'").select("doc", F.col("status").alias("error"))
     return Pages(own, held, kept(near.select("query", F.col("id").alias("doc"))), kept(failed))
 
 
@@ -257,6 +268,26 @@ def refine_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query", "doc", F.md5("prompt").alias("prompt_md5"))
 
 
+def quoting(prompt: str) -> str:
+    """The default refiner: it gives back the passages of its prompt."""
+    return prompt.split("\nPassages found in it:\n", 1)[1].rsplit("\nGive the parts that answer", 1)[0]
+
+
+@query(
+    "q_refine_answers",
+    MEANT + f""", bodies_of AS (SELECT m.query, m.doc, m.section, decode(unhex(substr(hex(encode(text)), CAST(2 * s.byte_index + 1 AS BIGINT), CAST(2 * (s.end_byte - s.byte_index) AS BIGINT)))) AS body FROM meant m JOIN spans s ON s.doc = m.doc AND s.section = m.section JOIN paged p ON p.doc = m.doc),
+answers AS (SELECT query, doc, string_split(string_agg(body, chr(10) || '-----' || chr(10) ORDER BY section), '-----') AS pieces FROM bodies_of GROUP BY ALL),
+stripped AS (SELECT query, doc, list_filter(list_transform(pieces, lambda x: regexp_replace(x, '^{retrieval.WHITE}|{retrieval.WHITE}$', '', 'g')), lambda x: x <> '') AS pieces FROM answers)
+SELECT query, doc, CAST(piece AS INTEGER) AS piece, md5(pieces[CAST(piece + 1 AS BIGINT)]) AS text_md5 FROM (SELECT *, unnest(range(len(pieces))) AS piece FROM stripped)""",
+)
+def refine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widened sections put to a refiner, and its answers cut to pieces."""
+    pages = asked_pages(spark, sf_dir)
+    wide = retrieval.expanded(kept(pages.passages()), pages.chunks, views.paged(spark, sf_dir), kept(found(spark, sf_dir)))
+    summaries = views.paged(spark, sf_dir).select("doc", F.substring("text", 1, 200).alias("summary"))
+    return retrieval.refined(wide, pages.asked, summaries, quoting).select("query", "doc", "piece", F.md5("text").alias("text_md5"))
+
+
 @query("q_embed", f"WITH {LIB}, {embedding('e', 'lib', 'library_key', 'text')} SELECT library_key, bucket, n, round(weight, 6) AS weight FROM e")
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.sparse_embeddings(views.library(spark, sf_dir), ["library_key"], "text").select("library_key", "bucket", "n", F.round("weight", 6).alias("weight"))
@@ -270,12 +301,39 @@ def embed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_bm25_index", f"WITH flat AS (SELECT doc_id, unnest({words('text')}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM flat GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf) AS most FROM p GROUP BY 1")
 def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A kept text index; making it again does nothing."""
-    index = models.TextIndex(spark, scratch_dir(spark), "doc_id")
+    """A kept text index; making it again does nothing. What is asked for is in the blocks' heads."""
+    index = TextIndex(spark, scratch_dir(spark), "doc_id")
     docs = views.read(spark, sf_dir, "documents")
     if not index.create(docs, "text") or index.create(docs, "text"):
         raise RuntimeError("the index is made once")
-    return index.postings().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"), F.max("tf").alias("most"))
+    return index.rows().where("term is not null").groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("tf"), F.max("most").alias("most"))
+
+
+#: The ten best documents of each query by BM25 over a table ``held`` of documents.
+BEST = f"""terms AS (SELECT DISTINCT item_id AS query, unnest({words('text')}) AS term FROM benchmark),
+flat AS (SELECT doc_id, unnest({words('text')}) AS term FROM held), lengths AS (SELECT doc_id, len({words('text')}) AS length FROM held),
+postings AS (SELECT term, doc_id, count(*) AS tf FROM flat WHERE term IN (SELECT term FROM terms) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+totals AS (SELECT count(*) AS n_docs, avg(length) AS avg_length FROM lengths),
+sums AS (SELECT query, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / avg_length))), 6) AS score FROM terms JOIN postings p USING (term) JOIN df USING (term) JOIN lengths l USING (doc_id), totals GROUP BY ALL)
+SELECT query, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM sums) WHERE rank <= 10"""
+
+
+@query("q_bm25_search", f"WITH held AS (SELECT * FROM documents), {BEST}")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of all by the kept index, which skips blocks that cannot matter."""
+    index = TextIndex(spark, scratch_dir(spark), "doc_id")
+    index.create(views.read(spark, sf_dir, "documents"), "text")
+    return index.search(asked(spark, sf_dir), retrieval.TOP)
+
+
+@query("q_bm25_updated", f"WITH held AS (SELECT * FROM documents WHERE lang <> 'de'), {BEST}")
+def bm25_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like q_bm25_search, over an index of English and German texts to which the others were added and from which the German ones went."""
+    index = TextIndex(spark, scratch_dir(spark), "doc_id")
+    docs = views.read(spark, sf_dir, "documents")
+    index.create(docs.where("lang in ('en', 'de')"), "text")
+    index.sync(docs.where("lang <> 'de'"), "text")
+    return index.search(asked(spark, sf_dir), retrieval.TOP)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,9 +377,9 @@ def knn_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTS, PROBES = 16, 14
 
 
-def vector_index(spark: SparkSession, sf_dir: str) -> neighbours.VectorIndex:
+def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """A kept index of all vectors; making it again does nothing."""
-    index = neighbours.VectorIndex(spark, scratch_dir(spark))
+    index = VectorIndex(spark, scratch_dir(spark))
     if not index.create(vectors(spark, sf_dir), LISTS) or index.create(vectors(spark, sf_dir), LISTS):
         raise RuntimeError("the index is made once")
     return index
@@ -334,21 +392,53 @@ def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EXACT = KNN % "-(list_inner_product(q.e, q.e) + list_inner_product(v.e, v.e) - 2 * list_inner_product(q.e, v.e))"
+TEN = " SELECT query, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10"
 
 
-@query("q_knn_ivf_all", EXACT + " SELECT query, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10")
+@query("q_knn_ivf_all", EXACT + TEN)
 def knn_ivf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through the index with all lists probed: the exact neighbours."""
     return vector_index(spark, sf_dir).nearest(some_vectors(spark, sf_dir), 10, LISTS).select("query", "id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("q_knn_recall", "SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE vec_id % 20 = 0")
+@query("q_knn_pruned", EXACT + TEN)
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact neighbours from those lists alone whose radius lets them hold any."""
+    return vector_index(spark, sf_dir).nearest_exact(some_vectors(spark, sf_dir), 10).select("query", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("q_knn_updated", EXACT.replace("FROM v q JOIN v ON", "FROM v q JOIN (SELECT * FROM v WHERE id % 20 <> 7) v ON") + TEN)
+def knn_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of four fifths of the vectors, to which the rest came and from which a twentieth went: all lists find what is there now."""
+    index, own = VectorIndex(spark, scratch_dir(spark)), vectors(spark, sf_dir)
+    index.create(own.where("id % 5 <> 2"), LISTS)
+    index.sync(own.where("id % 20 <> 7"))
+    return index.nearest(some_vectors(spark, sf_dir), 10, LISTS).select("query", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("q_knn_unsynced", EXACT + TEN)
+def knn_unsynced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of four fifths of the vectors; the others are searched beside its lists."""
+    index, own = VectorIndex(spark, scratch_dir(spark)), vectors(spark, sf_dir)
+    index.create(own.where("id % 5 <> 2"), LISTS)
+    return index.nearest(some_vectors(spark, sf_dir), 10, LISTS, corpus=own).select("query", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("q_knn_codes")
+def knn_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours by codes of all lists, the best of which are compared by their vectors."""
+    return vector_index(spark, sf_dir).nearest_by_codes(some_vectors(spark, sf_dir), 10, LISTS).select("query", "id", "rank")
+
+
+@query("q_knn_recall", "SELECT count(*) AS n_queries, true AS lists_suffice, true AS codes_suffice FROM embeddings WHERE vec_id % 20 = 0")
 def knn_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the index finds nine in ten of the exact neighbours of all queries."""
-    exact = neighbours.nearest(some_vectors(spark, sf_dir), vectors(spark, sf_dir), 10).select("query", "id")
-    close = vector_index(spark, sf_dir).nearest(some_vectors(spark, sf_dir), 10, PROBES).select("query", "id", F.lit(1).alias("hit"))
-    both = exact.join(close, ["query", "id"], "left").agg(F.countDistinct("query").alias("n_queries"), F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    return both.select("n_queries", (F.col("recall") >= 0.9).alias("recall_reached"))
+    """Whether fewer lists, and codes, find nine in ten of the exact neighbours of all queries."""
+    own, index = some_vectors(spark, sf_dir), vector_index(spark, sf_dir)
+    exact = neighbours.nearest(own, vectors(spark, sf_dir), 10).select("query", "id")
+    hits = {name: found.select("query", "id", F.lit(1).alias(name)) for name, found in (("lists", index.nearest(own, 10, PROBES)), ("codes", index.nearest_by_codes(own, 10, LISTS)))}
+    both = exact.join(hits["lists"], ["query", "id"], "left").join(hits["codes"], ["query", "id"], "left")
+    reached = [(F.avg(F.coalesce(name, F.lit(0))) >= 0.9).alias(f"{name}_suffice") for name in hits]
+    return both.agg(F.countDistinct("query").alias("n_queries"), *reached)
 
 
 @query("q_topk", "SELECT user_id, event_id, rn AS rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events) WHERE rn <= 3")
@@ -380,7 +470,7 @@ def doc_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents through the stream, into a store."""
     path = scratch_dir(spark)
-    store = Store(spark, f"{path}/store")
+    store = Store(spark, f"{path}/store", keyed_by="doc_id")
     docs = views.read(spark, sf_dir, "documents").select("doc_id", "text")
     docs.write.parquet(f"{path}/source")
     stream_ingest(spark, store, f"{path}/source", docs.schema, f"{path}/checkpoint")

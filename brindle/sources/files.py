@@ -17,6 +17,15 @@ def present(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def children(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders under a folder whose names are a prefix and a number, ascending; none where there is no such folder."""
+    files, where = place(spark, path)
+    if not files.exists(where):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(where)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, where = place(spark, path)
     files.delete(where, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.operators import chunking, library, models
+from brindle.operators import chunking, models
 from brindle.sources.store import Store
 
 
@@ -18,11 +18,12 @@ def prepared(docs: DataFrame, size: int) -> DataFrame:
 
 
 def ingest(store: Store, docs: DataFrame, size: int) -> int:
-    """Inserts the chunks of documents that the store lacks, as one more folder of it. Doing it again changes nothing."""
-    first = library.keep_first(docs, "doc_id", "text")
-    if store.exists():
-        first = first.join(store.read("doc_id").distinct(), "doc_id", "left_anti")
-    return store.insert(prepared(first, size), "chunk_key", "content")
+    """Inserts the chunks of documents that the store lacks, as one more folder of it. Doing it again changes nothing: a document's chunks are there all or none.
+
+    Of a store keyed by doc_id only the partitions are read that the documents fall in. Many small folders are made one now and then.
+    """
+    version = store.insert(docs, "doc_id", "text", lambda new: prepared(new, size))
+    return max(version, store.compact())
 
 
 def stream_ingest(spark: SparkSession, store: Store, source: str, schema, checkpoint: str, size: int = 512) -> None:

@@ -3,17 +3,27 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
+import random
+import re
 import shutil
+import signal
 import time
+import uuid
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import batches, chunking, health, history, library, models, neighbours, retrieval, sections, usage
+from brindle.operators import batches, chunking, health, history, library, models, neighbours, retrieval, sections, text_index, usage, vector_index
+from brindle.operators.text_index import TextIndex
+from brindle.operators.vector_index import VectorIndex
 from brindle.sources import batch_files
 from brindle.sources.store import Conflict, Store, replay, stage
+from brindle.streaming import ingest
 from brindle.streaming.ingest import stream_ingest
 
 
@@ -156,11 +166,11 @@ def test_report_of_broken_stores(spark, tmp_path):
     assert rows(health.doctor(broken), "symptom") == [("the table cannot be read",)]
 
 
-def test_kept_indexes(spark, tmp_path):
+def test_kept_text_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "")], "id long, text string")
-    index = models.TextIndex(spark, str(tmp_path / "text"), "id")
+    index = TextIndex(spark, str(tmp_path / "text"), "id")
     assert index.create(docs, "text") and not index.create(docs.limit(0), "text")
-    assert rows(index.postings(), "term", "id", "tf") == [("blue", 2, 1), ("fish", 1, 1), ("fish", 2, 2), ("red", 1, 1)]
+    assert rows(index.postings(), "term", "id", "tf", "length") == [("blue", 2, 1, 3), ("fish", 1, 1, 2), ("fish", 2, 2, 3), ("red", 1, 1, 2)]
     assert rows(index.postings(spark.createDataFrame([("fish",), ("none",)], "term string")), "id") == [(1,), (2,)]
     queries = spark.createDataFrame([(7, "Fish? red")], "query long, query_text string")
     pairs = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "query long, id long")
@@ -168,6 +178,55 @@ def test_kept_indexes(spark, tmp_path):
     assert rows(models.bm25(pairs, queries, docs, "id", "query", "query_text", "text", index)) == plain and plain[0][2] > plain[1][2] > plain[2][2] == 0
 
 
+def plain_bm25(texts: dict[int, str], queries: list[tuple[int, str]], k: int) -> list[tuple]:
+    """The best k of all documents, counted plainly."""
+    cut = {i: re.findall("[a-z0-9]+", t.lower()) for i, t in texts.items()}
+    average, out = sum(map(len, cut.values())) / len(cut), []
+    df = Counter(w for ws in cut.values() for w in set(ws))
+    for q, text in queries:
+        scores = []
+        for i, ws in cut.items():
+            own = [t for t in set(re.findall("[a-z0-9]+", text.lower())) if t in ws]
+            if own:
+                gains = (math.log(1 + (len(cut) - df[t] + 0.5) / (df[t] + 0.5)) * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / average)) for t in own)
+                scores.append((-round(sum(gains), 6), i))
+        out += [(q, i, rank) for rank, (_, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
+
+
+def test_text_index_skips_blocks_and_sees_what_changes(spark, tmp_path, monkeypatch):
+    """As plain BM25 over all documents, and after a fifth was added and a twentieth went, and again; most blocks of rare words beside frequent ones are skipped."""
+    monkeypatch.setattr(text_index, "RANGE", 8)
+    rng = random.Random(5)
+    made = lambda: " ".join(["the"] * rng.randrange(1, 4) + [f"w{int(rng.paretovariate(0.4)) % 5000}" for _ in range(rng.randrange(3, 40))])
+    texts = {i: made() for i in range(1000)}
+    queries = [(q, " ".join(["The", *texts[q * 37].split()[4:9]])) for q in range(12)] + [(90, "nowhere"), (91, ""), (92, "the")]
+    asked = spark.createDataFrame(queries, "query long, query_text string")
+    frame = lambda held: spark.createDataFrame(sorted(held.items()), "id long, text string").repartition(3)
+    index = TextIndex(spark, str(tmp_path / "index"), "id")
+    index._add(frame({i: t for i, t in texts.items() if i < 800}).select("id", "text"), "text", 0)
+    for held in (dict(list(texts.items())[:800]), {i: t for i, t in texts.items() if i % 20 != 3}, {i: t for i, t in texts.items() if i % 20 != 7}):
+        index.sync(frame(held), "text")
+        found = index.search(asked, 10, seeds=6)
+        assert sorted(rows(found, "query", "id", "rank")) == plain_bm25(held, queries, 10)
+        assert index.sync(frame(held), "text") == (0, 0)
+        assert index.totals().first()["n_docs"] == len(held)
+    found, report = index.search(asked, 1, seeds=2, with_report=True)
+    assert sorted(rows(found, "query", "id")) == sorted(r[:2] for r in plain_bm25(held, queries, 1))
+    of = {r["query"]: r.asDict() for r in report.collect()}
+    assert sum(r["blocks_read"] for q, r in of.items() if q < 90) < 0.5 * sum(r["blocks"] for q, r in of.items() if q < 90)
+
+
+def test_blocks_are_short_and_in_parts(spark, tmp_path):
+    """A word of every document is a block for each range, in several folders."""
+    index = TextIndex(spark, str(tmp_path / "index"), "id")
+    index.create(spark.range(5000).selectExpr("id", "concat('every ', cast(id as string)) as text").repartition(2), "text")
+    word = spark.createDataFrame([("every",)], "term string")
+    held = index.rows(word).select("n", "part").collect()
+    assert sum(r["n"] for r in held) == 5000 and max(r["n"] for r in held) <= text_index.RANGE and len({r["part"] for r in held}) > 1
+    assert index.frequencies(word).first()["df"] == 5000
+
+
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
 def test_few_and_many_queries_find_the_same(spark, metric):
     rng = np.random.default_rng(3)
@@ -219,6 +278,53 @@ def test_passages_and_their_sections(spark):
     assert "red fish swim\n-----\nred fish swim" in prompt[10] and "about" in prompt[20] and 30 not in prompt
 
 
+def test_places_in_text():
+    text = "é" * 5 + "abcab🎉 abc" + "x" * 10
+    assert retrieval.places_in_text(text, ["abc", "bcab", "🎉", "ab", "", "none", "é", "abc"]) == [10, 11, 15, 10, 0, None, 0, 10]
+    assert retrieval.places_in_text("", ["a"]) == [None] and retrieval.places_in_text("a", []) == []
+
+
+def test_many_passages_take_one_pass(spark):
+    """A text of two megabytes and a thousand passages: time is that of one pass, not of a thousand."""
+    body = " ".join(f"word{i % 9973}" for i in range(250_000))
+    cut = [body[i : i + 2000] for i in range(0, len(body), 2000)]
+    start = time.time()
+    places = retrieval.places_in_text(body, cut)
+    assert places == [body.find(c) for c in cut] and time.time() - start < 20
+    docs = spark.createDataFrame([(1, "one two one"), (2, None)], "doc long, text string")
+    found = spark.createDataFrame([(1, 7, "one"), (1, 8, "two"), (1, 9, "none"), (2, 6, "x")], "doc long, id long, content string")
+    assert rows(retrieval.first_places(found, docs), "doc", "id", "position") == [(1, 7, 0), (1, 8, 4)]
+
+
+def test_passages_of_long_pages(spark, sf_dir):
+    """Pages of several thousand bytes are taken apart like others, and have passages from far on."""
+    from brindle.plans import retrieval_plans as plans
+    from brindle.sources import views
+
+    pages = plans.asked_pages(spark, sf_dir)
+    long = {r["doc"] for r in views.markers(spark, sf_dir).where("page_number >= 2").select("doc").distinct().collect()}
+    found = pages.passages().collect()
+    assert {(r["query"], r["doc"]) for r in found} == {(r["query"], r["doc"]) for r in pages.pairs.collect()}
+    assert sum(r["doc"] in long and r["error"] is None for r in found) > 20
+
+
+def test_refined_sections(spark):
+    """One call a document; the answer is cut at its marks; without a section the passages stay, and a failing call is its row."""
+    wide = spark.createDataFrame([(1, 10, 2, 5, 9, "second"), (1, 10, 0, 0, 5, "first "), (1, 20, None, None, None, "bare"), (1, 20, None, None, None, "also"), (2, 30, 0, 0, 1, "fails")], "query long, doc long, section int, start long, end long, text string")
+    queries = spark.createDataFrame([(1, "what"), (2, "why")], "query long, query_text string")
+    summaries = spark.createDataFrame([(10, "about"), (20, "more"), (30, "less")], "doc long, summary string")
+
+    def model(prompt: str) -> str:
+        if "fails" in prompt:
+            raise RuntimeError("refused")
+        assert prompt.index("first \n-----\nsecond") > prompt.index("about")
+        return " one\n-----\n \u00a0 -----two-----"
+
+    found = retrieval.refined(wide, queries, summaries, model)
+    assert rows(found.where("error is null"), "query", "doc", "piece", "text") == [(1, 10, 0, "one"), (1, 10, 1, "two"), (1, 20, 0, "also"), (1, 20, 1, "bare")]
+    assert rows(found.where("error is not null"), "query", "doc", "error") == [(2, 30, "RuntimeError: refused")]
+
+
 def test_histories(spark):
     said = [(1, 0, '[{"Text": "hi"}, {"ToolCallRequest": {"id": "a", "tool_name": "find", "args": "x"}}]'), (1, 1, '[{"ToolCallRequest": {"id": "b", "tool_name": "get", "args": "y"}}]'), (1, 2, '[{"ToolCallResponse": {"id": "a", "tool_name": "find", "result": "z"}}]'), (1, 3, "broken")]
     items = history.contents(spark.createDataFrame(said, "c long, turn long, content string"), ["c", "turn"], "content")
@@ -308,6 +414,58 @@ def test_embedding_model_errors(spark):
     assert found == {1: ([4.0, 1.0], "ok"), 2: ([0.0, 0.0], "rejected: bad text"), 3: ([0.0, 0.0], "blank"), 4: ([0.0, 0.0], "blank")}
 
 
+def test_calls_under_way_are_bounded_and_rows_keep_their_order(spark, tmp_path):
+    """A provider that answers late calls first: several at once, never more than allowed; rows come in order; rejected batches, blanks and counts."""
+    docs = spark.createDataFrame([(i, None if i % 50 == 3 else "bad" if i == 77 else f"text {i}") for i in range(200)], "id long, text string").coalesce(1)
+
+    def model(texts):
+        number = uuid.uuid4().hex
+        (tmp_path / f"{number}.begun").write_text("")
+        at_once = len(list(tmp_path.glob("*.begun")))
+        (tmp_path / f"{number}.seen").write_text(str(at_once))
+        time.sleep(random.random() * 0.05)
+        (tmp_path / f"{number}.begun").unlink()
+        if "bad" in texts:
+            raise ValueError("no such text")
+        return [[float(t.split()[1])] for t in texts]
+
+    found = models.embed_with(docs, "text", model, 1, batch=3, in_flight=4, tasks=1)
+    kept_rows = found.collect()
+    full = [r for r in kept_rows if r["status"] != "blank"]
+    seen = [int(p.read_text()) for p in tmp_path.glob("*.seen")]
+    assert 2 <= max(seen) <= 4 and len(seen) == 66
+    bad = [r["id"] for r in full if r["status"].startswith("rejected")]
+    assert len(bad) == 3 and 77 in bad and all(r["vector"] == [0.0 if r["id"] in bad else float(r["id"])] for r in full)
+    # Rows of one task keep their order.
+    ids = [r["id"] for r in full]
+    plain = [r["id"] for r in docs.where("text is not null").repartition(1).collect()]
+    assert ids == plain
+    assert models.embedding_report(spark.createDataFrame(kept_rows, found.schema)).first().asDict() == {"n_embedded": 193, "n_failed": 3, "n_blank": 4, "errors": ["rejected: no such text"]}
+
+
+def test_a_rate_is_shared_by_tasks(spark, tmp_path):
+    """Twelve calls at 240 a minute take two and a half seconds or more, by one task or by three."""
+    docs = spark.range(12).selectExpr("id", "cast(id as string) as text")
+
+    def model(texts):
+        (tmp_path / uuid.uuid4().hex).write_text(str(time.time()))
+        return [[1.0]] * len(texts)
+
+    for tasks in (1, 3):
+        assert models.embed_with(docs, "text", model, 1, batch=1, in_flight=2, tasks=tasks, per_minute=240).count() == 12
+        at = sorted(float(p.read_text()) for p in tmp_path.iterdir())[-12:]
+        assert at[-1] - at[0] >= 2.0
+    with pytest.raises(ValueError, match="share"):
+        models.embed_with(docs, "text", model, 1, per_minute=5)
+    assert models.embed_by(docs, "text", model, 1, "cohere").count() == 12
+
+
+def test_an_answer_of_another_length_fails(spark):
+    docs = spark.createDataFrame([(1, "a")], "id long, text string")
+    with pytest.raises(Exception, match="another number or length"):
+        models.embed_with(docs, "text", lambda texts: [[1.0]], 2).collect()
+
+
 def test_reranker_and_generator(spark):
     rows_ = spark.createDataFrame([(1, "q", 10, "a"), (1, "q", 11, "b")], "query long, query_text string, key long, text string")
     out = models.rerank_with(rows_, "query", lambda q, texts: [1, 7, 0], "key", "query long, key long, rank long")
@@ -348,6 +506,30 @@ def test_stream_is_like_one_batch(spark, tmp_path):
     assert store.read("chunk_key").distinct().count() == n
 
 
+def test_a_micro_batch_reads_the_partitions_of_its_keys(spark, tmp_path):
+    """A hundred documents in, then twenty single ones: each reads the keys of one partition of 64; the rows are those of one insert; folders are made one in between."""
+    docs = spark.range(120).selectExpr("id as doc_id", "repeat(concat('word', cast(id as string), ' '), 200) as text")
+    store = Store(spark, str(tmp_path / "keyed"), keyed_by="doc_id")
+    ingest.ingest(store, docs.where("doc_id < 100"), 512)
+    for i in range(100, 120):
+        one = docs.where(F.col("doc_id") == i)
+        held = store.held(one, "doc_id")
+        # Pruned before any file is opened: the filter is one of partitions, of one bucket.
+        assert re.search(r"PartitionFilters: \[[^]]*_bucket#[0-9]+ = [0-9]+", held._jdf.queryExecution().executedPlan().toString())
+        assert len({re.search("_bucket=([0-9]+)", r[0])[1] for r in held.select(F.input_file_name()).collect()}) <= 1 and held.count() < 40
+        ingest.ingest(store, one, 512)
+        ingest.ingest(store, one, 512)
+        store.compact(8)
+    assert len(store.last()[1]) < 20
+    plain = Store(spark, str(tmp_path / "plain"))
+    ingest.ingest(plain, docs, 512)
+    assert rows(store.read("doc_id", "chunk_key", "content")) == rows(plain.read("doc_id", "chunk_key", "content")) and "_bucket" not in store.read().columns
+    store.delete(docs.where("doc_id >= 10").select("doc_id"), "doc_id")
+    assert {r["doc_id"] for r in store.read("doc_id").collect()} == set(range(10))
+    ingest.ingest(store, docs.where("doc_id < 20"), 512)
+    assert {r["doc_id"] for r in store.read("doc_id").collect()} == set(range(20))
+
+
 def test_extractor_errors(spark):
     files = spark.createDataFrame([(1, "a.PDF", b"good"), (2, "b.pdf", b"bad"), (3, "c.txt", b"x"), (4, None, b"x"), (5, "d.pdf", None)], "id long, path string, content binary")
 
@@ -359,3 +541,96 @@ def test_extractor_errors(spark):
     found = library.extract_with(files, "path", "content", extractor)
     assert rows(found, "id", "status", "text", "error") == [(1, "ok", "GOOD", None), (2, "error", None, "ValueError: no text"), (3, "wrong_type", None, None), (4, "bad_path", None, None), (5, "bad_path", None, None)]
     assert rows(library.ingest_report(found)) == [("bad_path", 2), ("error", 1), ("ok", 1), ("wrong_type", 1)]
+
+
+def test_extractors_that_die_or_hang(spark, tmp_path):
+    """Each takes its own row with it and no other: the process ends, is killed, does not answer, or takes too much memory."""
+    for i in range(12):
+        (tmp_path / f"{i}.pdf").write_bytes({3: b"exit", 5: b"kill", 7: b"hang", 9: b"grow"}.get(i, b"text %d" % i))
+    (tmp_path / "other.txt").write_bytes(b"exit")
+
+    def extractor(data):
+        if data == b"exit":
+            os._exit(7)
+        if data == b"kill":
+            os.kill(os.getpid(), signal.SIGKILL)
+        if data == b"hang":
+            time.sleep(600)
+        if data == b"grow":
+            return "x" * (1 << 36)
+        return data.decode()
+
+    files = library.raw_files(spark, str(tmp_path)).coalesce(2)
+    start = time.time()
+    found = {r["path"].rsplit("/", 1)[1]: (r["status"], r["text"], r["error"]) for r in library.extract_with(files, "path", "content", extractor, seconds=3, most_mb=8000).collect()}
+    assert time.time() - start < 60 and len(found) == 13
+    assert found["3.pdf"] == ("crash", None, "the process ended with 7") and found["5.pdf"] == ("crash", None, "the process ended with -9")
+    assert found["7.pdf"] == ("crash", None, "no answer within 3 seconds") and found["9.pdf"][0] == "error" and "MemoryError" in found["9.pdf"][2]
+    assert found["other.txt"][0] == "wrong_type" and all(found[f"{i}.pdf"] == ("ok", f"text {i}", None) for i in range(12) if i not in (3, 5, 7, 9))
+    assert library.raw_files(spark, str(tmp_path), "*.txt").count() == 1
+
+
+def grouped(n: int, groups: int, width: int = 24, seed: int = 0) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(groups, width))[rng.integers(groups, size=n)] * 4 + rng.normal(size=(n, width)) * 0.3
+
+
+def of_vectors(spark, ids, vectors, name: str = "id"):
+    return spark.createDataFrame([(int(i), [float(x) for x in vectors[i]]) for i in ids], f"{name} long, vector array<double>").repartition(3)
+
+
+def test_vector_index_follows_its_corpus(spark, tmp_path):
+    """A fifth is added and a twentieth goes, twice: all lists are exact, fewer find nine in ten, nothing that went is found, and what no list has yet is searched beside them."""
+    vectors = grouped(1200, 12)
+    near = lambda found: {(r["query"], r["rank"], r["id"]) for r in found.collect()}
+    own = of_vectors(spark, range(0, 1200, 40), vectors, "query")
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    assert index.create(of_vectors(spark, range(800), vectors), 8) and not index.create(own.withColumnRenamed("query", "id"), 3)
+    for ids in (range(800), [i for i in range(960) if i % 20 != 3], [i for i in range(1200) if i % 20 != 7]):
+        corpus = of_vectors(spark, ids, vectors)
+        exact = near(neighbours.nearest(own, corpus, 10))
+        if ids[-1] > 800:
+            # Not in the index yet, but found; what went may still be found until the index is told.
+            with_tail = index.nearest(own, 10, 8, corpus=corpus).where(F.col("id").isin(list(ids)))
+            assert {r["id"] for r in with_tail.collect() if r["id"] >= 960} or ids[-1] < 960
+        index.sync(corpus)
+        assert index.sync(corpus) == (0, 0) and index.lists().count() == len(ids)
+        assert near(index.nearest(own, 10, 8)) == exact
+        assert near(index.nearest_exact(own, 10)) == exact
+        few, coded = near(index.nearest(own, 10, 3)), near(index.nearest_by_codes(own, 10, 3))
+        wanted = {(q, i) for q, _, i in exact}
+        assert len({(q, i) for q, _, i in few} & wanted) >= 0.9 * len(wanted) and len({(q, i) for q, _, i in coded} & wanted) >= 0.9 * len(wanted)
+    assert len(index.segments()) == 3 and index.compact() == 3 and len(index.segments()) == 1
+    assert near(index.nearest(own, 10, 8)) == exact and index.lists().count() == len(ids)
+    index.sync(of_vectors(spark, ids[:500], vectors))
+    assert near(index.nearest_exact(own, 10)) == near(neighbours.nearest(own, of_vectors(spark, ids[:500], vectors), 10))
+
+
+def test_exact_search_reads_few_lists_of_grouped_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_index, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(vector_index, "VECTOR_BLOCK", 50)
+    vectors = grouped(3000, 30)
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    index.create(of_vectors(spark, range(3000), vectors), 30)
+    own = of_vectors(spark, range(0, 3000, 50), vectors, "query")
+    found, report = index.nearest_exact(own, 10, with_report=True)
+    assert rows(found, "query", "rank", "id") == rows(neighbours.nearest(own, of_vectors(spark, range(3000), vectors), 10), "query", "rank", "id")
+    read = report.agg(F.sum("vectors_read").alias("read"), F.sum("vectors").alias("all")).first()
+    assert read["all"] == 60 * 3000 and read["read"] < 0.25 * read["all"]
+    coded = {(r["query"], r["id"]) for r in index.nearest_by_codes(own, 10, 30).collect()}
+    assert len(coded & {(r["query"], r["id"]) for r in found.collect()}) >= 0.9 * 600
+
+
+def test_odd_vectors_in_an_index(spark, tmp_path):
+    """Equal vectors, fewer than lists or neighbours asked for, null elements that read as 0, and nothing at all."""
+    index = VectorIndex(spark, str(tmp_path / "index"))
+    with pytest.raises(ValueError, match="no vectors"):
+        index.create(spark.createDataFrame([], "id long, vector array<double>"), 2)
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [None, 2.0])], "id long, vector array<double>")
+    assert index.create(corpus, 2)
+    own = spark.createDataFrame([(9, [1.0, 0.0])], "query long, vector array<double>")
+    for found in (index.nearest(own, 5, 2), index.nearest_exact(own, 5), index.nearest_by_codes(own, 5, 2)):
+        assert rows(found, "id", "rank", "score") == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, -5.0)]
+        assert index.nearest(own.limit(0), 5, 2).count() == 0
+    index.sync(corpus.limit(0))
+    assert index.nearest(own, 5, 2).count() == 0 and index.sync(corpus) == (3, 0) and index.nearest_exact(own, 5).count() == 3
