@@ -267,8 +267,10 @@ def embedding_near_dedup(vectors: DataFrame, id_column: str = "vec_id", vector:
     Two vectors of one length link if their cosine, in double precision, is at least ``cosine``. Vectors that are null, empty, zero,
     or hold null or non-finite components link with nothing and are kept. Equal vectors are compared once and counted as often as
     they occur; a repeated row is another vector. ``component_id`` is the least id over links; a null id is nobody's component
-    and is not kept. Other columns are not read; an empty table gives no row.
+    and is not kept. ``cosine`` is above 0 and below 1; equal vectors alone link at 1, which is no join. Other columns are not read; an empty table gives no row.
     """
+    if not 0 < cosine < 1:
+        raise ValueError("the least cosine is between 0 and 1")
     epsilon = math.sqrt(2 - 2 * cosine)
     sound = F.col("vector").isNotNull() & F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.coalesce(F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector).alias("vector")).withColumn("sound", F.coalesce(sound, F.lit(False)))

@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     train = labels.where(F.col("toxic").isNotNull() & F.col(id_column).isNotNull() & (fold(id_column) != 0)).groupBy(id_column).agg(F.max("toxic").alias("toxic"))
     # The share that keeps the sample near its bound is even over ids, whatever their order.
     share = min(1.0, sample_rows / max(1, train.count()))
-    chosen = train.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(id_column).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = train.where(F.pmod(F.xxhash64(id_column), F.lit(1 << 53)).cast("double") < share * (1 << 53)).select(F.col(id_column).alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     # At most sample_rows ids, but for chance: small enough to broadcast.
     rows = written(docs.join(F.broadcast(chosen), F.col(id_column) == F.col("_id")).select(fold(id_column).alias("fold"), "toxic", F.coalesce(F.col(text), F.lit("")).alias("text")))
     classes = {r["toxic"] for r in rows.select("toxic").distinct().collect()}

@@ -1,8 +1,9 @@
 """URL filters (operator 7), with DataFrame functions only.
 
 A short policy of host and path rules decides first. Where none fits, a URL is blocked if its canonical form is
-listed: a blocked Bloom filter of the list, small enough to broadcast by its own size limit, passes the few possible
-hits, and an exact join with the list removes those that are false.
+listed: a blocked Bloom filter of the list passes the few possible hits, and an exact join with the list removes those that are
+false. The filter grows with the list, so that its rate of false hits does not. Up to ``MOST_BLOCKS`` it is broadcast; a larger one is dealt out
+by block, and the pages' keys meet their blocks there.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 
 from brindle.llm.shared import written
 
-#: The filter's blocks are 8 words of 64 bits, one bit set in each; at most this many, which is 4.7 MB with block
-#: numbers. A longer list than fits them well only lets more rows through to the exact join.
-MOST_BLOCKS, LANES, KEYS_PER_BLOCK = 65_536, 8, 32
+#: The filter's blocks are 8 words of 64 bits, one bit set in each. So many are broadcast, which is 38 MB with block numbers and serves 16 million addresses.
+MOST_BLOCKS, LANES, KEYS_PER_BLOCK = 524_288, 8, 32
 MOST_RULES = 1_000
 
 
@@ -69,24 +69,25 @@ def lane_bits(key: Column) -> list[Column]:
 
 
 def bloom_filter(listed: DataFrame, column: str, blocks: int) -> DataFrame:
-    """(block, lane_0 .. lane_7): at most ``blocks`` rows, whatever the list."""
+    """(block, lane_0 .. lane_7): at most ``blocks`` rows."""
     bits = lane_bits(F.col(column))
     keys = listed.select(block_of(F.col(column), blocks).alias("block"), *(b.alias(f"lane_{i}") for i, b in enumerate(bits)))
     return keys.groupBy("block").agg(*(F.bit_or(f"lane_{i}").alias(f"lane_{i}") for i in range(LANES)))
 
 
-def possible_hits(rows: DataFrame, column: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """Adds ``_possible``: false only for keys that are surely not listed (null keys are not)."""
+def possible_hits(rows: DataFrame, column: str, bloom: DataFrame, blocks: int, most: int) -> DataFrame:
+    """Adds ``_possible``: false only for keys that are surely not listed (null keys are not). A filter of more than ``most`` blocks is not broadcast; a block that many rows ask for is split by Spark."""
     bits = lane_bits(F.col(column))
     passed = F.lit(True)
     for i, b in enumerate(bits):
         passed = passed & (F.col(f"lane_{i}").bitwiseAND(b) == b)
-    out = rows.withColumn("_block", block_of(F.col(column), blocks)).join(F.broadcast(bloom), F.col("_block") == F.col("block"), "left")
+    held = F.broadcast(bloom) if blocks <= most else bloom
+    out = rows.withColumn("_block", block_of(F.col(column), blocks)).join(held, F.col("_block") == F.col("block"), "left")
     return out.withColumn("_possible", F.coalesce(passed, F.lit(False))).drop("block", "_block", *(f"lane_{i}" for i in range(LANES)))
 
 
-def url_filter(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", id_column: str = "page_id") -> DataFrame:
-    """(id, host, path, rule, verdict) of each page; ``listed`` has canonical URLs in ``canonical``.
+def url_filter(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "url", id_column: str = "page_id", most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(id, host, path, rule, verdict) of each page; ``listed`` has canonical URLs in ``canonical``. More than ``MOST_RULES`` rules are an error: each is an expression.
 
     A null URL or one without :// has empty host and path and no rule, and is allowed: '' is never listed.
     Repeated rows and null ids stay; the list may repeat itself or hold nulls; other columns of ``pages`` are not read. Empty
@@ -94,13 +95,13 @@ def url_filter(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str
     """
     listed = written(listed.where("canonical is not null and canonical <> ''").select("canonical").distinct())
     blocks, keys = 1, listed.count()
-    while blocks < MOST_BLOCKS and blocks * KEYS_PER_BLOCK < keys:
+    while blocks * KEYS_PER_BLOCK < keys:
         blocks *= 2
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(id_column), host.alias("host"), path.alias("path"))
     name, action = matching_rule(rules, F.col("host"), F.col("path"))
     rows = rows.withColumns({"rule": name, "_action": action, "_key": canonical(F.col("host"), F.col("path"))})
-    rows = possible_hits(rows, "_key", bloom_filter(listed, "canonical", blocks), blocks)
+    rows = possible_hits(rows, "_key", bloom_filter(listed, "canonical", blocks), blocks, most_blocks)
     ruled = F.col("rule").isNotNull() | ~F.col("_possible")
     settled = rows.where(ruled).select(id_column, "host", "path", "rule", F.coalesce("_action", F.lit("allow")).alias("verdict"))
     # The same URL may stand in many rows: the join's skew is split by Spark, its right side has each key once.

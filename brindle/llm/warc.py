@@ -198,9 +198,11 @@ def read_warc(spark: SparkSession, files: DataFrame, payloads: bool = False) ->
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Archives (page_id, url, html) rows and reads the archives back: see ``read_warc``.
 
-    A null html is an empty payload, a null URL leaves out the header, a null page id comes back as null; a record of it is the response of equal
+    Page ids are whole numbers; others are an error. A null html is an empty payload, a null URL leaves out the header, a null page id comes back as null; a record of it is the response of equal
     payloads only if all of them have no id. Rows that repeat the largest page id of equal payloads are all responses.
     Other columns are not read; an empty table gives no record.
     """
     spark = pages.sparkSession
+    if dict(pages.dtypes)["page_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("page ids are whole numbers")
     return read_warc(spark, write_warc(pages, path or scratch_dir(spark)))

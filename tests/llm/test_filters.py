@@ -278,9 +278,32 @@ def test_bloom_filter_never_misses(spark):
     for blocks in (1, 64, 1024):
         bloom = url_filter.bloom_filter(listed, "canonical", blocks)
         assert bloom.count() <= blocks
-        assert url_filter.possible_hits(listed, "canonical", bloom, blocks).where("not _possible").count() == 0
+        for most in (1024, 0):
+            assert url_filter.possible_hits(listed, "canonical", bloom, blocks, most).where("not _possible").count() == 0
     other = spark.range(5000).selectExpr("concat('z', id) as canonical")
-    assert url_filter.possible_hits(other, "canonical", bloom, 1024).where("_possible").count() < 100
+    assert url_filter.possible_hits(other, "canonical", bloom, 1024, 0).where("_possible").count() < 100
+
+
+def test_op7_filter_grows_with_its_list(spark):
+    """As many false hits for each size of list, and the same verdicts where the filter is dealt out as where it is broadcast."""
+    others = spark.range(100_000).selectExpr("concat('other', id) as canonical")
+    for n in (4000, 64_000):
+        blocks = 1
+        while blocks * url_filter.KEYS_PER_BLOCK < n:
+            blocks *= 2
+        bloom = url_filter.bloom_filter(spark.range(n).selectExpr("concat('k', id) as canonical"), "canonical", blocks)
+        assert url_filter.possible_hits(others, "canonical", bloom, blocks, 0).where("_possible").count() < 300
+    pages = spark.range(20_000).selectExpr("id as page_id", "concat('https://h', cast(id % 3000 as string), '.net/p') as url")
+    listed = spark.range(2000).selectExpr("concat('h', cast(id as string), '.net/p') as canonical")
+    found = [sorted(url_filter.url_filter(pages, [], listed, most_blocks=m).collect()) for m in (1024, 1)]
+    assert found[0] == found[1] and sum(r["verdict"] == "block" for r in found[0]) == sum(i % 3000 < 2000 for i in range(20_000))
+    with pytest.raises(ValueError, match="rules"):
+        url_filter.url_filter(pages, [url_filter.Rule("allow", f"h{i}.net/") for i in range(url_filter.MOST_RULES + 1)], listed)
+
+
+def test_op9_takes_whole_numbers(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        warc.archive_pages(spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string"))
 
 
 def test_op9(spark, tmp_path):

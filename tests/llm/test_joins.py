@@ -242,3 +242,10 @@ def test_op5_odd_vectors(spark):
     want = [(i, 0, i, True) for i in (0, 1, 2, 3, 4, 5, 8)] + [(6, 4, 6, True), (7, 4, 6, False), (7, 4, 6, False), (9, 4, 6, False), (None, 4, 6, False)]
     assert got == sorted(want, key=repr)
     assert embedding_join.embedding_near_dedup(frame.limit(0)).count() == 0
+
+
+def test_op5_range_of_cosine(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    for cosine in (0.0, 1.0, 1.5):
+        with pytest.raises(ValueError, match="cosine"):
+            embedding_join.embedding_near_dedup(vectors, cosine=cosine)
