@@ -10,7 +10,7 @@ from brindle.operators import health, library
 from brindle.operators.text_index import TextIndex
 from brindle.plans.catalog import query
 from brindle.session import scratch_dir
-from brindle.sources import views
+from brindle.sources import library_files, views
 from brindle.sources.store import Store, replay, stage
 from brindle.sources.views import LIB, STORE, VECTORS
 
@@ -48,6 +48,14 @@ def library_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.items(attribute_tables(spark, sf_dir), TYPES)
 
 
+@query("q_library_files", FOUND + " SELECT * FROM found")
+def library_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items, out of library files that tasks wrote; the filters of field and type are SQLite's."""
+    path = scratch_dir(spark) + "/library"
+    library_files.write_library(attribute_tables(spark, sf_dir), path)
+    return library.items(library_files.library_tables(spark, path)[0], TYPES)
+
+
 @query("q_distinct_items", f"WITH {LIB} SELECT DISTINCT title, lang, source FROM lib")
 def distinct_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.library(spark, sf_dir).select("title", "lang", "source").distinct()

@@ -121,3 +121,35 @@ def history_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = history.contents(histories(spark, sf_dir), ["conv_id", "turn"], "content")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("at", "kind"))), lambda x: x["kind"])
     return items.groupBy("conv_id", "turn").agg(F.count("*").alias("n_items"), F.array_join(listed, ",").alias("kinds"))
+
+
+def valued_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, content): calls with nested arguments, responses that are a list, a number or null by their turn, and beside each response an item that is none."""
+    call = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    args = F.struct(F.col("text").alias("query"), F.struct(F.col("turn").alias("limit"), F.array(F.struct(F.col("role").alias("by"), F.char_length("text").alias("n"))).alias("filters")).alias("how"))
+    asks = history.item("ToolCallRequest", id=call(F.col("turn")), tool_name=F.lit("search"), args=args)
+    result = F.when(F.pmod("turn", F.lit(3)) == 0, F.to_json(F.array("text"))).when(F.pmod("turn", F.lit(3)) == 1, F.char_length("text").cast("string")).otherwise("null")
+    says = F.concat(F.lit('{"ToolCallResponse": {"id": "'), call(F.col("turn") - 1), F.lit('", "tool_name": "search", "result": '), result, F.lit("}}"))
+    items = F.when(F.col("role") == "user", F.array(asks)).when(F.col("role") == "assistant", F.array(F.lit('{"ToolCallResponse": 5}'), says)).otherwise(F.array(F.to_json(F.struct(F.col("text").alias("Text")))))
+    return views.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")).alias("content"))
+
+
+@query(
+    "q_tool_values",
+    """WITH calls AS (SELECT conv_id, turn, text, role FROM conversations WHERE role = 'user'), answers AS (SELECT conv_id, turn - 1 AS turn, text, turn % 3 AS t FROM conversations WHERE role = 'assistant')
+  SELECT c.conv_id, 'call-' || CAST(c.turn AS VARCHAR) AS id, md5(c.text) AS query_md5, c.turn AS "limit", c.role AS "by", CAST(length(c.text) AS BIGINT) AS n,
+    CASE WHEN t = 0 THEN md5(a.text) END AS first_md5, CASE WHEN t = 1 THEN CAST(length(a.text) AS BIGINT) END AS number FROM calls c LEFT JOIN answers a USING (conv_id, turn)""",
+)
+def tool_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested arguments and mixed results, taken out of values."""
+    items = history.values(valued_histories(spark, sf_dir), ["conv_id", "turn"], "content")
+    get = lambda column, path, kind: F.try_variant_get(column, path, kind)
+    return history.value_pairs(items, "conv_id").select(
+        "conv_id", "id", F.md5(get("args", "$.query", "string")).alias("query_md5"), get("args", "$.how.limit", "bigint").alias("limit"), get("args", "$.how.filters[0].by", "string").alias("by"), get("args", "$.how.filters[0].n", "bigint").alias("n"),
+        F.md5(get("result", "$[0]", "string")).alias("first_md5"), get("result", "$", "bigint").alias("number"),
+    )
+
+
+@query("q_unreadable_items", """SELECT conv_id, turn, 0 AS "at", '{"ToolCallResponse":5}' AS unreadable FROM conversations WHERE role = 'assistant'""")
+def unreadable_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.values(valued_histories(spark, sf_dir), ["conv_id", "turn"], "content").where("unreadable is not null").select("conv_id", "turn", "at", "unreadable")

@@ -9,6 +9,7 @@ import random
 import re
 import shutil
 import signal
+import sqlite3
 import time
 import uuid
 from collections import Counter
@@ -21,7 +22,7 @@ from brindle.functions import text as T
 from brindle.operators import batches, chunking, health, history, library, models, neighbours, retrieval, sections, text_index, usage, vector_index
 from brindle.operators.text_index import TextIndex
 from brindle.operators.vector_index import VectorIndex
-from brindle.sources import batch_files
+from brindle.sources import batch_files, library_files
 from brindle.sources.store import Conflict, Store, replay, stage
 from brindle.streaming import ingest
 from brindle.streaming.ingest import stream_ingest
@@ -332,6 +333,22 @@ def test_histories(spark):
     assert rows(history.tool_pairs(items, "c"), "id", "tool_name", "request", "response") == [("a", "find", "x", "z"), ("b", "get", "y", None)]
 
 
+def test_values_of_tools(spark):
+    """Any JSON is a value; what is no item is kept apart, one by one."""
+    good = '{"ToolCallRequest": {"id": "a", "tool_name": "find", "args": {"deep": [1, {"x": "y"}]}}}'
+    said = [(0, f'[{{"Text": "hi"}}, {good}, 7, {{"Text": 5}}, {{"Other": "x"}}, {{"ToolCallRequest": {{"id": 1, "tool_name": "f", "args": 2}}}}, {{"Text": "a", "Other": 1}}]')]
+    said += [(1, '[{"ToolCallResponse": {"id": "a", "tool_name": "find", "result": null}}, {"ToolCallResponse": {"id": "b", "tool_name": "find"}}]'), (2, "broken ["), (3, '{"Text": "no array"}'), (4, None), (5, "[]"), (6, "[null]")]
+    items = history.values(spark.createDataFrame(said, "turn long, content string").withColumn("c", F.lit(1)), ["c", "turn"], "content")
+    found = {(r["turn"], r["at"]): (r["kind"], r["text"], r["v"], r["unreadable"] is not None) for r in items.withColumn("v", F.to_json("value")).collect()}
+    assert found == {
+        (0, 0): ("Text", "hi", None, False), (0, 1): ("ToolCallRequest", None, '{"deep":[1,{"x":"y"}]}', False), **{(0, k): (None, None, None, True) for k in range(2, 7)},
+        (1, 0): ("ToolCallResponse", None, "null", False), (1, 1): (None, None, None, True), (2, None): (None, None, None, True), (3, None): (None, None, None, True), (6, 0): (None, None, None, True),
+    }
+    pair = history.value_pairs(items, "c").select("id", F.try_variant_get("args", "$.deep[1].x", "string").alias("x"), F.is_variant_null("result").alias("none")).collect()
+    assert [tuple(r) for r in pair] == [("a", "y", True)]
+    assert {(r["kind"], r["n"]) for r in history.value_schemas(items).collect()} == {("ToolCallRequest", 1), ("ToolCallResponse", 1)}
+
+
 def test_conversations_are_saved_each_under_a_name(spark, tmp_path):
     messages = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c")], "conv_id long, turn long, role string, text string")
     for day in ("2024-01-01", "2024-01-02"):
@@ -340,6 +357,33 @@ def test_conversations_are_saved_each_under_a_name(spark, tmp_path):
     assert rows(batch_files.conversations(spark, str(tmp_path / "saved")).groupBy("conv_id").count()) == [(1, 2), (2, 2)]
 
 
+def test_library_files(spark, tmp_path):
+    """Read in ranges of row ids, filtered by SQLite, with what cannot be read as rows."""
+    folder = tmp_path / "library"
+    rows_of = {"items": spark.range(1000).selectExpr("id as itemID", "concat('K', id) as key", "id % 3 as itemTypeID").repartition(2), "fields": spark.createDataFrame([(1, "title"), (2, None)], "fieldID int, fieldName string").coalesce(1)}
+    assert library_files.write_library(rows_of, f"file://{folder}") == 3 == len(list(folder.iterdir()))
+    (folder / "damaged.sqlite").write_bytes(b"no such thing" * 100)
+    sqlite3.connect(folder / "other.sqlite").execute("CREATE TABLE elsewhere (x)")
+    odd = sqlite3.connect(folder / "odd.sqlite")
+    odd.execute("CREATE TABLE items (itemID, key, itemTypeID)")
+    odd.executemany("INSERT INTO items VALUES (?, ?, ?)", [(5000, "good", 1), ("text", "bad", 1), (5001, None, None)])
+    odd.commit()
+    library_files.register(spark)
+    read = spark.read.format("library_files").option("table", "items").option("partRows", 100).load(str(folder))
+    assert read.rdd.getNumPartitions() >= 10
+    good = read.where("_error is null").drop("_file", "_error")
+    assert rows(good) == rows(rows_of["items"].unionByName(spark.createDataFrame([(5000, "good", 1), (5001, None, None)], "itemID long, key string, itemTypeID long")))
+    failed = {(r["_file"].rsplit("/", 1)[1], r["_error"].split(":")[0]) for r in read.where("_error is not null").collect()}
+    assert failed == {("damaged.sqlite", "DatabaseError"), ("other.sqlite", "OperationalError"), ("odd.sqlite", "ArrowInvalid")}
+    some = good.where("itemID >= 10 and itemID < 20 and key is not null and itemTypeID in (0, 2) and key like 'K%' and length(key) = 3")
+    assert rows(some, "itemID") == [(i,) for i in range(10, 20) if i % 3 != 1]
+    # What is left to Spark: neither comparisons nor membership.
+    left = re.search(r"Filter \((.*)\)\n", some._jdf.queryExecution().executedPlan().toString())[1]
+    assert "itemID" not in left and "itemTypeID" not in left and "StartsWith" in left
+    tables, errors = library_files.library_tables(spark, str(folder))
+    assert rows(tables["fields"]) == [(1, "title"), (2, None)] and errors.where("table = 'items'").count() == 3
+
+
 def test_authors_of_some_items(spark):
     creators = spark.createDataFrame([(1, 2, "B", "b"), (1, 1, "A", "a"), (2, 1, "C", None)], "item long, place int, last_name string, first_name string")
     assert rows(library.authors(creators)) == [(1, ["A, a", "B, b"]), (2, ["C"])]
