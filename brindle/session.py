@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -22,6 +22,12 @@ def prepare(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = ":".join(p for p in [ROOT, *paths] if p)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan of fewer parts than the cluster has cores, dealt to all of these; others as they are. A file of one row group is one task otherwise, whatever is done with its texts."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the folder that the cluster shares, as spark.checkpoint.dir has it.
 

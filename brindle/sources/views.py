@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import spread
+
+#: Tables of texts, which take long a row.
+TEXTS = ("documents", "pages")
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
