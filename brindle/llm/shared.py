@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.session import prepare, scratch_dir
+from brindle.session import prepare, scratch_dir, spread
 
 __all__ = ["components", "prepare", "scratch_dir", "table", "written"]
 
@@ -19,7 +19,8 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in ("documents", "pages") else rows
 
 
 def components(edges: DataFrame) -> DataFrame:
