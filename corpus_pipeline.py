@@ -17,6 +17,10 @@ from brindle.llm.shared import prepare, table, written
 from brindle.llm.toxicity import toxicity
 
 
+#: Documents that go, of which ids and marks alone are broadcast, 24 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
 def whole(docs: DataFrame) -> Column:
     """A document's columns as one, so that none has a name that an operator uses."""
     return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
@@ -35,17 +39,21 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group stays, once; rows without an id, or a word, are in no group.
 
-    A document is an id with a text, so that of an id with several texts those stay that are no copies.
+    A document is an id with a text, so that of an id with several texts those stay that are no copies. Repeated rows stay once; those without an id all stay.
     """
     prepare(spark)
-    found = ngram_jaccard_join(docs.select("doc_id", "text"), with_groups=True)
-    least = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("m")).select("m.doc_id", "m.mark")
-    stay = least.unionByName(found.where("group is null and doc_id is not null").select("doc_id", "mark"))
+    found = written(ngram_jaccard_join(docs.select("doc_id", "text"), with_groups=True).select("doc_id", "mark", "group"))
+    least = found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "mark")).alias("m"), F.count("*").alias("members")).where("members > 1").drop("members")
+    own = found.where("doc_id is not null").groupBy("doc_id", "mark").agg(F.first("group").alias("group"), F.count("*").alias("n"))
+    judged = own.join(least, "group", "left").withColumn("goes", F.coalesce(F.struct("doc_id", "mark") != F.col("m"), F.lit(False)))
+    # What goes, and what stays once of several rows: the rest is left alone.
+    marked = written(judged.where("goes or n > 1").select("doc_id", "mark", "goes"))
+    few = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), whole(docs))
-    named = rows.where("doc_id is not null").join(stay, ["doc_id", "mark"], "left_semi")
+    alone = rows.join(few, ["doc_id", "mark"], "left_anti").select("row.*")
     again = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("doc_id"))
-    once = named.withColumn("n", again).where("n = 1").select("row.*")
-    return once.unionByName(docs.where("doc_id is null"))
+    once = rows.join(few.where("not goes"), ["doc_id", "mark"], "left_semi").withColumn("n", again).where("n = 1").select("row.*")
+    return alone.unionByName(once)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
