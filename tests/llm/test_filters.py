@@ -400,8 +400,10 @@ def test_kept_columns_may_not_have_the_names_of_results(spark):
     assert toxicity.toxicity(docs, labels, keep=("kept", "text", "doc_id")).first().asDict() == {"doc_id": 1, "kept": 8.5, "text": "text", "held_out": toxicity.toxicity(docs, labels).first()["held_out"], "score": 0.0, "predicted": 0}
 
 
-def test_one_of_group_keeps_other_texts_of_an_id(spark):
-    """A copy under an id does not take that id's other text with it, and one row of each group stays."""
+@pytest.mark.parametrize("most", [1000, 0])
+def test_one_of_group_keeps_other_texts_of_an_id(spark, monkeypatch, most):
+    """A copy under an id does not take that id's other text with it, and one row of each group stays, whether what goes is broadcast or not."""
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_ROWS", most)
     rng = random.Random(11)
     a, b, c = (words(rng, 100) for _ in range(3))
     near = lambda w: " ".join([*w[:50], "new", *w[51:]])
