@@ -96,12 +96,10 @@ def op10_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with periodic texts among them, as the contract of operator 11 has it: where 10 divides crc32 of the id, the words from a on are the next p words again and again."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    h = F.crc32(F.col("doc_id").cast("string"))
-    rows = docs.where(F.pmod(h, F.lit(10)) == 0).select("doc_id", words.alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w")).where("n > 0")
-    rows = rows.selectExpr("doc_id", "w", "n", "g", "CAST(g % n AS INT) AS a").selectExpr("doc_id", "w", "n", "a", "CAST(1 + (n - a) div (3 + g % 8) AS INT) AS p")
-    text = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)), ' ')")
-    others = docs.where((F.pmod(h, F.lit(10)) == 0).eqNullSafe(False) | h.isNull() | (F.size(words) == 0))
-    return rows.select("doc_id", text.alias("text")).unionByName(others.select("doc_id", "text"))
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h")).select("doc_id", "text", F.when(F.pmod("h", F.lit(10)) == 0, words).alias("w"), F.floor(F.col("h") / 10).alias("g"))
+    rows = rows.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.expr("CAST(g % greatest(n, 1) AS INT)")).withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    turned = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), CAST(ceil((n - a) / p) AS INT))), 1, n - a)), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, turned).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
