@@ -17,13 +17,15 @@ def items(tables: dict[str, DataFrame], types: list[str], field: str = "title",
 
     ``tables``: items(itemID, key, itemTypeID), itemData(itemID, fieldID, valueID), fields(fieldID, fieldName), itemDataValues(valueID, value),
     itemTypes(itemTypeID, typeName), itemAttachments(itemID, parentItemID, path, contentType). Items without an attachment of the type are left out.
+
+    Fields and types are broadcast. The other tables grow with the library, and compress so well that a file's size says little of what a task would hold of them: they are sorted and merged.
     """
     i, d, f, v = tables["items"], tables["itemData"], tables["fields"], tables["itemDataValues"]
     files = tables["itemAttachments"].where(F.col("contentType") == content_type).select(F.col("itemID").alias("fileID"), F.col("parentItemID").alias("itemID"), "path")
     file_keys = i.select(F.col("itemID").alias("fileID"), F.col("key").alias("file_key"))
-    named = d.join(f.where(F.col("fieldName") == field), "fieldID").join(v, "valueID").select("itemID", "value")
-    own = i.join(tables["itemTypes"].where(F.col("typeName").isin(*types)), "itemTypeID").select("itemID", "key")
-    return own.join(named, "itemID").join(files, "itemID").join(file_keys, "fileID").select("key", "value", "path", "file_key").distinct()
+    named = d.join(F.broadcast(f.where(F.col("fieldName") == field)), "fieldID").join(v.hint("merge"), "valueID").select("itemID", "value")
+    own = i.join(F.broadcast(tables["itemTypes"].where(F.col("typeName").isin(*types))), "itemTypeID").select("itemID", "key")
+    return own.join(named.hint("merge"), "itemID").join(files.hint("merge"), "itemID").join(file_keys.hint("merge"), "fileID").select("key", "value", "path", "file_key").distinct()
 
 
 def page(rows: DataFrame, key: str, limit: int | None = None, offset: int = 0) -> DataFrame:

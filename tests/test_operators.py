@@ -61,6 +61,15 @@ def test_sections_of_positions(spark):
     assert rows(sections.section_of_positions(asked, found)) == [(1, 0, 0), (1, 10, 0), (1, 19, 0), (1, 20, 1), (1, 99, 1)]
 
 
+def test_attribute_tables_are_not_broadcast(spark, sf_dir):
+    """But for fields and types: files of the others are small and their rows many."""
+    from brindle.plans import library_plans
+
+    found = library.items(library_plans.attribute_tables(spark, sf_dir), library_plans.TYPES)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 4
+
+
 def test_keep_first_and_removed(spark):
     items = spark.createDataFrame([("id1", "unique_a", 1), ("id2", "dup", 2), ("id3", "unique_b", 3), ("id4", "dup", 4)], "id string, title string, n int")
     assert rows(library.drop_duplicates_by_key(items, "title", "id", "n"), "id") == [("id1",), ("id2",), ("id3",)]
