@@ -11,11 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
+#: Bytes of a batch of rows on its way to a Python worker, about.
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package also where the driver was started elsewhere.
+    """Lets Python workers import this package also where the driver was started elsewhere, and bounds the batches that they get.
 
-    On a cluster the package comes with the job, as by --py-files.
+    On a cluster the package comes with the job, as by --py-files. A batch is bounded in bytes, since 10,000 rows of texts are much more than as many of numbers; smaller bounds that are set stay.
     """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:

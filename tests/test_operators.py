@@ -15,6 +15,7 @@ import uuid
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +260,17 @@ def test_embedding_counts_words(spark):
     assert np.isclose(np.linalg.norm(found[4]), 1) and models.embed(docs.limit(0), ["id"], "text").count() == 0
 
 
+def test_what_an_embedding_task_holds_is_bounded(spark, monkeypatch):
+    """Batches on their way to Python are bounded in bytes, and words that are counted at once in number."""
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    held = spark.range(0, 8000, 1, 1).selectExpr("split(repeat('word ', 800), ' ') as words").mapInArrow(sizes, "n long")
+    assert held.agg(F.max("n")).first()[0] < 12 << 20
+    monkeypatch.setattr(models, "WORDS", 10)
+    lists = pa.array([["a"] * n for n in (4, 5, 2, 30, 0, 9)] + [None], pa.list_(pa.string()))
+    parts = list(models.slices_of_words(pa.RecordBatch.from_arrays([lists], ["words"]), 0))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 3] and pa.concat_arrays([p.column(0) for p in parts]) == lists
+
+
 def test_pieces_take_time_in_proportion(spark):
     text = "añ🎉b\n" * 100_000
     docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc long, text string")
