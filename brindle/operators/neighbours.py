@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
-#: Scores that a task holds at once: 2 million are 16 MB, with what is made of them some 100.
-SCORES = 2_000_000
+#: Scores that a task holds at once: 2 million are 16 MB, with what is made of them some 100. Where blocks meet, fewer: 2 MB, with what is made of them some 10.
+SCORES, BLOCK_SCORES = 2_000_000, 250_000
 #: Queries that are broadcast: with 1,000 dimensions, 20 MB.
 FEW_QUERIES = 2500
 
@@ -32,6 +32,25 @@ def scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
     return -np.round((queries**2).sum(axis=1)[:, None] + (vectors**2).sum(axis=1)[None, :] - 2 * queries @ vectors.T, 9)
 
 
+def best_of_block(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str) -> list[np.ndarray]:
+    """[query, id, score] of the best k ids of each query, equals by id; few scores are held at once."""
+    order = np.argsort(ids, kind="stable")
+    vectors = vectors[order]
+    own, starts = np.unique(ids[order], return_index=True)
+    few, out = min(k, len(own)), []
+    step = max(1, BLOCK_SCORES // len(vectors))
+    for at in range(0, len(names), step):
+        far = -np.maximum.reduceat(scores(queries[at : at + step], vectors, metric), starts, axis=1)
+        last = np.partition(far, few - 1, axis=1)[:, few - 1 : few]
+        # What is no number comes last, as the sort has it.
+        row, place = np.nonzero(~(far > last))
+        value = far[row, place]
+        top = np.lexsort((place, value, row))
+        top = top[np.arange(len(row)) - np.searchsorted(row, row) < few]
+        out.append((names[at + row[top]], own[place[top]], -value[top]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
 def best_of_blocks(rows: DataFrame, k: int, metric: str) -> DataFrame:
     """(query, id, score) of the best k ids of each query in each pair of blocks.
 
@@ -46,17 +65,8 @@ def best_of_blocks(rows: DataFrame, k: int, metric: str) -> DataFrame:
         queries, order = np.flatnonzero(asked), np.flatnonzero(~asked)
         if not len(queries) or not len(order):
             return None
-        order = order[np.argsort(ids[order], kind="stable")]
-        own, starts = np.unique(ids[order], return_index=True)
-        few, out = min(k, len(own)), []
-        step = max(1, SCORES // len(order))
-        for at in range(0, len(queries), step):
-            some = queries[at : at + step]
-            best = np.maximum.reduceat(scores(vectors[some], vectors[order], metric), starts, axis=1)
-            # Ids ascend, so that a stable sort breaks ties by id.
-            top = np.argsort(-best, axis=1, kind="stable")[:, :few]
-            out.append((np.repeat(ids[some], few), own[top].ravel(), np.take_along_axis(best, top, axis=1).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "id", "score"])
+        found = best_of_block(ids[queries], vectors[queries], ids[order], vectors[order], k, metric)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query", "id", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -36,6 +35,14 @@ SAMPLE_ROWS, PARTS, TYPICAL = 50_000, 16, 256
 RESCORED, FILE_ROWS, LITERALS = 10, 500_000, 2_000
 #: How far bounds may be off by rounding.
 SLACK = 1e-6
+#: Distances that a task holds at once.
+CELLS = 250_000
+
+
+def nearest_value(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The number of the nearest value of each row; a strip of rows meets all values at a time."""
+    square, step = (values**2).sum(axis=1), max(1, CELLS // len(values))
+    return np.concatenate([np.zeros(0, np.int64), *((square - 2 * rows[at : at + step] @ values.T).argmin(axis=1) for at in range(0, len(rows), step))])
 
 
 def typical_values(rows: np.ndarray, n: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -47,7 +54,7 @@ def typical_values(rows: np.ndarray, n: int, seed: int, rounds: int = 12) -> np.
     rng = np.random.default_rng(seed)
     values = distinct[rng.choice(len(distinct), n, replace=False)]
     for _ in range(rounds):
-        place = ((values**2).sum(axis=1)[None, :] - 2 * rows @ values.T).argmin(axis=1)
+        place = nearest_value(rows, values)
         size = np.bincount(place, minlength=n)
         sums = np.stack([np.bincount(place, weights=c, minlength=n) for c in rows.T], axis=1)
         values = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], values)
@@ -73,10 +80,9 @@ class Fitted:
 
     def placed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list, distance to its centre, code) of each vector."""
-        square = (vectors**2).sum(axis=1)[:, None] + (self.centres**2).sum(axis=1)[None, :] - 2 * vectors @ self.centres.T
-        lists = square.argmin(axis=1)
+        lists = nearest_value(vectors, self.centres)
         rest = vectors - self.centres[lists]
-        codes = np.stack([((b**2).sum(axis=1)[None, :] - 2 * rest[:, x:y] @ b.T).argmin(axis=1) for (x, y), b in zip(self.runs, self.books, strict=True)], axis=1)
+        codes = np.stack([nearest_value(rest[:, x:y], b) for (x, y), b in zip(self.runs, self.books, strict=True)], axis=1)
         return lists, np.sqrt((rest**2).sum(axis=1)), codes.astype(np.uint8)
 
 
@@ -153,19 +159,20 @@ class VectorIndex:
             for batch in batches:
                 vectors = matrix(batch.column(0), batch.num_rows)
                 own = shared.value.centres
-                rest = vectors - own[((own**2).sum(axis=1)[None, :] - 2 * vectors @ own.T).argmin(axis=1)]
+                rest = vectors - own[nearest_value(vectors, own)]
                 for p, (a, b) in enumerate(runs):
                     offsets = pa.array(np.arange(len(rest) + 1) * (b - a), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rest), p, np.int32)), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(rest[:, a:b]).ravel()))], ["part", "value"])
 
-        def book(frame: pd.DataFrame) -> pd.DataFrame:
-            part = int(frame["part"].iloc[0])
-            values = typical_values(np.array(frame["value"].tolist()), TYPICAL, seed + part)
-            return pd.DataFrame({"part": part, "number": range(len(values)), "value": values.tolist()})
+        def book(group: pa.Table) -> pa.Table:
+            part = group["part"][0].as_py()
+            values = typical_values(matrix(group["value"].combine_chunks(), len(group)), TYPICAL, seed + part)
+            number = np.arange(len(values), dtype=np.int32)
+            return pa.table({"part": np.full_like(number, part), "number": number, "value": pa.array(values.tolist(), pa.list_(pa.float64()))})
 
         # One run of the bounded sample a group.
         schema = "part int, number int, value array<double>"
-        books = sample.select("vector").mapInArrow(rests, "part int, value array<double>").groupBy("part").applyInPandas(book, schema)
+        books = sample.select("vector").mapInArrow(rests, "part int, value array<double>").groupBy("part").applyInArrow(book, schema)
         middle = self.spark.createDataFrame([(-1, i, [float(x) for x in c]) for i, c in enumerate(centres)], schema)
         middle.unionByName(books).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fitted")
         self._add(rows, 0)

@@ -11,6 +11,7 @@ import shutil
 import signal
 import sqlite3
 import time
+import tracemalloc
 import uuid
 from collections import Counter
 
@@ -700,6 +701,37 @@ def test_exact_search_reads_few_lists_of_grouped_vectors(spark, tmp_path, monkey
     assert len(coded & {(r["query"], r["id"]) for r in found.collect()}) >= 0.9 * 600
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_what_a_vector_task_holds_is_bounded(metric):
+    """Fitting typical values, putting vectors into lists and a full pair of blocks take a few MB beside their input, and find what a plain sort does."""
+    rng = np.random.default_rng(5)
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            return run(), tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    values, mb = peak(lambda: vector_index.typical_values(rng.normal(size=(50_000, 4)), 256, 1, rounds=2))
+    assert values.shape == (256, 4) and mb < 40
+    vectors = rng.normal(size=(8192, 64))
+    fitted = vector_index.Fitted(vectors[:16], [vectors[:256, a:b] for a, b in vector_index.cut(64, 16)])
+    (lists, gaps, _), mb = peak(lambda: fitted.placed(vectors))
+    assert np.array_equal(gaps, np.linalg.norm(vectors - fitted.centres[lists], axis=1)) and mb < 25
+    assert (gaps[:500] <= np.linalg.norm(vectors[:500, None] - fitted.centres, axis=2).min(axis=1) + 1e-9).all()
+    vectors[rng.choice(8192, 2000)] = vectors[0]
+    queries, ids = np.concatenate([vectors[:3], rng.normal(size=(1021, 64))]), rng.permutation(8192)
+    (name, found, score), mb = peak(lambda: neighbours.best_of_block(np.arange(1024) + 7, queries, ids, vectors, 10, metric))
+    assert mb < 40 and np.array_equal(name, np.repeat(np.arange(1024) + 7, 10))
+    order = np.argsort(ids)
+    for q in (0, 1, 2, 3, 500, 1023):
+        all_ = neighbours.scores(queries[q : q + 1], vectors[order], metric)[0]
+        top = np.argsort(-all_, kind="stable")[:10]
+        mine = slice(10 * q, 10 * q + 10)
+        assert found[mine].tolist() == top.tolist() and np.allclose(score[mine], all_[top], atol=2e-9)
+
+
 def test_odd_vectors_in_an_index(spark, tmp_path):
     """Equal vectors, fewer than lists or neighbours asked for, null elements that read as 0, and nothing at all."""
     index = VectorIndex(spark, str(tmp_path / "index"))
