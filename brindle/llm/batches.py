@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Rows and bytes of text that a task works on at once; a longer text is a slice of its own.
 SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+#: Bytes of batches whose slices are looked up together, about.
+RUN_BYTES = 16 << 20
 #: Bytes that an entry of a cache takes beside its key and value, about, and the longest key that is kept.
 ENTRY_BYTES, LONGEST_KEY = 180, 256
 
@@ -27,6 +29,20 @@ def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE_ROWS, most: int
         start, done = stop, int(ends[stop - 1])
 
 
+def runs_of_slices(batches: Iterable[pa.RecordBatch], column: int, most: int = RUN_BYTES) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of consecutive batches, in lists of about ``most`` bytes of rows, so that what is done once for many slices is done less often."""
+    run, held = [], 0
+    for batch in batches:
+        for part in slices(batch, column):
+            run.append(part)
+            held += part.nbytes
+            if held >= most:
+                yield run
+                run, held = [], 0
+    if run:
+        yield run
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null as empty."""
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]

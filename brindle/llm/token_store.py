@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from brindle.llm.batches import slices, texts_of
+from brindle.llm.batches import runs_of_slices, texts_of
 from brindle.llm.shared import scratch_dir, written
 from brindle.llm.word_ids import encoder, read_vocabulary
 
@@ -96,9 +96,9 @@ def encode_chunks(docs: DataFrame, vocabulary: str, end_id: int, id_column: str,
         words, pressed = encoder(shared.value), zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
         # Digests that this task has given; another task's may be lost with it, so that none are kept longer.
         given: set[bytes] = set()
-        for batch in batches:
-            for part in slices(batch, 1):
-                coded = [ids + end for ids in words.encode(texts_of(part.column(1)))]
+        for parts in runs_of_slices(batches, 1):
+            for part, texts in zip(parts, words.encode_slices(texts_of(p.column(1)) for p in parts), strict=True):
+                coded = [ids + end for ids in texts]
                 sizes = np.array([len(c) // 4 for c in coded], dtype=np.int64)
                 ids = np.frombuffer(b"".join(coded), dtype="<u4")
                 narrow = ids.astype("<u2") if int(ids.max()) < 65536 else None

@@ -7,6 +7,7 @@ parts between ASCII white space, in order. Each Python worker keeps the ids of p
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ PLAIN = "^(?P<before>" + PUNCTUATION + ")(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<a
 #: Fixed by byte-level vocabularies: bytes that print stand for themselves, the others for the letters from U+0100 on.
 PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in PRINTED)}
-LETTERS = {c: "".join(BYTE_LETTERS.get(b, chr(b)) for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+LETTERS = {c: "".join(BYTE_LETTERS.get(b, chr(b)) for b in c.encode()) for c in map(chr, range(0xDF, 0x100))}
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -66,7 +67,11 @@ class WordIds:
         for first in range(0, len(pieces), 50_000):
             some = pieces[first : first + 50_000]
             text = b"\n".join(some).decode()
-            ids = np.array(self.model.encode_batch_fast([text if text.isascii() else text.translate(LETTERS)], add_special_tokens=False)[0].ids, dtype="<u4")
+            if not text.isascii():
+                # Lower letters alone, whose stand-ins are none of them: a search for each is faster than a look at every character.
+                for letter, stands in LETTERS.items():
+                    text = text.replace(letter, stands)
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(some) or (len(cut) and cut[-1] != len(ids)):
                 out += self.run([p.decode() for p in some])
@@ -76,17 +81,32 @@ class WordIds:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added.
+        """Ids of each text as little-endian unsigned 32-bit integers, without special tokens added."""
+        return next(self.encode_slices([texts])) if texts else []
 
-        Arrow cuts the texts and numbers their distinct parts, cuts these into pieces and numbers those, so that each piece is looked up once for all texts given.
+    def encode_slices(self, slices: Iterable[list[bytes]]) -> Iterator[list[bytes]]:
+        """``encode`` of each slice of texts; what is held of a slice meanwhile is its distinct parts and their numbers.
+
+        Arrow cuts the texts and numbers their distinct parts, cuts these into pieces and numbers those, so that each piece is looked up once for all slices given.
         """
-        if not texts:
-            return []
-        # The vocabulary has lower case only. Lowering ASCII early means fewer parts to learn, but not
-        # where accents compose or where it could spell a special token.
-        parts = pc.ascii_split_whitespace(pa.array([lowered(t) for t in texts], pa.binary()).cast(pa.string()))
-        numbered = parts.flatten().dictionary_encode()
-        words = numbered.dictionary
+        cut = []
+        for texts in slices:
+            # The vocabulary has lower case only. Lowering ASCII early means fewer parts to learn, but not
+            # where accents compose or where it could spell a special token.
+            parts = pc.ascii_split_whitespace(pa.array([lowered(t) for t in texts], pa.binary()).cast(pa.string()))
+            numbered = parts.flatten().dictionary_encode()
+            cut.append((parts.offsets.to_numpy(), numbered.indices.to_numpy(), numbered.dictionary))
+        if not cut:
+            return
+        joint = pa.concat_arrays([words for _, _, words in cut]).dictionary_encode()
+        whole, size = self.ids_of_words(joint.dictionary)
+        numbers, first = joint.indices.to_numpy(), 0
+        for offsets, indices, words in cut:
+            yield ids_of_texts(*gathered(whole, size, numbers[first : first + len(words)][indices]), offsets)
+            first += len(words)
+
+    def ids_of_words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """``pooled`` ids of distinct words."""
         fields = pc.extract_regex(words, pattern=PLAIN)
         plain = fields.is_valid()
         held, other = fields.filter(plain), words.filter(pc.invert(plain))
@@ -99,7 +119,7 @@ class WordIds:
         found[mask] = pieces.indices.to_numpy().reshape(3, n).T
         found[~mask, 0] = np.arange(len(pieces.dictionary), len(ids))
         whole, size = gathered(*pooled([*ids, b""]), found.ravel())
-        return ids_of_texts(*gathered(whole, size.reshape(-1, 3).sum(axis=1), numbered.indices.to_numpy()), parts.offsets.to_numpy())
+        return whole, size.reshape(-1, 3).sum(axis=1)
 
 
 def lowered(text: bytes) -> bytes:

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers as P
@@ -55,6 +56,24 @@ def test_caches_may_be_emptied(monkeypatch):
         assert WORDS.encode([text.encode()])[0] == u32(library_ids(text))
 
 
+def test_slices_are_looked_up_together(monkeypatch):
+    """A piece that many slices have is looked up once for all of them, up to so many bytes; ids and their order are those of each text alone."""
+    texts = ["".join(map(chr, range(0xC0, 0x100))), *(f"Über straße çà, naïve Ÿ ÿ × ÷ w{i % 4}" for i in range(9)), None, "", "日本 x"]
+    looked_up, find = Counter(), batches.Cache.find
+    monkeypatch.setattr(batches.Cache, "find", lambda self, keys: looked_up.update(keys) or find(self, keys))
+    context = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), dtypes=[("doc_id", "bigint")], mapInArrow=lambda run, schema: run)
+    docs.select = lambda *_: docs
+    run = token_store.encode_chunks(docs, VOCABULARY, 1, "doc_id", "text")
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    got = {r["doc_id"]: r["n"] for b in run(iter([whole.slice(0, 5), whole.slice(5)])) for r in b.to_pylist() if r["is_recipe"]}
+    assert got == {i: len(library_ids(t or "")) + 1 for i, t in enumerate(texts)}
+    assert not {k: n for k, n in looked_up.items() if k and n > 1}
+    coded = list(WORDS.encode_slices([[(t or "").encode() for t in texts[a : a + 2]] for a in range(0, len(texts), 2)]))
+    assert [c for some in coded for c in some] == [u32(library_ids(t or "")) for t in texts] and list(WORDS.encode_slices([])) == []
+    assert [len(run) for run in batches.runs_of_slices([whole] * 5, 1, most=2 * whole.nbytes)] == [2, 2, 1]
+
+
 def test_op4(odd_docs, odd_rows):
     out = byte_bpe.byte_bpe(odd_docs, RANKS, P.PATTERN)
     got = Counter(tuple(r) for r in out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())
