@@ -26,3 +26,8 @@ def normalized(v: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     size = norm(a) * norm(b)
     return F.when(size <= EPSILON, F.lit(0.0)).otherwise(dot(a, b) / size)
+
+
+def rounded(x: Column) -> Column:
+    """A weight to 6 places as SQL engines round doubles, by whole millionths; ``F.round`` goes by the decimal digits, and takes other ties up."""
+    return F.floor(x * 1e6 + 0.5) / 1e6

@@ -290,13 +290,13 @@ def refine_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_embed", f"WITH {LIB}, {embedding('e', 'lib', 'library_key', 'text')} SELECT library_key, bucket, n, round(weight, 6) AS weight FROM e")
 def embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.sparse_embeddings(views.library(spark, sf_dir), ["library_key"], "text").select("library_key", "bucket", "n", F.round("weight", 6).alias("weight"))
+    return models.sparse_embeddings(views.library(spark, sf_dir), ["library_key"], "text").select("library_key", "bucket", "n", V.rounded(F.col("weight")).alias("weight"))
 
 
 @query("q_embed_cache", f"WITH {LIB}, {embedding('e', 'lib', 'library_key', 'text')} SELECT library_key, count(*) AS n_set, round(max(weight), 6) AS most FROM e GROUP BY 1")
 def embed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = models.embed_distinct(views.library(spark, sf_dir).select("library_key", "text"), "text")
-    return rows.select("library_key", F.size(F.filter("vector", lambda x: x > 0)).cast("bigint").alias("n_set"), F.round(F.array_max("vector"), 6).alias("most"))
+    rows = models.embed_distinct(views.library(spark, sf_dir), "library_key", "text")
+    return rows.select("library_key", F.size(F.filter("vector", lambda x: x > 0)).cast("bigint").alias("n_set"), V.rounded(F.array_max("vector")).alias("most"))
 
 
 @query("q_bm25_index", f"WITH flat AS (SELECT doc_id, unnest({words('text')}) AS term FROM documents), p AS (SELECT term, doc_id, count(*) AS tf FROM flat GROUP BY ALL) SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf) AS most FROM p GROUP BY 1")
