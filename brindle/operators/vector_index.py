@@ -170,10 +170,12 @@ class VectorIndex:
             number = np.arange(len(values), dtype=np.int32)
             return pa.table({"part": np.full_like(number, part), "number": number, "value": pa.array(values.tolist(), pa.list_(pa.float64()))})
 
-        # One run of the bounded sample a group.
+        # One run of the bounded sample a group; a table of their own, so that groups are not made by the one task that writes the file.
         schema = "part int, number int, value array<double>"
-        books = sample.select("vector").mapInArrow(rests, "part int, value array<double>").groupBy("part").applyInArrow(book, schema)
-        middle = self.spark.createDataFrame([(-1, i, [float(x) for x in c]) for i, c in enumerate(centres)], schema)
+        dealt = sample.select("vector").mapInArrow(rests, "part int, value array<double>").repartition(len(runs), "part")
+        books = kept(dealt.groupBy("part").applyInArrow(book, schema))
+        number = np.arange(len(centres), dtype=np.int32)
+        middle = self.spark.createDataFrame(pa.table({"part": np.full_like(number, -1), "number": number, "value": pa.array(centres.tolist(), pa.list_(pa.float64()))}), schema)
         middle.unionByName(books).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/fitted")
         self._add(rows, 0)
         return True

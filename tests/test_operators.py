@@ -239,6 +239,24 @@ def test_blocks_are_short_and_in_parts(spark, tmp_path):
     assert index.frequencies(word).first()["df"] == 5000
 
 
+def test_blocks_of_a_range_are_few_rows(spark, tmp_path, monkeypatch):
+    """However many words there are, a range is a row for each folder and one of its documents; terms and documents that are too many to be broadcast are found too."""
+    monkeypatch.setattr(text_index, "RANGE", 8)
+    texts = {i: [f"w{(i * 7 + j * j) % 997}" for j in range(60)] for i in range(100)}
+    index = TextIndex(spark, str(tmp_path / "index"), "id")
+    index.create(spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "id long, text string").repartition(2), "text")
+    stored = spark.read.parquet(f"{index.path}/blocks/segment=0")
+    ranges, parts = index.totals().first()["n_docs"] / 8, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert stored.count() <= (ranges + 2) * (parts + 1) < index.rows().count()
+    asked, some = texts[3][:20], [3, 50, 99]
+    terms, keys = spark.createDataFrame([(t,) for t in asked], "term string"), spark.createDataFrame([(i,) for i in some], "id long")
+    wanted = sorted({(t, i, texts[i].count(t), 60) for t in asked for i in some if t in texts[i]}, key=repr)
+    df = sorted((t, sum(t in x for x in texts.values())) for t in set(asked))
+    assert rows(index.postings(terms, keys), "term", "id", "tf", "length") == wanted and rows(index.frequencies(terms), "term", "df") == df
+    monkeypatch.setattr(text_index, "FEW", 1)
+    assert rows(index.postings(terms, keys), "term", "id", "tf", "length") == wanted and rows(index.frequencies(terms), "term", "df") == df
+
+
 def test_a_search_keeps_few_documents_of_each_query(spark, tmp_path, monkeypatch):
     """Documents that all have a frequent word: no table of a search has a row for each query and document, and queries may be dealt to blocks."""
     index = TextIndex(spark, str(tmp_path / "index"), "id")
