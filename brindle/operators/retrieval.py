@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import ahocorasick
@@ -27,6 +28,12 @@ def chunk_vectors(docs: DataFrame, size: int = CHUNK) -> DataFrame:
     return models.embed(chunking.fixed(docs, "doc_id", "text", size), ["doc_id"], "content").select(F.col("doc_id").alias("id"), "vector")
 
 
+def both(*steps: Callable[[], object]) -> list[object]:
+    """What independent steps give. Their jobs run beside each other, so that cores are not idle while one plans, or ends with its last tasks."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(step) for step in steps]]
+
+
 @dataclass(frozen=True)
 class SearchIndex:
     """Kept indexes of documents (doc_id, text): their chunks' vectors, and their words."""
@@ -44,8 +51,7 @@ class SearchIndex:
         return chunk_vectors(docs, self.size).where(F.exists("vector", lambda x: x != 0))
 
     def create(self, docs: DataFrame, lists: int) -> bool:
-        made = [self.vectors.create(kept(self._chunks(docs)), lists), self.words.create(docs, "text")]
-        return any(made)
+        return any(both(lambda: self.vectors.create(kept(self._chunks(docs)), lists), lambda: self.words.create(docs, "text")))
 
     def sync(self, docs: DataFrame) -> None:
         """Takes in documents that are not there yet, of which alone chunks are cut and embedded, and lets those go that ``docs`` has no more."""
@@ -53,8 +59,7 @@ class SearchIndex:
         new = kept(docs.select("doc_id").distinct().join(held, "doc_id", "left_anti"))
         stay = self.vectors.lists("id").distinct().join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
         added = self._chunks(docs.join(new, "doc_id", "left_semi"))
-        self.vectors.sync(kept(added.unionByName(stay.withColumn("vector", F.array().cast("array<double>")))))
-        self.words.sync(docs, "text")
+        both(lambda: self.vectors.sync(kept(added.unionByName(stay.withColumn("vector", F.array().cast("array<double>"))))), lambda: self.words.sync(docs, "text"))
 
 
 def search(queries: DataFrame, docs: DataFrame, k: int = TOP, size: int = CHUNK, index: SearchIndex | None = None) -> DataFrame:
